@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, sstable
+from . import ann, bpe, chat, media, sharding, sstable
 from .common import scratch
 
 SHARD_BYTES = 2 * 1024 * 1024
@@ -20,20 +20,43 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sstable.shard_offsets(spark, path), "shard").select(F.col("key").alias("doc_id"), (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.parse(chat.format_chats(chat.turn_events(rows.unionByName(extra)))))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "media")
+    media.write_archives(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return media.digests(media.with_features(media.read_archives(spark, path)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARD_BYTES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_ann": op2_ann,
+    "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
+    "op8_media": op8_media,
     "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ann": ann.ORACLE_SQL,
+    "op4_chat": chat.ORACLE_SQL,
     "op9_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES),
 }
