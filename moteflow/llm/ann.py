@@ -7,10 +7,11 @@ triangle inequality each true distance lies within the sum of the two vectors' q
 bound is over the query's k-th upper bound go; the others are recomputed in double precision and meet in a heap for each query.
 """
 
-from __future__ import annotations
+
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     A row that is repeated exactly is one candidate. Rows with the query's own id are never its neighbours. Ties go to the
     smaller id. Where fewer than k candidates exist, all are returned; an empty table gives no rows.
     """
-    import pandas as pd
+
 
     def usable(df: DataFrame) -> DataFrame:
         rows = own_columns(df, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, media, sharding, sstable, toxicity
+from . import ann, bpe, chat, media, ngramjoin, sharding, sstable, toxicity
 from .common import scratch
 
 SHARD_BYTES = 2 * 1024 * 1024
@@ -50,6 +50,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHARD_BYTES)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "group_id", "n_links", "first")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_ann": op2_ann,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
