@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, media, ngramjoin, sharding, sstable, toxicity
+from . import ann, bpe, chat, linededup, media, ngramjoin, sharding, sstable, toxicity
 from .common import scratch
 
 SHARD_BYTES = 2 * 1024 * 1024
@@ -40,6 +40,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), removed="n_removed")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "media")
     media.write_archives(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
