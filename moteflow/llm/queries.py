@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, media, ngramjoin, sharding, sstable, toxicity
+from . import ann, bpe, chat, linededup, media, mixing, ngramjoin, sharding, sstable, toxicity
 from .common import scratch
 
+#: Weights of documents of high and of low quality in the mix.
+MIX_TARGETS = {1: 0.9, 0: 0.1}
 SHARD_BYTES = 2 * 1024 * 1024
 
 
@@ -44,6 +46,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), removed="n_removed")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.document_rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_TARGETS)
+    return rates.select("doc_id", "n_tokens", F.round(F.get("p", F.lit(0)), 6).alias("p_high"), F.round("rate", 6).alias("rate"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "media")
     media.write_archives(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
@@ -73,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_ann": ann.ORACLE_SQL,
     "op4_chat": chat.ORACLE_SQL,
+    "op7_mixing": mixing.oracle_sql(MIX_TARGETS),
     "op9_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES),
 }
