@@ -18,7 +18,7 @@ from ..schema import ATOMS, FRAMES
 
 MARK = "ITEM: TIMESTEP"
 BOX_FIELDS = [*[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"], *[f"per_{a}" for a in "xyz"], "tilt_xy", "tilt_xz", "tilt_yz"]
-ROW_SCHEMA = "file string, block long, pos int, timestep bigint, n_atoms int, has_box boolean, " + ", ".join(f"{b} {'boolean' if b.startswith('per') else 'double'}" for b in BOX_FIELDS) + ", id bigint, element string, x double, y double, z double, charge double, columns map<string,float>, labels map<string,string>"
+ROW_SCHEMA = "file string, start long, block long, pos int, timestep bigint, n_atoms int, has_box boolean, " + ", ".join(f"{b} {'boolean' if b.startswith('per') else 'double'}" for b in BOX_FIELDS) + ", id bigint, element string, x double, y double, z double, charge double, columns map<string,float>, labels map<string,string>"
 NAMES = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
 PREFIX = re.compile(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|\s*[+-]?(?:nan|inf(?:inity)?)", re.I)
 
@@ -152,10 +152,10 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def number_frames(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """atoms and frames tables: frames are numbered over all files in the order of their names and blocks."""
-    heads = rows.where("pos = 0").select("file", "block")
-    heads = heads.withColumn("frame", (F.row_number().over(Window.orderBy("file", "block")) - 1).cast("int"))  # a row a frame
-    both = rows.join(heads, ["file", "block"])
+    """atoms and frames tables: frames are numbered over all files in the order of their names and places."""
+    heads = rows.where("pos = 0").select("file", "start", "block")
+    heads = heads.withColumn("frame", (F.row_number().over(Window.orderBy("file", "start", "block")) - 1).cast("int"))  # a row a frame
+    both = rows.join(heads, ["file", "start", "block"])
     names = [c.split()[0] for c in ATOMS.split(", ")]
     atoms = both.withColumnRenamed("pos", "atom").select(*names)
     frames = both.where("pos = 0").select(*[c.split()[0] for c in FRAMES.split(", ")])
@@ -164,12 +164,12 @@ def number_frames(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dump_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of every complete frame of dump files, with file and block."""
-    text = spark.read.text(path, lineSep=MARK).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("block"), "value").where(F.length(F.trim("value")) > 0)
+    text = spark.read.text(path, lineSep=MARK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("block"), "value").where(F.length(F.trim("value")) > 0)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, block, value in batch.itertuples(index=False):
-                rows = [{**r, "file": file, "block": block} for r in dump_rows(value)]
+            for file, start, block, value in batch.itertuples(index=False):
+                rows = [{**r, "file": file, "start": start, "block": block} for r in dump_rows(value)]
                 if rows:
                     yield _frame(rows)
 
@@ -184,7 +184,7 @@ def xyz_table(spark: SparkSession, path: str, frames: str = "all") -> DataFrame:
             for file, value in batch.itertuples(index=False):
                 for block, rows in enumerate(xyz_frames_of(value, frames == "first")):
                     if rows:
-                        yield _frame([{**r, "file": file, "block": block} for r in rows])
+                        yield _frame([{**r, "file": file, "start": 0, "block": block} for r in rows])
 
     return text.mapInPandas(parse, ROW_SCHEMA)
 
