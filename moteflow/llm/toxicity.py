@@ -173,15 +173,20 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on a bounded sample of labelled rows that are not held out: at most per_class of each class, in the order of a hash
     of their ids, from whole texts of at most max_chars characters. Null labels and null ids are left out; of several labels of
-    one id the largest counts; copies of a document are examples of their own.
+    one id the largest counts, of several texts of one id the smallest.
     """
     known = own_columns(labels, key, label).where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("y"))
-    rows = own_columns(docs, key, text).where((F.length(text) <= max_chars) & ~held_out(F.col(key))).join(known, key)
+    sizes = own_columns(docs, key, text).select(key, F.length(text).alias("n")).where((F.col("n") <= max_chars) & ~held_out(F.col(key)))
+    labelled = sizes.join(known, key).groupBy(key).agg(F.max("y").alias("y"))
+    chosen = [(r[key], r["y"]) for y in (0, 1) for r in labelled.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(per_class).collect()]
+    if not chosen:
+        return fit([], [])
+    sample = docs.sparkSession.createDataFrame(chosen, f"{key} long, y int")  # 2 * per_class rows
+    rows = own_columns(docs, key, text).where(F.length(text) <= max_chars).join(F.broadcast(sample), key)
     texts, toxic = [], []
-    for y in (0, 1):
-        for r in rows.where(F.col("y") == y).orderBy(F.xxhash64(key), text).limit(per_class).collect():  # bounded by per_class * max_chars
-            texts.append(r[text])
-            toxic.append(y)
+    for r in rows.groupBy(key).agg(F.min(text).alias(text), F.max("y").alias("y")).orderBy("y", F.xxhash64(key), key).collect():  # at most 2 * per_class * max_chars
+        texts.append(r[text])
+        toxic.append(r["y"])
     return fit(texts, toxic)
 
 
