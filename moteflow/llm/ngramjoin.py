@@ -13,7 +13,6 @@ and a spanning forest of its links, never the pairs, so a large group of near co
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +119,9 @@ def new_pairs(a: np.ndarray, b: np.ndarray, tree: int, same: bool) -> np.ndarray
 
 def jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Exact similarity of every set of a with every set of b, by binary matrices over the shingles that both sides hold."""
+    if len(a) * len(b) <= 9:
+        both = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], float)
+        return both / (np.array([[len(x)] for x in a]) + np.array([len(y) for y in b])[None, :] - both)
     n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
     flat_a, flat_b = np.concatenate(a), np.concatenate(b)
     both = np.intersect1d(flat_a, flat_b)
@@ -139,6 +141,31 @@ def jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return shared / (n_a[:, None] + n_b[None, :] - shared)
 
 
+def tiles_of(batches: Iterable) -> Iterator:
+    """(table, bounds) of whole tiles from Arrow batches that are sorted by tree, prefix, i and j; a tile may span batches."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        held = held.combine_chunks()
+        keys = [held.column(c).to_numpy() for c in ("tree", "prefix", "i", "j")]
+        new = np.zeros(len(keys[0]), bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(new)])
+        if len(bounds) > 1:
+            yield held.slice(0, bounds[-1]), bounds
+            held = held.slice(bounds[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def prefix_rows(table) -> np.ndarray:  # noqa: ANN001
+    return table.column("prefixes").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+
+
 def forest_edges(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """A spanning forest: each node with the smallest node that its links reach here."""
     root: dict[int, int] = {}
@@ -191,19 +218,24 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFr
     members = keyed.join(shared, ["tree", "prefix"]).withColumn("blocks", blocks).withColumn("own", own)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    def wanted(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["own"] == g["i"]], g[g["own"] == g["j"]]
-        same = int(g["i"].iloc[0]) == int(g["j"].iloc[0])
-        if len(a) and len(b):
-            new = new_pairs(np.stack(a["prefixes"].to_numpy()), np.stack(b["prefixes"].to_numpy()), int(g["tree"].iloc[0]), same)
-            used = set(a["rid"][new.any(1)]) | set(b["rid"][new.any(0)])
-            g = g[g["rid"].isin(used)]
-        else:
-            g = g[:0]
-        return g[["tree", "prefix", "i", "j", "own", "rid", "id", "prefixes"]]
+    def wanted(batches: Iterable) -> Iterator:
+        for table, bounds in tiles_of(batches):
+            tree, i, j, own = (table.column(c).to_numpy() for c in ("tree", "i", "j", "own"))
+            prefixes, keep = prefix_rows(table), []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                a, b = lo + np.flatnonzero(own[lo:hi] == i[lo]), lo + np.flatnonzero(own[lo:hi] == j[lo])
+                if hi - lo == 2 and i[lo] == j[lo]:
+                    if not (prefixes[lo, : tree[lo]] == prefixes[lo + 1, : tree[lo]]).any():
+                        keep += [lo, lo + 1]
+                elif len(a) and len(b):
+                    new = new_pairs(prefixes[a], prefixes[b], int(tree[lo]), i[lo] == j[lo])
+                    keep += sorted({*a[new.any(1)].tolist(), *b[new.any(0)].tolist()})
+            yield from table.take(np.array(keep, np.int64)).to_batches()
 
     tile = ["tree", "prefix", "i", "j"]
-    needed = stored(members.groupBy(*tile).applyInPandas(wanted, "tree int, prefix long, i int, j int, own int, rid long, id long, prefixes array<long>"), "shingle-tiles")
+    fields = ["tree", "prefix", "i", "j", "own", "rid", "id", "prefixes"]
+    dealt = members.select(*fields).repartition(*tile).sortWithinPartitions(*tile)
+    needed = stored(dealt.mapInArrow(wanted, "tree int, prefix long, i int, j int, own int, rid long, id long, prefixes array<long>"), "shingle-tiles")
     nodes = needed.select("rid", "id").distinct()
     texts = rows.select("id", "text").join(nodes, "id")
 
@@ -217,26 +249,31 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFr
 
     sets = texts.select("rid", "text").mapInArrow(shingled, "rid long, shingles binary").dropDuplicates(["rid"])
 
-    def verify(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["own"] == g["i"]], g[g["own"] == g["j"]]
-        out = []
-        if len(a) and len(b):
-            same = int(g["i"].iloc[0]) == int(g["j"].iloc[0])
-            new = new_pairs(np.stack(a["prefixes"].to_numpy()), np.stack(b["prefixes"].to_numpy()), int(g["tree"].iloc[0]), same)
-            x, y = ([np.frombuffer(s, np.uint64) for s in v["shingles"]] for v in (a, b))
-            links = new & (jaccard(x, y) >= threshold - 1e-12)
-            ra, rb = a["rid"].to_numpy(), b["rid"].to_numpy()
-            counts: dict[int, int] = {}
-            for ids, n in ((ra, links.sum(1)), (rb, links.sum(0))):
-                for r, c in zip(ids.tolist(), n.tolist(), strict=True):
-                    if c:
-                        counts[r] = counts.get(r, 0) + c
-            at = np.nonzero(links)
-            roots = dict(forest_edges(zip(ra[at[0]].tolist(), rb[at[1]].tolist(), strict=True)))
-            out = [(r, c, roots[r]) for r, c in counts.items()]
-        return pd.DataFrame(out, columns=["rid", "links", "root"]).astype("int64")
-
-    linked = stored(needed.join(sets, "rid").groupBy(*tile).applyInPandas(verify, "rid long, links long, root long"), "shingle-links")
+    def verify(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for table, bounds in tiles_of(batches):
+            tree, i, j, own, rid = (table.column(c).to_numpy() for c in ("tree", "i", "j", "own", "rid"))
+            prefixes, shingles, out = prefix_rows(table), table.column("shingles"), []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                a, b = lo + np.flatnonzero(own[lo:hi] == i[lo]), lo + np.flatnonzero(own[lo:hi] == j[lo])
+                if not (len(a) and len(b)):
+                    continue
+                held = {int(k): np.frombuffer(shingles[int(k)].as_py(), np.uint64) for k in {*a.tolist(), *b.tolist()}}
+                new = new_pairs(prefixes[a], prefixes[b], int(tree[lo]), i[lo] == j[lo])
+                links = new & (jaccard([held[k] for k in a.tolist()], [held[k] for k in b.tolist()]) >= threshold - 1e-12)
+                counts: dict[int, int] = {}
+                for ids, n in ((rid[a], links.sum(1)), (rid[b], links.sum(0))):
+                    for r, c in zip(ids.tolist(), n.tolist(), strict=True):
+                        if c:
+                            counts[r] = counts.get(r, 0) + c
+                at = np.nonzero(links)
+                roots = dict(forest_edges(zip(rid[a][at[0]].tolist(), rid[b][at[1]].tolist(), strict=True)))
+                out += [(r, c, roots[r]) for r, c in counts.items()]
+            yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["rid", "links", "root"])
+
+    ready = needed.join(sets, "rid").select(*tile, "own", "rid", "prefixes", "shingles").repartition(*tile).sortWithinPartitions(*tile)
+    linked = stored(ready.mapInArrow(verify, "rid long, links long, root long"), "shingle-links")
     counts = linked.groupBy(F.col("rid").alias("node")).agg(F.sum("links").alias("n_links"))
     labels = components(linked.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "node", "left").join(labels, "node", "left").select("class_key", "class_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label"))
