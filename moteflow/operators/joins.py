@@ -17,10 +17,10 @@ def nearest(left: DataFrame, right: DataFrame, left_at: str, right_at: str, tie:
     b = right.select(*by, F.col(right_at).cast("double").alias("_p"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_l"), fields.alias("_r"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_t"))
     both = a.unionByName(b)
     group = by or [F.lit(0)]
-    # of rows at one place the smallest tie is met last on the way forward and first on the way back
+    # of rows at one place the smallest tie is met last on either way; a frame that only grows costs one pass
     back = Window.partitionBy(*group).orderBy("_p", "_side", F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy("_p", F.desc("_side"), "_t").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_b", F.last("_r", ignorenulls=True).over(back)).withColumn("_a", F.first("_r", ignorenulls=True).over(ahead)).where(F.col("_side") == 1)
+    ahead = Window.partitionBy(*group).orderBy(F.desc("_p"), "_side", F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_b", F.last("_r", ignorenulls=True).over(back)).withColumn("_a", F.last("_r", ignorenulls=True).over(ahead)).where(F.col("_side") == 1)
     db, da = F.abs(F.col("_p") - F.col("_b._at")), F.abs(F.col("_a._at") - F.col("_p"))
     pick = F.when(F.col("_a").isNull() | (db < da) | ((db == da) & (F.col(f"_b.{tie}") <= F.col(f"_a.{tie}"))), F.col("_b")).otherwise(F.col("_a"))
     return found.withColumn("_m", F.when(F.col("_b").isNull(), F.col("_a")).otherwise(pick)).select("_l.*", F.col("_m._at").alias(right_at), *[F.col(f"_m.{c}") for c in right.columns if c not in (right_at, *by)])

@@ -86,7 +86,7 @@ def test_stress_columns(spark):
     assert abs(got[0] - 100) < 1e-9 and abs(got[1] - 50 * math.sqrt(3)) < 1e-9
 
 
-LOG = "LAMMPS\nStep Temp PotEng Press Lx Pxx\n" + "".join(f"{k} 300 -{k} 1 {100 + k * 0.01} {-7000 * k * 0.01}\n" for k in range(0, 500, 10)) + "WARNING: x\nLoop time of 3.5 on 1 procs\nprose here\nStep Temp PotEng Press Lx Pxx\n500 300 -1 1 105 -1\nLoop time of 1.0\n"
+LOG = "a run\nStep Temp PotEng Press Lx Pxx\n" + "".join(f"{k} 300 -{k} 1 {100 + k * 0.01} {-7000 * k * 0.01}\n" for k in range(0, 500, 10)) + "WARNING: x\nLoop time of 3.5 on 1 procs\nprose here\nStep Temp PotEng Press Lx Pxx\n500 300 -1 1 105 -1\nLoop time of 1.0\n"
 
 
 def test_thermo_log(spark, tmp_path):
