@@ -1,7 +1,11 @@
-"""How queries are registered: a name, a Spark function of (spark, sf_dir), and the DuckDB text that gives the same rows."""
+"""How queries are registered: a name, a Spark function of (spark, sf_dir), and the DuckDB text that gives the same rows.
+
+A query whose DuckDB text stops after the first frames or rows is registered a second time, as NAME_all, without text and limit.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,3 +23,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def whole(*functions: Callable[..., DataFrame]) -> None:
+    """Register each function with its second name, over all frames or rows."""
+    for f in functions:
+        QUERIES[f"{f.__name__}_all"] = functools.partial(f, limit=None)
