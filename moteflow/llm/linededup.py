@@ -1,10 +1,9 @@
-"""Repeated-run removal by winnowing over line hashes; DataFrame functions only.
+"""Repeated-run removal over line hashes; DataFrame functions only.
 
-A document is a sequence of lines; a long line is read sentence by sentence, so that a passage is found inside a line too. Of
-each window of WINDOW line hashes the minimum is a fingerprint, and so is every line of LONG words or more: a run of at least
-(WINDOW - 1) * LONG words that occurs twice shares a fingerprint with its copy. An occurrence of a fingerprint is joined to the
-earliest document that has it, and within a document to the occurrence before it; both texts are then compared line by line along
-that diagonal, both ways from the fingerprint, and every common run with enough words goes from the later place.
+A document is a sequence of lines; a long line is read sentence by sentence, so that a passage is found inside a line too. A
+stretch is the shortest sequence of lines that has enough words, from each line on and back from each line. Every run of enough
+words is a union of stretches, so a line is in a run that an earlier place has too exactly if one of its stretches is: stretches
+are joined by their hash to the first place of all that has them, and no two texts are compared.
 """
 
 from __future__ import annotations
@@ -12,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-WINDOW, LONG, MIN_WORDS = 3, 15, 30
+MIN_WORDS = 30
 CUT = "\x01"
 
 
@@ -43,69 +42,41 @@ def line_words(parts: Column) -> Column:
     return F.transform(F.transform(parts, lambda u: F.btrim(u, F.lit(SPACE))), words)
 
 
-def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """fh, d, id, place (position + lines of the document << 32), ctx (halves of the neighbours' hashes), big (enough words alone).
-
-    The order among window minima puts lines of under four words last, so that common short lines are taken only if all are.
-    """
+def stretches(docs: DataFrame, min_words: int) -> DataFrame:
+    """key, d, id, place (first line << 32, last line) of every stretch of docs; one that is shortest both ways is there once."""
     rows = docs.select("d", "id", lines(F.col("text")).alias("parts")).select("d", "id", line_hashes(F.col("parts")).alias("h"), line_words(F.col("parts")).alias("w"))
-    none = F.lit(2**62 - 1)
-    rank = F.zip_with("h", "w", lambda h, w: h.bitwiseAND(F.lit(2**60 - 1)) + F.when(w < 4, F.lit(2**60)).otherwise(F.lit(0)))
-    rows = rows.withColumn("v", rank).withColumn("n", F.size("h"))
-    at = lambda i: F.when(i >= 0, F.coalesce(F.get("v", i), none)).otherwise(none)
-
-    def pick(i: Column) -> Column:
-        x, a, b, c, e = F.get("v", i), at(i - 2), at(i - 1), at(i + 1), at(i + 2)
-        least = ((x <= a) & (x <= b)) | ((x <= b) & (x < c)) | ((x < c) & (x < e))
-        h = lambda j: F.when((j >= 0) & (j < F.col("n")), F.get("h", j)).otherwise(F.lit(0))
-        ctx = F.shiftleft(h(i - 1), 32).bitwiseOR(h(i + 1).bitwiseAND(F.lit(2**32 - 1)))
-        taken = (F.get("w", i) > 0) & (least | (F.get("w", i) >= LONG))
-        return F.when(taken, F.struct(F.get("h", i).alias("fh"), (F.shiftleft(F.col("n").cast("long"), 32) + i).alias("place"), ctx.alias("ctx"), (F.get("w", i) >= min_words).alias("big")))
-
-    picked = F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - 1), pick), lambda f: f.isNotNull())
-    return rows.select("d", "id", F.explode(picked).alias("f")).select("f.fh", "d", "id", "f.place", "f.ctx", "f.big")
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Diagonals to compare: id, target, diag (position minus the target's), n (lines of id). target is an earlier document or id itself."""
-    firsts = fps.groupBy("fh").agg(F.min("d").alias("d0"), F.count("*").alias("m")).where(F.col("m") > 1).select("fh", "d0")
-    again = stored(fps.join(firsts, "fh"), "line-repeats")
-    heads = again.where(F.col("d") == F.col("d0")).groupBy("fh").agg(F.min(F.struct("id", "place", "ctx")).alias("o"))
-    pos = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
-    in_doc = Window.partitionBy("id", "fh").orderBy("place")
-    rows = again.withColumn("before", F.lag(F.struct("place", "ctx")).over(in_doc))
-    halves = lambda a, b: (F.shiftright(a, 32) == F.shiftright(b, 32)) | (a.bitwiseAND(F.lit(2**32 - 1)) == b.bitwiseAND(F.lit(2**32 - 1)))
-    n = F.shiftright("place", 32).cast("int").alias("n")
-    own = rows.where(F.col("before").isNotNull() & (F.col("before.place") != F.col("place")) & (F.col("big") | halves(F.col("ctx"), F.col("before.ctx"))))
-    own = own.select("id", F.col("id").alias("target"), (pos("place") - pos("before.place")).cast("int").alias("diag"), n)
-    cross = rows.where(F.col("before").isNull()).join(heads, "fh").where((F.col("o.id") != F.col("id")) & (F.col("big") | halves(F.col("ctx"), F.col("o.ctx"))))
-    cross = cross.select("id", F.col("o.id").alias("target"), (pos("place") - pos("o.place")).cast("int").alias("diag"), n)
-    return stored(own.unionByName(cross).distinct(), "line-links")
+    # the line of each word, and the words before each line's end
+    line_of = F.flatten(F.transform("w", lambda w, i: F.array_repeat(i, w)))
+    ends = F.aggregate("w", F.array().cast("array<int>"), lambda s, w: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + w))
+    rows = rows.withColumns({"line_of": line_of, "ends": ends})
+    last = lambda i: F.get("line_of", F.get("ends", i) - F.get("w", i) + (min_words - 1))
+    stretch = lambda a, b: F.struct(F.xxhash64(F.slice("h", a + 1, b - a + 1)).alias("key"), F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")).alias("place"))
 
+    def both_ways(i: Column) -> Column:
+        on = bound(last(i), lambda b: F.when(b.isNotNull(), stretch(i, b)))
+        back = bound(F.get("line_of", F.get("ends", i) - min_words), lambda a: F.when(a.isNotNull() & ~last(a).eqNullSafe(i), stretch(a, i)))
+        return F.array(on, back)
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once a row: a lambda's variable isn't inlined into what refers to it, as a column is."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), both_ways)), lambda f: f.isNotNull())
+    return rows.select("d", "id", F.explode(found).alias("f")).select("f.key", "d", "id", "f.place")
 
 
-def runs(h: Column, w: Column, start: Column, other: Column, min_words: int) -> Column:
-    """Common runs of h from start on with other, as (a, b) inclusive, that have at least min_words words."""
-    same = F.when(F.size(other) > 0, F.filter(F.sequence(F.lit(0), F.size(other) - 1), lambda i: F.get(h, start + i) == F.get(other, i)))
+def repeats(found: DataFrame) -> DataFrame:
+    """id and place of every stretch that isn't the first of its key in the order of d, id and place."""
+    place = F.struct("d", "id", "place")
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "first")
+    return found.join(stored(firsts, "line-firsts"), "key").where(place != F.col("first")).select("id", "place")
 
-    def islands(at: Column) -> Column:
-        firsts = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
-        lasts = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
-        pairs = F.zip_with(firsts, lasts, lambda x, y: F.struct((start + x).alias("a"), (start + y).alias("b")))
-        return F.filter(pairs, lambda r: F.aggregate(F.slice(w, r["a"] + 1, r["b"] - r["a"] + 1), F.lit(0), lambda s, v: s + v) >= min_words)
 
-    return bound(F.coalesce(same, F.array().cast("array<int>")), islands)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row: a lambda's variable isn't inlined into what refers to it, as a column is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """docs with every later occurrence of a repeated run of lines taken out of its text; the first one stays.
 
-    Runs have at least min_words words; all runs of twice LONG words are found. Lines compare without white space at their
-    ends. Earlier is the smaller key, then a hash of key and text; null keys come last. A text without repeated runs is
+    Runs have at least min_words words, and all of them are found. Lines compare without white space at their ends. Earlier is the smaller key, then a hash of key and text; null keys come last. A text without repeated runs is
     unchanged to the byte; null stays null; an emptied text is empty. Rows that agree in key and text count as one document
     and are treated alike. removed names a further column: how many lines went. All other columns pass; an empty table stays
     empty.
@@ -115,27 +86,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     body = F.col(f"`{text}`")
     row_id = F.xxhash64(F.col(f"`{key}`"), body)
     plain = docs.where(body.isNotNull()).select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("d"), row_id.alias("id"), body.alias("text"))
-    to = links(stored(fingerprints(plain, min_words), "line-fingerprints"))
-    targets = plain.select(F.col("id").alias("target"), line_hashes(lines(F.col("text"))).alias("h"))
-    start = F.greatest(F.col("diag"), F.lit(0))
-    first = F.greatest(-F.col("diag"), F.lit(0))
-    sides = to.join(targets, "target").select("id", F.struct(start.alias("start"), F.slice("h", first + 1, F.greatest(F.lit(0), F.least(F.col("n") - start, F.size("h") - first))).alias("other")).alias("side"))
-    sides = sides.groupBy(F.col("id").alias(rid)).agg(F.collect_set("side").alias(found))
+    again = repeats(stored(stretches(plain, min_words), "line-stretches"))
+    sides = again.groupBy(F.col("id").alias(rid)).agg(F.collect_set("place").alias(found))
     parts = name("line_parts")
     joined = docs.withColumn(rid, F.when(body.isNotNull(), row_id)).join(sides, rid, "left")
-    hit = F.col(found).isNotNull()
-
-    def cuts(p: Column) -> Column:
-        coded = F.struct(line_hashes(p).alias("h"), line_words(p).alias("w"))
-        return bound(coded, lambda z: F.flatten(F.transform(F.col(found), lambda s: runs(z["h"], z["w"], s["start"], s["other"], min_words))))
+    gone = F.flatten(F.transform(found, lambda p: F.sequence(F.shiftright(p, 32).cast("int"), p.bitwiseAND(F.lit(2**32 - 1)).cast("int"))))
 
     def keep_of(p: Column) -> Column:
-        kept = F.filter(p, lambda u, i: ~F.exists(F.col(found), lambda r: (i >= r["a"]) & (i <= r["b"])))
-        return bound(kept, lambda k: F.struct(F.array_join(k, "").alias("text"), (F.size(p) - F.size(k)).alias("n")))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone)
+        return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(p, i)), "").alias("text"), (F.size(p) - F.size(k)).alias("n")))
 
-    joined = joined.withColumn(found, F.when(hit, F.array_distinct(bound(lines(body), cuts))))
-    changed = F.size(found) > 0
-    joined = joined.withColumn(parts, F.when(changed, bound(lines(body), keep_of)))
+    joined = joined.withColumn(parts, F.when(F.col(found).isNotNull(), bound(lines(body), keep_of)))
     out = [F.coalesce(F.col(parts)["text"], body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if removed:
         out.append(F.coalesce(F.col(parts)["n"], F.lit(0)).alias(removed))

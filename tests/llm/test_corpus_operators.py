@@ -110,6 +110,21 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(table(spark, docs).limit(0)).count() == 0
 
 
+def test_line_dedup_finds_a_run_whose_lines_stood_alone_before(spark):
+    rng = random.Random(61)
+    x, y, z = (words(rng, 14).capitalize() + "." for _ in range(3))
+    run, lone = "\n".join([x, y, z]), lambda k: words(rng, 6) + ".\n" + k + "\n" + words(rng, 5) + "."
+    docs = [(1, lone(x)), (2, lone(y)), (3, lone(z))]
+    for i in range(4, 24, 4):  # and again between the copies, and a heading before the run in its own document
+        docs += [(i, words(rng, 7) + ".\n" + run + "\n" + words(rng, 8) + "."), (i + 1, lone(x)), (i + 2, lone(y)), (i + 3, x + "\n" + words(rng, 3) + ".\n\n" + run)]
+    for _ in range(12):  # short lines, long ones and blanks from few, so that runs of all lengths meet
+        pool = [words(random.Random(k), 1 + 3 * k) + "." for k in range(5)] + ["", ""]
+        docs.append((100 + len(docs), "\n".join(rng.choice(pool) for _ in range(30))))
+    want = repeated_runs(docs, linededup.MIN_WORDS)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table(spark, docs)).collect()}
+    assert got == want and sum(y in t and z in t for t in got.values()) == 1
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = linededup.dedup_lines(table(spark, [(1, "a.\nb.")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
