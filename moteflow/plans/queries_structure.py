@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import ATOMS_SQL, BOX, N_FRAMES, atoms, replicas
-from ..operators import graph, interactions, neighbors
+from ..operators import graph, interactions, neighbors, stats
 from . import conformation, structure
 from .queries_points import PAIRS_SQL, RC, r6, some
 from .registry_queries import query, whole
-from .tools import bootstrap_tau
+from .tools import bootstrap_interval
 
 
 @query("bond_order_l2", f"""WITH {PAIRS_SQL}, y AS (SELECT frame, i, count(*) AS n, avg(3*dz*dz/(d*d) - 1) AS a, avg(dx*dz/(d*d)) AS b, avg(dy*dz/(d*d)) AS c, avg((dx*dx - dy*dy)/(d*d)) AS e, avg(dx*dy/(d*d)) AS f FROM pairs GROUP BY frame, i),
@@ -74,8 +74,9 @@ def pca(s: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    rows = [tuple(r) for r in replicas(s, d).groupBy("seed", (F.col("replica") % 50).alias("replica")).agg(F.min("t").alias("t"), F.min("censored").alias("censored")).select("seed", "t", "censored", "replica").orderBy("seed", "replica").drop("replica").collect()]
-    lo, hi, mean = bootstrap_tau(rows, 200)
+    runs = replicas(s, d)
+    lo, hi = bootstrap_interval(runs, 2000)
+    mean = stats.half_survival_time(runs, "t", "censored", ["seed"]).agg(F.avg("tau")).first()[0]
     return s.createDataFrame([(lo, hi, mean)], "low double, high double, tau double")
 
 
