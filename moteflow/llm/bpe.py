@@ -4,14 +4,13 @@ A right context can change the symbols at a place only through a chain of merges
 right spine of the symbol before it and has a smaller rank. The ranks along such a chain fall, so it is finite, and its
 longest byte length is the merge list's sufficient lookahead (Berglund and van der Merwe, "Formalizing BPE Tokenization").
 The transducer holds that many bytes back, emits what ends before them, and goes on from there: memory is constant however
-long a piece is.
+long a piece is. Every piece runs through it; the merges of many pieces are carried out together in numpy.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import tokenizer_path
+from .common import ending, slices, tokenizer_path
 
 #: Fixed value of this vocabulary: the pattern of its pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 1_000_000
+CUT = "\x01"  # between words; texts cut by words don't hold it
+CACHE_PIECES, CACHE_IDS = 300_000, 8_000_000
 CHUNK = 1 << 16
-SHORT = 40  # bytes of a piece that is merged together with others
+TOGETHER = 1 << 16  # bytes of pieces whose merges are carried out together
 NEVER, SLOTS, SHIFT, HASH = 1 << 40, 1 << 20, 40, np.int64(0x5851F42D4C957F2D)
 
 
@@ -52,6 +52,7 @@ class MergeList:
                 self.token_bytes[i] = bytes(symbols[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
+        self.token_size = np.array(list(map(len, self.token_bytes)), np.int64)
         self.byte_id = [0] * 256
         for c, b in symbols.items():
             self.byte_id[b] = vocab[c]
@@ -78,57 +79,39 @@ class MergeList:
             longest = max(longest, here)
         return longest + max(map(len, self.token_bytes))
 
-    def merge(self, data: bytes) -> list[int]:
-        """The ids of bytes that are a piece of their own, by applying the merges in the order of their ranks."""
-        ids, merges = [self.byte_id[b] for b in data], self.merges
-        while len(ids) > 1:
-            best, made = None, 0
-            for pair in zip(ids, ids[1:], strict=False):
-                if (m := merges.get(pair)) is not None and (best is None or m[0] < best[0]):
-                    best, of = m, pair
-            if best is None:
-                break
-            made, (a, b), out, i, n = best[1], of, [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-
-    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """merge() of many short pieces at once, as packed ids: in each round every piece merges its best pair, leftmost first."""
-        n, width = len(pieces), max(map(len, pieces))
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces and how many each has: in each round every piece merges its best pair, leftmost first."""
+        n = len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        ids = np.full((n, width + 1), -1, np.int64)
-        at = np.arange(width)[None, :] < lengths[:, None]
-        ids[:, :width][at] = np.array(self.byte_id)[flat]
-        rank, made = self.lookup(ids[:, :-1], ids[:, 1:])
-        out, rows = ids.copy(), np.arange(n)
-        while True:
-            best = rank.argmin(1)
-            of = np.arange(len(rows))
-            live = rank[of, best] < NEVER
+        ids, row = np.array(self.byte_id, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)], np.repeat(np.arange(n), lengths)
+        done_ids, done_row = [], []
+        follows = lambda: np.r_[row[1:] == row[:-1], False]
+        rank, made = self.lookup(ids, np.where(follows(), np.r_[ids[1:], -1], -1))
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.r_[starts, len(ids)])
+            live = best < NEVER
             if not live.all():
-                out[rows[~live]] = ids[~live]
-                rows, ids, rank, made, best = rows[live], ids[live], rank[live], made[live], best[live]
-                of = np.arange(len(rows))
-            if not len(rows):
+                at = np.repeat(live, sizes)
+                done_ids.append(ids[~at])
+                done_row.append(row[~at])
+                ids, row, rank, made, best, sizes = ids[at], row[at], rank[at], made[at], best[live], sizes[live]
+            if not len(ids):
                 break
-            ids[of, best] = made[of, best]
-            gone = np.arange(width + 1)[None, :] > best[:, None]
-            nxt = np.concatenate([ids[:, 1:], np.full((len(rows), 1), -1, np.int64)], 1)
-            ids = np.where(gone, nxt, ids)
-            used = max(1, int((ids >= 0).sum(1).max()))
-            rank, made = self.lookup(ids[:, :used], ids[:, 1 : used + 1])
-        counts = (out >= 0).sum(1)
-        packed, ends = out[out >= 0].astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            here = rank == np.repeat(best, sizes)
+            place = np.arange(len(ids))
+            here &= ((place - np.maximum.accumulate(np.where(here, -1, place))) & 1) == 1  # of overlapping pairs every other one
+            ids[here] = made[here]
+            keep = np.r_[True, ~here[:-1]]
+            ids, row, rank, made, here = ids[keep], row[keep], rank[keep], made[keep], here[keep]
+            new = np.flatnonzero(here | np.r_[here[1:], False])
+            right = np.where(follows()[new], np.r_[ids[1:], -1][new], -1)
+            rank[new], made[new] = self.lookup(ids[new], right)
+        if not done_ids:
+            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+        flat, row = np.concatenate(done_ids), np.concatenate(done_row)
+        return flat[np.argsort(row, kind="stable")], np.bincount(row, minlength=n)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and made id of each pair; NEVER where it is no merge."""
@@ -158,34 +141,87 @@ class MergeList:
             self.probes = max(self.probes, n)
 
 
-class PieceTransducer:
-    """One piece, fed in parts: feed() returns the ids that no later byte can change, finish() the rest."""
+class Transducer:
+    """Pieces, each fed in parts: feed() returns the ids that no later byte can change; the last part of a piece ends it.
 
-    def __init__(self, merges: MergeList):
-        self.list, self.held, self.window = merges, b"", 2 * merges.lookahead
-
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(data), self.window):
-            self.held += data[at : at + self.window]
-            if len(self.held) > self.window:
-                stable, end = len(self.held) - self.list.lookahead, 0
-                for i in self.list.merge(self.held):
-                    n = len(self.list.token_bytes[i])
-                    if end + n > stable:
-                        break
-                    out.append(i)
-                    end += n
-                self.held = self.held[end:]
-        return out
+    At most two lookaheads of bytes of each piece are held, whatever the piece's length.
+    """
 
-    def finish(self) -> list[int]:
-        out, self.held = self.list.merge(self.held), b""
-        return out
+    def __init__(self, merges: MergeList, n: int = 1):
+        self.list, self.held, self.window = merges, [b""] * n, 2 * merges.lookahead
+
+    def feed(self, parts: list[bytes], last: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that are stable now, piece by piece, and how many of each; parts are at most a window long."""
+        self.held = [h + p for h, p in zip(self.held, parts, strict=True)]
+        flat, sizes = self.list.merge(self.held)
+        bytes_to = np.cumsum(self.list.token_size[flat])
+        ends = np.cumsum(sizes)
+        before = np.r_[0, bytes_to][ends - sizes]
+        stable = np.where(last, np.iinfo(np.int64).max, np.fromiter(map(len, self.held), np.int64, len(parts)) - self.list.lookahead)
+        out = bytes_to - np.repeat(before, sizes) <= np.repeat(stable, sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)
+        emitted = np.bincount(row[out], minlength=len(parts))
+        gone = np.bincount(row[out], self.list.token_size[flat[out]], len(parts)).astype(np.int64).tolist()
+        self.held = [b"" if end else h[g:] for h, g, end in zip(self.held, gone, last, strict=True)]
+        return flat[out], emitted
+
+    def run(self, data: bytes, ends: bool) -> list[np.ndarray]:
+        """Of a lone piece: feeds data window by window."""
+        cuts = [data[at : at + self.window] for at in range(0, len(data), self.window)] or [b""]
+        return [self.feed([c], [ends and i == len(cuts) - 1])[0] for i, c in enumerate(cuts)]
+
+
+def transduce(merges: MergeList, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole pieces and how many each has: all of them at once through one transducer, window by window."""
+    run, n = Transducer(merges, len(pieces)), len(pieces)
+    flat, sizes = run.feed([p[: run.window] for p in pieces], [len(p) <= run.window for p in pieces])
+    at = run.window
+    of = np.repeat(np.arange(n), sizes)
+    longer = [i for i, p in enumerate(pieces) if len(p) > at]
+    if longer:  # what has not ended goes on, apart from the others
+        run.held, runs = [run.held[i] for i in longer], [(flat, of)]
+        while longer:
+            ids, k = run.feed([pieces[i][at : at + run.window] for i in longer], [len(pieces[i]) <= at + run.window for i in longer])
+            runs.append((ids, np.repeat(np.array(longer), k)))
+            at += run.window
+            run.held = [h for h, i in zip(run.held, longer, strict=True) if len(pieces[i]) > at]
+            longer = [i for i in longer if len(pieces[i]) > at]
+        flat, of = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        flat = flat[np.argsort(of, kind="stable")]
+        sizes = np.bincount(of, minlength=n)
+    return flat, sizes
+
+
+class IdStore:
+    """Runs of ids by number, in one growing array; gather() concatenates the runs of many numbers at once."""
+
+    def __init__(self, kind: str):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.starts, self.sizes, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        return self.flat[at], sizes
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library does with the same file."""
+    """Texts to ids as little-endian unsigned 32-bit integers, as the tokenizers library does with the same file.
+
+    Where no two blanks meet, a blank opens a piece and a newline is one, so that words recur: Arrow cuts such texts and finds
+    the distinct words. Other texts are cut by the pattern in chunks. A word's ids are remembered, up to a bound.
+    """
 
     def __init__(self, path: str):
         import re
@@ -194,23 +230,38 @@ class Encoder:
 
         self.list = MergeList(path)
         self.pattern = regex.compile(PATTERN)
+        self.words_pattern = regex.compile(PATTERN.replace(r"[^\s", r"[^\s" + CUT) + "|" + CUT)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.list.special, key=len, reverse=True))) + ")") if self.list.special else None
-        self.odd_space = re.compile(r"\s\s|[^\S \n]")
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """One piece of the pattern."""
-        if (known := self.pieces.get(piece)) is None:
-            data, run = piece.encode(), PieceTransducer(self.list)
-            known = array("I", run.feed(data) + run.finish()).tobytes()
-            if len(piece) <= 64:
-                self.pieces[piece] = known
-        return known
-
-    def section(self, text: str, out: list[bytes]) -> None:
-        """Text without special tokens, read in chunks; the last match of a chunk waits for what follows.
+        self.odd_space = re.compile(r"\s\s|[^\S \n]|" + CUT)
+        self.clear()
+
+    def clear(self) -> None:
+        self.store, self.known = IdStore("<u4"), {}
+        self.pieces: dict[str, int] = {}
+
+    def number(self, pieces: list[str]) -> list[int]:
+        """Numbers of pieces in the store; new ones go through the transducer together."""
+        known, new, size = self.pieces, [], 0
+        for p in dict.fromkeys(pieces):
+            if p not in known:
+                new.append(p)
+        at = 0
+        while at < len(new):
+            part, size = [], 0
+            while at < len(new) and size < TOGETHER:
+                part.append(new[at].encode())
+                size += len(part[-1])
+                at += 1
+            known.update(zip(new[at - len(part) : at], range(self.store.n, self.store.n + len(part)), strict=True))
+            self.store.append(*transduce(self.list, part))
+        return list(map(known.__getitem__, pieces))
+
+    def one(self, ids: list[np.ndarray]) -> int:
+        self.store.append(flat := np.concatenate(ids), np.array([len(flat)]))
+        return self.store.n - 1
+
+    def section(self, text: str, out: list[str | int]) -> None:
+        """Pieces of a text without special tokens, read in chunks; the last match of a chunk waits for what follows.
 
         A match that fills a whole chunk is fed to a transducer as it comes, its last character held back.
         """
@@ -222,7 +273,7 @@ class Encoder:
             for m in self.pattern.finditer(held):
                 if not ends and m.end() > cut:
                     break
-                out.append(self.piece(m[0]))
+                out.append(m[0])
                 last = m.end()
             held = held[last:]
             if ends:
@@ -230,7 +281,7 @@ class Encoder:
             if len(held) > CHUNK:
                 held, at = self.long_run(held, text, at, out)
 
-    def long_run(self, held: str, text: str, at: int, out: list[bytes]) -> tuple[str, int]:
+    def long_run(self, held: str, text: str, at: int, out: list[str | int]) -> tuple[str, int]:
         """A match longer than a chunk: its characters go to one transducer until its class ends."""
         m = self.pattern.match(held)
         blank = m[0].isspace()
@@ -238,85 +289,62 @@ class Encoder:
         same = {"L": r"\p{L}+", "N": r"\p{N}+"}.get(_kind(first), r"[^\s\p{L}\p{N}]+") if not blank else r"\s+"
         import regex
 
-        more, run, n = regex.compile(same), PieceTransducer(self.list), len(text)
+        more, run, n, found = regex.compile(same), Transducer(self.list), len(text), []
         body, rest = m[0], held[m.end() :]
         while not rest and at < n:
-            out.append(array("I", run.feed(body[:-1].encode())).tobytes())
+            found += run.run(body[:-1].encode(), False)
             nxt, at = text[at : at + CHUNK], min(n, at + CHUNK)
             k = more.match(nxt)
             body, rest = body[-1] + (k[0] if k else ""), nxt[k.end() if k else 0 :]
         if blank and rest and not rest[0].isspace():  # the last blank of a run belongs to what follows
             body, rest = body[:-1], body[-1] + rest
-        out.append(array("I", run.feed(body.encode()) + run.finish()).tobytes())
+        out.append(self.one([*found, *run.run(body.encode(), True)]))
         return rest, at
 
-    def learn(self, words: list[str], lead: str) -> list[bytes]:
-        """The ids of words without blanks, each after lead; new short pieces are merged together."""
-        found = self.pattern.findall("\n".join([lead + w for w in words]))
-        new = [p for p in {*found} if p not in self.pieces]
-        short = [(p, b) for p in new if len(b := p.encode()) <= SHORT]
-        for at in range(0, len(short), 4096):
-            part = sorted(short[at : at + 4096], key=lambda x: len(x[1]))
-            for some in (part[: len(part) // 2], part[len(part) // 2 :]):
-                if some:
-                    self.pieces.update(zip([p for p, _ in some], self.list.merge_many([b for _, b in some]), strict=True))
-        out, own = [], []
-        for p in found:
-            if p == "\n":
-                out.append(b"".join(own))
-                own = []
-            else:
-                own.append(self.piece(p))
-        return [*out, b"".join(own)]
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learns the words of texts that plain() will look up."""
-        if len(self.pieces) + len(self.spaced) + len(self.bare) > CACHE_PIECES:
-            self.pieces, self.spaced, self.bare = {}, {}, {}
-        bare, spaced = set(), set()
-        for t in texts:
-            if not self.odd_space.search(t):
-                for line in t.split("\n"):
-                    head, *rest = line.split(" ")
-                    bare.add(head)
-                    spaced.update(rest)
-        for known, words, lead in ((self.bare, bare, ""), (self.spaced, spaced, " ")):
-            new = [w for w in words if w not in known and 0 < len(w) <= 64]
-            if new:
-                known.update(zip(new, self.learn(new, lead), strict=True))
-
-    def words(self, known: dict[str, bytes], words: list[str], lead: str) -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join([known[w] if w in known else self.whole(lead + w) for w in words])
-
-    def whole(self, text: str) -> bytes:
-        out: list[bytes] = []
-        self.section(text, out)
-        return b"".join(out)
-
-    def plain(self, text: str) -> bytes:
-        """Without special tokens. Where no two blanks meet, a blank opens a piece and a newline is one, so words recur."""
-        if self.odd_space.search(text):
-            return self.whole(text)
-        newline, out = self.piece("\n"), []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(newline)
-            head, *rest = line.split(" ")
-            out.append(self.words(self.bare, [head], ""))
-            out.append(self.words(self.spaced, rest, " "))
-        return b"".join(out)
+    def learn(self, words: list[str]) -> None:
+        """Numbers of distinct words without inner white space, as runs of pieces."""
+        found = self.words_pattern.findall(CUT.join(words))
+        run = np.array(self.number([p for p in found if p != CUT]), np.int64)
+        of = np.cumsum(np.fromiter((p == CUT for p in found), np.int64, len(found)))[np.fromiter((p != CUT for p in found), bool, len(found))]
+        flat, sizes = self.store.gather(run)
+        first = self.store.n
+        self.store.append(flat, np.bincount(of, sizes, len(words)).astype(np.int64))
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of texts in which no two blanks meet."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = pc.split_pattern(pa.array([t.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT) for t in texts], pa.large_string()), CUT)
+        coded = pc.dictionary_encode(cut.flatten())
+        words, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        if new := [w for w in words if w not in known]:
+            self.learn(new)
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        return np.split(numbers, cut.offsets.to_numpy()[1:-1])
+
+    def by_pattern(self, text: str) -> np.ndarray:
+        out: list[str | int] = []
+        for p in self.specials.split(text) if self.specials else [text]:
+            if p in self.list.special:
+                out.append(self.one([np.array([self.list.special[p]])]))
+            elif p:
+                self.section(p, out)
+        numbers = iter(self.number([p for p in out if isinstance(p, str)]))
+        return np.array([next(numbers) if isinstance(p, str) else p for p in out], np.int64)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        self.prepare(texts)
-        return [self.encode(t) for t in texts]
-
-    def encode(self, text: str) -> bytes:
-        if self.specials is None or not self.specials.search(text):
-            return self.plain(text)
-        return b"".join(array("I", [self.list.special[p]]).tobytes() if p in self.list.special else self.plain(p) for p in self.specials.split(text) if p)
+        if len(self.pieces) + len(self.known) > CACHE_PIECES or self.store.used > CACHE_IDS:
+            self.clear()
+        plain = [i for i, t in enumerate(texts) if t and not self.odd_space.search(t) and not (self.specials and self.specials.search(t))]
+        numbers = dict(zip(plain, self.by_words([texts[i] for i in plain]), strict=True)) if plain else {}
+        runs = [numbers[i] if i in numbers else self.by_pattern(t) for i, t in enumerate(texts)]
+        if not runs:
+            return []
+        flat, sizes = self.store.gather(np.concatenate(runs))
+        bounds = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, runs)])].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _kind(c: str) -> str:
@@ -357,19 +385,21 @@ def with_token_ids(docs: DataFrame, tokenizer: str | None = None, text: str = "t
     a column of that name, it is replaced. An empty table stays empty.
     """
     place = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    base = docs.drop(ids)
+    base = docs.drop(ids)  # in any spelling, as Spark compares names
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         enc = encoder(place)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, batch.schema.get_field_index(text), 512, 2 << 20):
                 made = enc.encode_batch([t or "" for t in part.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, ids])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(ids, BinaryType())]))
+    def whole(batches: Iterable) -> Iterator:
+        yield from ending(run(batches), encoder(place).clear)
+
+    return base.mapInArrow(whole, StructType([*base.schema.fields, StructField(ids, BinaryType())]))
 
 
 def with_decoded(docs: DataFrame, tokenizer: str | None = None, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

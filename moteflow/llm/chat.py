@@ -84,10 +84,24 @@ def parse(formatted: DataFrame) -> DataFrame:
     return cut.select("conv_id", F.transform("segments", turn).alias("turns"), unescape(F.array_join(loss, "")).alias("loss_text"), "formatted")
 
 
-def turn_events(conversations: DataFrame) -> DataFrame:
-    """A log of finished turns: each row is a message of its own, streamed as one delta after its opening."""
-    rows = conversations.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"), "role", "text")
-    return rows.select("conv_id", "seq", F.lit("delta").alias("kind"), "message", "role", "text")
+def turn_events(conversations: DataFrame, delta_chars: int = 512) -> DataFrame:
+    """The log that streaming the given turns leaves: conv_id, seq, kind, message, role, text.
+
+    A turn opens as an empty message and its text arrives in deltas of delta_chars code points. By a hash of its text, a quarter
+    of the turns first stream a wrong draft, the beginning of the text backwards, which a regenerate throws away; another
+    quarter stream that draft alone, and an edit replaces it by the whole text. seq is turn * 2**32 and the event's place in
+    its turn; a null turn comes before all others. Each row is a message, repeated rows too; null texts stream as empty.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
+    way = F.pmod(F.xxhash64(text), F.lit(4))
+    event = lambda kind, said, who=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if who is None else who).alias("role"), said.alias("text"))
+    pieces = F.greatest(F.ceil(F.length("t") / delta_chars).cast("int"), F.lit(1))
+    deltas = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: event("delta", F.substring(F.col("t"), i * delta_chars + 1, F.lit(delta_chars))))
+    draft = event("delta", F.reverse(F.substring("t", 1, 24)))
+    opening = event("message", F.lit(""), role)
+    log = F.when(F.col("way") == 0, F.concat(F.array(opening, draft, event("regenerate", F.lit(""))), deltas)).when(F.col("way") == 1, F.array(opening, draft, event("edit", F.col("t")))).otherwise(F.concat(F.array(opening), deltas))
+    rows = conversations.select("conv_id", F.shiftleft(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 30))), 32).alias("at"), F.monotonically_increasing_id().alias("message"), "role", text.alias("t"), way.alias("way"))
+    return rows.select("conv_id", "at", "message", F.posexplode(log).alias("place", "e")).select("conv_id", (F.col("at") + F.col("place")).alias("seq"), "e.kind", "message", "e.role", "e.text")
 
 
 def digests(parsed: DataFrame) -> DataFrame:

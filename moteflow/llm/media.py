@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import own_columns
+from .common import filesystem, own_columns
 
 LOCAL, CENTRAL, END = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"), struct.Struct("<4s4H2IH")
 END64, LOCATOR = struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4sIQI")
 U16, U32 = 0xFFFF, 0xFFFFFFFF
 WAV_HEAD = struct.Struct("<4sI4s4sIHHIIHH4sIQ4sI")
 RATE, UNIT = 8000, 64
+TAIL = LOCATOR.size + END.size + U16  # the end records and the longest comment after them
 
 
 def wav(text: bytes) -> bytes:
@@ -87,15 +88,6 @@ def write_archives(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     own_columns(docs, key, text).mapInArrow(write, "data binary").select(F.col("data").cast("string").alias("value")).write.text(path, lineSep="\n")
 
 
-def filesystem(path: str):  # noqa: ANN201
-    """The file system of a path or URI, and the path within it."""
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class ByteRange(InputPartition):
     path: str
@@ -116,8 +108,8 @@ class Member:
 
 def read_directory(file, size: int) -> list[Member]:  # noqa: ANN001
     """The central directory of an open archive."""
-    file.seek(max(0, size - 4096 - U16 // 16))
-    tail_at, tail = file.tell(), file.read(size - max(0, size - 4096 - U16 // 16))
+    file.seek(max(0, size - TAIL))
+    tail = file.read(min(size, TAIL))
     e = tail.rfind(b"PK\5\6")
     if e < 0:
         raise ValueError("no end of central directory")
@@ -128,7 +120,6 @@ def read_directory(file, size: int) -> list[Member]:  # noqa: ANN001
         *_, n, length, at = END64.unpack(file.read(END64.size))
     file.seek(at)
     data, out, p = file.read(length), [], 0
-    del tail_at
     for _ in range(n):
         _, _, _, _, method, _, _, crc, packed, full, k, x, c, _, _, _, offset = CENTRAL.unpack(data[p : p + CENTRAL.size])
         p += CENTRAL.size

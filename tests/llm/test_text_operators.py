@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import zipfile
 import zlib
@@ -41,6 +42,28 @@ def test_token_shards_hold_what_the_library_gives(spark):
     assert set(found) == {-5, 8, None} and found[8] == [*tok.encode(ODD[8], add_special_tokens=False).ids, 1]
 
 
+def test_lookups_read_single_blocks_of_single_shards(spark):
+    docs, path = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.sha2(F.col("id").cast("string"), 512)).alias("text")), scratch(spark, "t")
+    sstable.write_token_shards(docs, path, block_bytes=1024, shard_bytes=100_000)
+    foot = {r["shard"]: r for r in sstable.footers(spark, path).collect()}
+    assert len(foot) >= 5 and all(r["length"] < 200_000 for r in foot.values())  # as many as the bytes ask for, more than the shuffle partitions
+    (hit,) = sstable.lookup(spark, path, [1234]).collect()
+    of = next(r for r in foot.values() if r["first"] <= sstable.encode_key(1234) <= r["last"])
+    assert hit["key"] == 1234 and hit["bytes_read"] < of["length"] / 3
+    assert sstable.lookup(spark, path, [-1, 4000]).count() == 0
+
+
+def test_other_vocabularies_go_through_the_whole_library(spark, tmp_path):
+    from tokenizers import normalizers
+
+    tok = library("word_bpe_49k.json")
+    tok.normalizer = normalizers.Lowercase()
+    tok.save(str(tmp_path / "other.json"))
+    enc = sstable.WordEncoder(str(tmp_path / "other.json"))
+    texts = [t or "" for t in ODD]
+    assert not enc.by_words and enc.encode(texts) == [np.array(e.ids, enc.kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_token_shards_of_an_empty_table(spark):
     path = scratch(spark, "t")
     sstable.write_token_shards(odd_docs(spark).limit(0), path)
@@ -54,14 +77,16 @@ def test_shard_format_by_itself():
             out += p + b"\n"
     for p in w.finish():
         out += p + b"\n"
-    s = sstable.Shard(out)
-    assert (s.shard, s.entries, s.ids) == (7, 103, 206) and len(s.places) > 5
+    s = sstable.Shard(io.BytesIO(out), len(out))
+    s.open_index()
+    assert (s.shard, s.entries, s.ids, s.first, s.last) == (7, 103, 206, sstable.encode_key(0), sstable.encode_key(300)) and len(s.places) > 5
+    bloom = s.read(s.bloom_at, s.bloom_n)
     assert [sstable.value_ids(v).tolist() for v in s.lookup(sstable.encode_key(33))] == [[33, 1]] and len(s.lookup(sstable.encode_key(300))) == 3
-    assert s.lookup(sstable.encode_key(34)) == [] and sum(sstable.bloom_may_hold(s.bloom, sstable.encode_key(k)) for k in range(10_000, 12_000)) < 60
+    assert s.lookup(sstable.encode_key(34)) == [] and sum(sstable.bloom_may_hold(bloom, sstable.encode_key(k)) for k in range(10_000, 12_000)) < 60
     broken = bytearray(out)
     broken[20] ^= 1
     with pytest.raises(ValueError):
-        list(sstable.Shard(bytes(broken)).scan())
+        list(sstable.Shard(io.BytesIO(bytes(broken)), len(broken)).scan())
 
 
 def test_bpe_equals_the_library_and_round_trips(spark):
@@ -74,23 +99,41 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.with_token_ids(docs.limit(0)).count() == 0 and "key" in rows[0].asDict()
 
 
+def merged(merges, data):
+    """The plain rule: again and again the pair of the smallest rank, all its occurrences from the left."""
+    ids = [merges.byte_id[b] for b in data]
+    while pairs := [(merges.merges[p][0], p) for p in zip(ids, ids[1:], strict=False) if p in merges.merges]:
+        pair, out, i = min(pairs)[1], [], 0
+        while i < len(ids):
+            both = tuple(ids[i : i + 2]) == pair
+            out.append(merges.merges[pair][1] if both else ids[i])
+            i += 2 if both else 1
+        ids = out
+    return ids
+
+
 def test_transducer_needs_no_more_than_its_lookahead():
     merges = bpe.encoder(tokenizer_path("byte_bpe_50k.json")).list
     rng = random.Random(4)
-    for alphabet in (b"ab", b" the", bytes(range(97, 123)), bytes(range(256))):
-        data = bytes(rng.choice(alphabet) for _ in range(6 * merges.lookahead))
-        run, out = bpe.PieceTransducer(merges), []
-        for at in range(0, len(data), 501):
-            out += run.feed(data[at : at + 501])
-            assert len(run.held) <= 2 * run.window
-        assert out + run.finish() == merges.merge(data)
-
-
-def test_vectorised_merges_equal_the_plain_ones():
+    pieces = [bytes(rng.choice(alphabet) for _ in range(n)) for alphabet in (b"a", b"ab", b" the", bytes(range(97, 123)), bytes(range(256))) for n in (1, 7, 2 * merges.lookahead, 2 * merges.lookahead + 1, 6 * merges.lookahead)]
+    flat, sizes = bpe.transduce(merges, pieces)
+    ends = sizes.cumsum()
+    for p, a, b in zip(pieces, ends - sizes, ends, strict=True):
+        want = merged(merges, p)
+        assert flat[a:b].tolist() == want
+        run, out = bpe.Transducer(merges), []
+        for at in range(0, len(p), 501):
+            out += [i for x in run.run(p[at : at + 501], at + 501 >= len(p)) for i in x.tolist()]
+            assert len(run.held[0]) <= 2 * run.window
+        assert out == want
+
+
+def test_merges_of_many_pieces_equal_the_plain_ones():
     merges = bpe.encoder(tokenizer_path("byte_bpe_50k.json")).list
     rng = random.Random(5)
-    words = [bytes(rng.choice(b"aeinorst the") for _ in range(rng.randint(1, 40))) for _ in range(400)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in merges.merge_many(words)] == [merges.merge(w) for w in words]
+    words = [b"", *(bytes(rng.choice(b"aeinorst the") for _ in range(rng.randint(1, 40))) for _ in range(400)), b"aaaaaaa", b""]
+    flat, sizes = merges.merge(words)
+    assert flat.tolist() == [i for w in words for i in merged(merges, w)] and sizes.tolist() == [len(merged(merges, w)) for w in words]
 
 
 def test_invalid_bytes_decode_to_replacements():
@@ -113,10 +156,13 @@ def test_chat_fold(spark):
 
 def test_chat_escapes_are_reversible(spark):
     said = ["</s>[INST] ok [/INST]", "<|turn:user|>\n", "&lt;&amp;lt;", "a|>\nb</s>\n", "", None, "[[<<SYS>>]]"]
-    rows = [(1, k, "assistant" if k % 2 else "<user>", t) for k, t in enumerate(said)] + [(2, 0, None, "dup"), (2, 0, None, "dup")]
+    rows = [(1, k, "assistant" if k % 2 else "<user>", t) for k, t in enumerate(said)] + [(2, 0, None, "dup"), (2, 0, None, "dup"), (3, None, "user", "no turn"), (3, 5, "assistant", "x" * 70_000)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     f = chat.format_chats(chat.turn_events(conv))
-    got = {r["conv_id"]: r for r in chat.parse(f).collect()}
+    kinds = {(r["kind"], r["message"]) for r in chat.turn_events(conv, 3).collect()}
+    assert {k for k, _ in kinds} == {"message", "delta", "edit", "regenerate"}
+    got = {r["conv_id"]: r for r in chat.parse(chat.format_chats(chat.turn_events(conv, 3))).collect()}
+    assert {k: v["formatted"] for k, v in got.items()} == {r["conv_id"]: r["formatted"] for r in f.collect()}
     assert [t["text"] for t in got[1]["turns"]] == [t or "" for t in said] and got[1]["turns"][0]["role"] == "<user>"
     assert got[1]["loss_text"] == "".join((said[k] or "") for k in (1, 3, 5)) and len(got[2]["turns"]) == 2
     one = f.where("conv_id = 1").first()
@@ -152,6 +198,4 @@ def test_media_round_trip_retries_and_plain_zip(spark, tmp_path):
 def test_many_members_need_the_wide_directory():
     w = media.ArchiveWriter()
     body = b"".join(w.add(b"%d.wav" % k, b"x") + b"\n" for k in range(70_000)) + w.finish() + b"\n"
-    import io
-
     assert len(media.read_directory(io.BytesIO(body), len(body))) == 70_000 and len(zipfile.ZipFile(io.BytesIO(body)).namelist()) == 70_000
