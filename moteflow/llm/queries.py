@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, linededup, media, mixing, ngramjoin, sharding, sstable, toxicity
-from .common import scratch
+from .common import scratch, small_batches
 
 #: Weights of documents of high and of low quality in the mix.
 MIX_TARGETS = {1: 0.9, 0: 0.1}
@@ -65,17 +66,26 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "group_id", "n_links", "first")
 
 
+def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_shards": op1_token_shards,
-    "op2_ann": op2_ann,
-    "op3_toxicity": op3_toxicity,
-    "op4_chat": op4_chat,
-    "op5_bpe": op5_bpe,
-    "op6_line_dedup": op6_line_dedup,
-    "op7_mixing": op7_mixing,
-    "op8_media": op8_media,
-    "op9_sharding": op9_sharding,
-    "op10_ngram_join": op10_ngram_join,
+    "op1_token_shards": prepared(op1_token_shards),
+    "op2_ann": prepared(op2_ann),
+    "op3_toxicity": prepared(op3_toxicity),
+    "op4_chat": prepared(op4_chat),
+    "op5_bpe": prepared(op5_bpe),
+    "op6_line_dedup": prepared(op6_line_dedup),
+    "op7_mixing": prepared(op7_mixing),
+    "op8_media": prepared(op8_media),
+    "op9_sharding": prepared(op9_sharding),
+    "op10_ngram_join": prepared(op10_ngram_join),
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,27 +1,28 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its hashed character n-grams and of itself, so an unseen misspelling shares most of a
-known word's vectors. A window of words is the mean of its words, a text scores as its worst window does, and the gradient of
-each text flows through that window into the softmax and the n-gram vectors alike. Because all of it is linear up to the
-softmax, a trained word is one number: scoring a text looks its words up and takes the best sliding mean.
+known word's vectors. What is averaged is a window of WINDOW words, and a text scores as its worst window does: in the mean of a
+whole long text a toxic sentence vanishes. The gradient of each text flows through that window into the softmax and the n-gram
+vectors alike. Because all of it is linear up to the softmax, a trained word is one number: scoring a text looks its words up
+and takes the best sliding mean.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import ending, own_columns, slices
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 16, (3, 4, 5), 4
 PIECE, OVERLAP = 28, 4  # bytes: longer words are cut into pieces that overlap
 WORDS = re.compile(r"\w+")
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 THRESHOLD = 0.7
 
 
@@ -77,6 +78,9 @@ class Model:
     bias: float
     known: dict[str, float] = field(default_factory=dict)
 
+    def forget(self) -> None:
+        self.known = {}
+
     def __getstate__(self) -> dict:
         return {"bucket_score": self.bucket_score, "bias": self.bias, "known": {}}
 
@@ -101,8 +105,12 @@ class Model:
         return out
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Adagrad on the mean log loss, both classes weighing the same. Without examples of both, a model that scores 0.5 or less."""
+def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float = 0.2, decay: float = 1e-4, seed: int = 7, distrust: float = 0.6, trusted_rounds: int = 13) -> Model:
+    """Adagrad on the mean log loss, both classes weighing the same. Without examples of both, a model that scores 0.5 or less.
+
+    Labels may be wrong: after trusted_rounds rounds, an example whose probability is further than distrust from its label has
+    no weight in that round; it may come back in a later one. distrust=1 trusts every label.
+    """
     y = np.array(toxic, float)
     lists = [words_of(t) for t in texts]
     if not len(y) or y.min() == y.max():
@@ -147,8 +155,8 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 40, rate: float
         logits = pooled @ weights.T + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        if round_no >= rounds // 3:  # labels are noisy: what still scores far on the other side is no example any more
-            weight = np.where(np.abs(p[:, 1] - y) > 0.6, 0.0, base)
+        if round_no >= trusted_rounds:
+            weight = np.where(np.abs(p[:, 1] - y) > distrust, 0.0, base)
         delta = (p - np.stack([1 - y, y], 1)) * weight[:, None]
         g_w, g_b, g_pooled = delta.T @ pooled, delta.sum(0), delta @ weights
         g_word = np.zeros((len(own), DIM))
@@ -195,20 +203,29 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
 
     All other columns, nulls and repeated rows pass unchanged; a column of that name is replaced.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.functions import arrow_udf
 
-    base = docs.drop(score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles
 
-    def run(batches: Iterable) -> Iterator:
+    def run(texts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column(text).to_pylist()), pa.float64())], [*part.schema.names, score])
+        def scores() -> Iterator:
+            for batch in texts:
+                rows = pa.record_batch([batch], ["text"])
+                yield pa.array([x for part in slices(rows, 0, 256, 1 << 20) for x in shared.value.score(part.column(0).to_pylist())], pa.float64())
+
+        yield from ending(scores(), shared.value.forget)
+
+    # Arrow's types as annotations choose the form of the function; only texts go to Python and only scores come back
+    run.__annotations__ = {"texts": Iterator[_arrow()], "return": Iterator[_arrow()]}
+    return docs.drop(score).withColumn(score, arrow_udf(run, "double")(F.col(f"`{text}`")))
+
+
+def _arrow():  # noqa: ANN202
+    import pyarrow as pa
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(score, DoubleType())]))
+    return pa.Array
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,6 +238,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text does not score as toxic."""
     model = train(docs, labels)
     name = "toxicity_score"
-    while name in docs.columns:
+    while name.lower() in map(str.lower, docs.columns):
         name += "_"
     return with_score(docs, model, score=name).where(F.col(name) < THRESHOLD).drop(name)

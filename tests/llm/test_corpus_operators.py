@@ -1,5 +1,4 @@
 import itertools
-import math
 import random
 import re
 
@@ -60,7 +59,7 @@ def test_toxicity_learns_and_generalises(spark):
                 t.insert(rng.randrange(len(t)), rng.choice(bad))
         rows.append((i, " ".join(t)))
         labels.append((i, int(toxic)))
-    rows += [(1000, None), (1001, ""), (1002, words(rng, 30) + " horidword " + words(rng, 30)), (None, "x y"), (5, rows[5][1])]
+    rows += [(1000, None), (1001, ""), (1002, words(rng, 30) + " horidword " + words(rng, 30)), (1003, words(rng, 60_000)), (None, "x y"), (5, rows[5][1])]
     docs = table(spark, rows)
     lab = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
     got = toxicity.scored(docs, lab).collect()
@@ -69,12 +68,77 @@ def test_toxicity_learns_and_generalises(spark):
     assert len(held) > 60 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows) and by[1002]["score"] > 0.5 > by[1001]["score"] == by[1000]["score"] and by[None]["held_out"]
+    clash = docs.withColumn("Score", F.lit("mine")).withColumn("toxicity_score", F.lit(1))
+    assert toxicity.clean(clash, lab).columns == clash.columns and toxicity.scored(clash, lab).count() == len(got)
     kept = toxicity.clean(docs, lab)
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
     assert toxicity.scored(docs, lab.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.scored(docs.limit(0), lab).count() == 0
 
 
+def plain_grams(word):
+    """Buckets of a word's n-grams and of its pieces, one by one."""
+    b, out, mask = b"<" + word.encode() + b">", [], 2**64 - 1
+    for at in range(0, max(1, len(b) - toxicity.OVERLAP), toxicity.PIECE - toxicity.OVERLAP):
+        piece = b[at : at + toxicity.PIECE]
+        h = 0
+        for i in range(toxicity.PIECE):
+            h = (((h ^ (piece[i] if i < len(piece) else 0)) * 1099511628211) + i) & mask
+        out.append((h * 0x9E3779B97F4A7C15 & mask) >> 40)
+        for n in toxicity.GRAMS:
+            for i in range(len(piece) - n + 1):
+                h = n
+                for c in piece[i : i + n]:
+                    h = ((h ^ c) * 1099511628211) & mask
+                out.append((h * 0x9E3779B97F4A7C15 & mask) >> 40)
+    return [x % toxicity.BUCKETS for x in out]
+
+
+def test_toxicity_scores_equal_a_plain_sum():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -0.4)
+    texts = ["", None, "one", "Zwei drei-vier", "a b c d e f g", "x" * 90 + " tail " + "ß" * 70, "the " * 5000 + "end of it all now"]
+    for t, got in zip(texts, model.score(texts), strict=True):
+        means = [np.mean([model.bucket_score[b] for b in plain_grams(w)]) for w in re.findall(r"\w+", (t or "").lower())]
+        windows = [np.mean(means[i : i + 4]) for i in range(max(1, len(means) - 3))] if means else [0.0]
+        assert abs(got - 1 / (1 + np.exp(-(max(windows) + model.bias)))) < 1e-9
+
+
+def test_toxicity_training_equals_plain_steps():
+    texts, toxic, rate, decay = ["good fine day", "bad awful word here now and then", "fine", "awful", ""], [0, 1, 0, 1, 0], 0.2, 1e-4
+    got = toxicity.fit(texts, toxic, rounds=3, trusted_rounds=2)
+    rng = np.random.default_rng(7)
+    v, w, b = rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 0.1, (2, toxicity.DIM)), np.zeros(2)
+    sv, sw, sb = np.full(toxicity.BUCKETS, 1e-8), np.full((2, toxicity.DIM), 1e-8), np.full(2, 1e-8)
+    for step in range(3):
+        gv, gw, gb, used = {}, np.zeros_like(w), np.zeros(2), set()
+        for t, y in zip(texts, toxic, strict=True):
+            bags = [plain_grams(x) for x in t.split()]
+            starts = range(max(1, len(bags) - 3)) if bags else []
+            at = max(starts, key=lambda i: np.mean([np.mean(v[g] @ (w[1] - w[0])) for g in bags[i : i + 4]]), default=0)
+            bags = bags[at : at + 4]
+            pooled = np.mean([v[g].mean(0) for g in bags], 0) if bags else np.zeros(toxicity.DIM)
+            p = np.exp(w @ pooled + b)
+            p /= p.sum()
+            used |= {x for g in bags for x in g}
+            if step >= 2 and abs(p[1] - y) > 0.6:
+                continue
+            delta = (p - np.array([1 - y, y])) * (0.5 / 2 if y else 0.5 / 3)
+            gw += np.outer(delta, pooled)
+            gb += delta
+            for g in bags:
+                for x in g:
+                    gv[x] = gv.get(x, 0) + (delta @ w) / len(bags) / len(g)
+        for x in used:
+            g = gv.get(x, 0) + decay * v[x]
+            sv[x] += np.square(g).mean()
+            v[x] = v[x] - rate * g / np.sqrt(sv[x])
+        sw += np.square(gw)
+        sb += np.square(gb)
+        w, b = w - rate * gw / np.sqrt(sw), b - rate * gb / np.sqrt(sb)
+    assert np.allclose(got.bucket_score, v @ (w[1] - w[0]), atol=1e-9) and abs(got.bias - (b[1] - b[0])) < 1e-9
+
+
 def repeated_runs(docs, least):
     """Every run of lines that an earlier place has too: all diagonals of all pairs."""
     cut = {k: re.split(r"(?<=\n)|(?<=\. )", t) for k, t in docs}
@@ -234,7 +298,18 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngramjoin.ngram_join(docs.limit(0)).count() == 0
 
 
-def test_prefix_shortens_until_the_recall_is_met():
-    k = ngramjoin.prefix_length(0.8)
-    recall = lambda k: 1 - (1 - 0.8**k) ** ngramjoin.TREES
-    assert recall(k) >= ngramjoin.RECALL > recall(k + 1) and not math.isnan(k)
+def test_prefixes_shorten_until_the_recall_is_met(spark, monkeypatch):
+    k = ngramjoin.shortest_prefix(0.8)
+    assert ngramjoin.found_at(0.8, k) >= ngramjoin.RECALL > ngramjoin.found_at(0.8, k + 1)
+    depths, tiles = [], ngramjoin.tiles
+    monkeypatch.setattr(ngramjoin, "tiles", lambda near, k: depths.append(k) or tiles(near, k))
+    rng = random.Random(12)
+    far = [words(rng, 300).split() for _ in range(12)]
+    changed = lambda t, n: [words(rng, 1) if i % (len(t) // n) == 0 else w for i, w in enumerate(t)]
+    for edits, last in ((1, ngramjoin.DEPTH), (6, k)):  # links far above the threshold are all found at once, those near it not
+        rows = [(i, " ".join(t)) for i, t in enumerate(far)] + [(100 + i, " ".join(changed(t, edits))) for i, t in enumerate(far)]
+        got = {r["doc_id"]: r for r in ngramjoin.ngram_join(table(spark, rows)).collect()}
+        sets = {i: shingles(t) for i, t in rows}
+        assert all(got[100 + i]["n_links"] == int(similarity(sets[i], sets[100 + i]) >= 0.8) for i in range(12))
+        assert depths == list(range(ngramjoin.DEPTH, last - 1, -1))
+        depths.clear()
