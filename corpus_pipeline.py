@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moteflow.llm import bpe, linededup, mixing, ngramjoin, toxicity
-from moteflow.llm.common import scratch
+from moteflow.llm.common import scratch, small_batches
 from moteflow.llm.queries import MIX_TARGETS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go; the model learns from labelled rows that are not held out and are still there."""
+    small_batches(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -23,6 +24,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that similarities of 0.8 or more join, the document with the smallest id stays."""
+    small_batches(spark)
     return ngramjoin.drop_near_copies(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and token_ids of each row; the ids decode to the row's text."""
+    small_batches(spark)
     rows = bpe.with_token_ids(docs.select("doc_id", "source", "text")).drop("text")
     return rows.select("doc_id", "source", F.expr("cast(length(token_ids) / 4 as long)").alias("n_tokens"), "token_ids")
 
