@@ -1,9 +1,14 @@
 """Repeated-run removal over line hashes; DataFrame functions only.
 
 A document is a sequence of lines; a long line is read sentence by sentence, so that a passage is found inside a line too. A
-stretch is the shortest sequence of lines that has enough words, from each line on and back from each line. Every run of enough
-words is a union of stretches, so a line is in a run that an earlier place has too exactly if one of its stretches is: stretches
-are joined by their hash to the first place of all that has them, and no two texts are compared.
+stretch is the shortest sequence of lines that has enough words, from each line on and back from each line. The hashes of its
+lines make one fingerprint. Every run of enough words is a union of stretches, so a line is in a run that an earlier place has
+too exactly if one of its stretches is: fingerprints are joined to the first position of all that have them, the union of the
+matches is the run extended both ways, and no two texts are compared.
+
+Winnowing selects some of the fingerprints, window by window; here each window is a single fingerprint and all are kept. With
+fewer, a match has to be extended against one partner's text, and a run whose selected fingerprints stood alone in earlier
+documents, each in another one, meets no partner that has the run.
 """
 
 from __future__ import annotations
@@ -16,14 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_WORDS = 30
+MIN_WORDS = 20
+ENDS = ("\n", ". ", "! ", "? ")  # of lines and sentences
 CUT = "\x01"
 
 
 def lines(text: Column) -> Column:
     """The text's lines and sentences with what separates them; they concatenate to the text."""
-    fast = F.split(F.replace(F.replace(text, F.lit("\n"), F.lit("\n" + CUT)), F.lit(". "), F.lit(". " + CUT)), CUT)
-    return F.when(F.contains(text, F.lit(CUT)), F.split(text, r"(?<=\n)|(?<=\. )")).otherwise(fast)
+    cut = reduce(lambda c, end: F.replace(c, F.lit(end), F.lit(end + CUT)), ENDS, text)
+    return F.when(F.contains(text, F.lit(CUT)), F.split(text, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(cut, CUT))
 
 
 SPACE = " \n\r\t"
@@ -62,10 +68,12 @@ def stretches(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """id and place of every stretch that isn't the first of its key in the order of d, id and place."""
+    """d, id and place of every stretch that isn't the first of its key in the order of d, id and place."""
     place = F.struct("d", "id", "place")
-    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "first")
-    return found.join(stored(firsts, "line-firsts"), "key").where(place != F.col("first")).select("id", "place")
+    shared = found.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("key")
+    again = stored(found.join(shared, "key", "left_semi"), "line-repeats")
+    firsts = stored(again.groupBy("key").agg(F.min(place).alias("first")), "line-firsts")
+    return again.join(firsts, "key").where(place != F.col("first")).select("d", "id", "place")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -84,12 +92,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     name = lambda base: reduce(lambda n, c: n + "_" if n.lower() == c.lower() else n, sorted(docs.columns, key=str.lower), base)
     rid, found = name("line_row"), name("line_runs")
     body = F.col(f"`{text}`")
-    row_id = F.xxhash64(F.col(f"`{key}`"), body)
-    plain = docs.where(body.isNotNull()).select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("d"), row_id.alias("id"), body.alias("text"))
+    row_id, order = F.xxhash64(F.col(f"`{key}`"), body), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1))
+    plain = docs.where(body.isNotNull()).select(order.alias("d"), row_id.alias("id"), body.alias("text"))
     again = repeats(stored(stretches(plain, min_words), "line-stretches"))
-    sides = again.groupBy(F.col("id").alias(rid)).agg(F.collect_set("place").alias(found))
+    sides = again.groupBy(F.struct("d", "id").alias(rid)).agg(F.collect_set("place").alias(found))  # places of one text, as many as its lines
     parts = name("line_parts")
-    joined = docs.withColumn(rid, F.when(body.isNotNull(), row_id)).join(sides, rid, "left")
+    joined = docs.withColumn(rid, F.when(body.isNotNull(), F.struct(order.alias("d"), row_id.alias("id")))).join(sides, rid, "left")
     gone = F.flatten(F.transform(found, lambda p: F.sequence(F.shiftright(p, 32).cast("int"), p.bitwiseAND(F.lit(2**32 - 1)).cast("int"))))
 
     def keep_of(p: Column) -> Column:
