@@ -70,7 +70,7 @@ def stretches(docs: DataFrame, min_words: int) -> DataFrame:
 def repeats(found: DataFrame) -> DataFrame:
     """d, id and place of every stretch that isn't the first of its key in the order of d, id and place."""
     place = F.struct("d", "id", "place")
-    shared = found.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("key")
+    shared = stored(found.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("key"), "line-keys")  # read back, so that a hot key's join can be split
     again = stored(found.join(shared, "key", "left_semi"), "line-repeats")
     firsts = stored(again.groupBy("key").agg(F.min(place).alias("first")), "line-firsts")
     return again.join(firsts, "key").where(place != F.col("first")).select("d", "id", "place")
