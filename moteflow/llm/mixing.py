@@ -76,27 +76,31 @@ def fit_rates(members: DataFrame, weights: list[float], total_tokens: float | No
     share = np.array(weights, float) / sum(weights)
     if now.sum() <= 0:
         return F.lit(1.0)
-    total = total_tokens or now.sum()
+    total, least = total_tokens or now.sum(), 1.0 if upsample else 0.0
     if upsample:
         total = max((now[i] / share[i] for i in range(k) if share[i] > 0), default=total)
-    target, g = share * total, np.array([[gram[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
-    rate, got = F.lit(1.0), now
-    for _ in range(rounds):
-        residual = target - got
-        if np.abs(residual).max() <= tolerance * target.sum():
-            break
-        step = np.linalg.lstsq(g, residual, rcond=1e-12)[0]
-        rate = F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [p[i] * float(step[i]) for i in range(k)], rate))
-        sums = members.select(n.alias("n"), rate.alias("r"), "p").agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
-        got = np.array([sums[f"t{i}"] for i in range(k)])
-    return rate
+    g = np.array([[gram[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
+    while True:
+        target, rate, got = share * total, F.lit(1.0), now
+        for _ in range(rounds):
+            residual = target - got
+            if np.abs(residual).max() <= tolerance * target.sum():
+                return rate
+            step = np.linalg.lstsq(g, residual, rcond=1e-12)[0]
+            rate = F.greatest(F.lit(least), reduce(lambda a, b: a + b, [p[i] * float(step[i]) for i in range(k)], rate))
+            sums = members.select(n.alias("n"), rate.alias("r"), "p").agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
+            got = np.array([sums[f"t{i}"] for i in range(k)])
+        if not upsample or total > 1e3 * now.sum():
+            return rate  # the nearest that rates in reach come
+        total *= 1.1  # rates that may not fall under one need more tokens in all
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict, label: str = "quality", key: str = "doc_id", text: str = "text", total_tokens: float | None = None, upsample: bool = False, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
     """One row for each row of docs: key, id (hash of key and text), n_tokens, p (posteriors in the order of targets), rate.
 
-    targets gives each domain's weight. The tokens to reach are total_tokens, or as many as docs has; with upsample, the fewest
-    for which no domain must shrink. Null and empty texts have no tokens and the rate of their features. Null keys have no
+    targets gives each domain's weight. The tokens to reach are total_tokens, or as many as docs has; with upsample no rate is
+    under 1, and the tokens to reach are the fewest for which no domain must shrink, or more in steps of a tenth until the
+    targets are met. Null and empty texts have no tokens and the rate of their features. Null keys have no
     label. Repeated rows have equal rates, as have ties. Without tokens all rates are 1. An empty table gives no rows. Extra
     columns are not read.
     """
@@ -109,16 +113,18 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict, label: str
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each row as often as its rate says: no domain shrinks, every row stays, and rows of scarce domains repeat.
+    """docs with each row as often as its rate says: no rate is under 1, so every row stays, and rows of scarce domains repeat.
 
-    The rate's fraction is rounded up for a share of rows that a hash of key and text picks. Columns pass unchanged.
+    The rate's fraction is rounded up for a share of rows that a hash of key and text picks, so the tokens meet the targets on
+    the average. A row's copies are as many as its rate, which the targets bound and the table's size does not. Columns pass
+    unchanged.
     """
-    rates = document_rates(docs, labels, targets, label, key, text, upsample=True).select("id", "rate").groupBy("id").agg(F.max("rate").alias("rate"))
+    rates = document_rates(docs, labels, targets, label, key, text, upsample=True).groupBy(F.struct(F.col(key).alias("k"), "id").alias("id")).agg(F.max("rate").alias("rate"))
     name = lambda base: reduce(lambda n, c: n + "_" if n.lower() == c.lower() else n, sorted(docs.columns, key=str.lower), base)
     rid, times = name("mix_row"), name("mix_times")
     spin = F.pmod(F.xxhash64(F.col(rid), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = docs.withColumn(rid, F.xxhash64(F.col(key), F.col(text))).join(rates.select(F.col("id").alias(rid), F.col("rate").alias(times)), rid)
-    copies = F.greatest(F.lit(1), F.floor(F.col(times) + spin).cast("int"))
+    drawn = docs.withColumn(rid, F.struct(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("id"))).join(rates.select(F.col("id").alias(rid), F.col("rate").alias(times)), rid)
+    copies = F.greatest(F.lit(1), F.floor(F.col(times) + spin).cast("int"))  # 1 where there is no rate
     return drawn.withColumn(times, F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

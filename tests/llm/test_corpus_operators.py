@@ -196,7 +196,7 @@ def test_line_dedup_runs_no_python(spark):
 
 def test_mixing_meets_targets_and_equals_numpy(spark):
     rng = random.Random(8)
-    rows = [(i, words(rng, 40 + i % 50) if i % 4 else "### %%% " * (20 + i % 30)) for i in range(200)] + [(300, None), (301, ""), (None, words(rng, 10)), (5, words(rng, 44))]
+    rows = [(i, words(rng, 40 + i % 50) if i % 4 else "### %%% " * (20 + i % 30)) for i in range(200)] + [(300, None), (301, ""), (None, words(rng, 10)), (5, words(rng, 44)), (302, words(rng, 3000))]
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 200, 2)] + [(None, 1), (9, None), (11, 7)], "doc_id long, quality int")
     docs = table(spark, rows)
     got = mixing.document_rates(docs, labels, {1: 0.6, 0: 0.4}).collect()
@@ -209,9 +209,17 @@ def test_mixing_meets_targets_and_equals_numpy(spark):
     for _ in range(500):  # plain projected gradient with short steps
         rate = np.maximum(0, rate + 0.5 * p @ np.linalg.solve(gram, target - (n * rate) @ p))
     assert np.allclose(rate, r, atol=1e-5)
-    harsh = mixing.document_rates(docs, labels, {1: 0.0, 0: 1.0}).collect()
-    assert min(g["rate"] for g in harsh) >= 0
+    soft = n @ p
+    low = 1.02 * float((n[p[:, 0] < 0.5] @ p[p[:, 0] < 0.5])[0] / soft.sum())  # hardly more than the other domain's documents bring by themselves
+    harsh = np.array([g["rate"] for g in mixing.document_rates(docs, labels, {1: low, 0: 1 - low}, rounds=60).collect()])
+    rate, target = np.ones(len(n)), np.array([low, 1 - low]) * n.sum()
+    for _ in range(3000):
+        rate = np.maximum(0, rate + 0.5 * p @ np.linalg.solve(gram, target - (n * rate) @ p))
+    assert np.allclose(np.sort(harsh), np.sort(rate), atol=1e-3) and harsh.min() >= 0
     mixed = mixing.mix(docs, labels, {1: 0.6, 0: 0.4})
+    posterior = {(g["doc_id"], g["n_tokens"]): (g["n_tokens"], g["p"][0]) for g in got}
+    share = [posterior[(r["doc_id"], len((r["text"] or "").split()))] for r in mixed.select("doc_id", "text").collect()]
+    assert abs(sum(t * q for t, q in share) / sum(t for t, _ in share) - 0.6) < 0.01  # rates are rounded to copies
     assert mixed.columns == docs.columns and mixed.count() >= len(rows) and mixed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert {g["rate"] for g in mixing.document_rates(docs, labels.limit(0), {1: 0.5, 0: 0.5}).collect()} == {1.0}
     assert mixing.document_rates(docs.limit(0), labels, {1: 0.5, 0: 0.5}).count() == 0
