@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moteflow.llm import bpe, linededup, mixing, ngramjoin, toxicity
 from moteflow.llm.common import scratch, small_batches
-from moteflow.llm.queries import MIX_TARGETS
+from moteflow.llm.queries import PIPELINE_TARGETS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of the scarcer quality repeat as their rates say."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_TARGETS)
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), PIPELINE_TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
