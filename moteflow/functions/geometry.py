@@ -17,7 +17,8 @@ def min_image(d: Column, length: Column | float, periodic: Column | bool = True)
     """d minus the nearest whole number of box lengths; halves go away from zero. d itself on open or empty axes."""
     length = F.lit(length) if not isinstance(length, Column) else length
     periodic = F.lit(periodic) if not isinstance(periodic, Column) else periodic
-    return F.when(periodic & (length > 0), d - length * F.round(d / length)).otherwise(d)
+    q = d / length  # not F.round, which goes through decimals
+    return F.when(periodic & (length > 0), d - length * (F.signum(q) * F.floor(F.abs(q) + 0.5))).otherwise(d)
 
 
 def wrap(p: Column, lo: Column | float, length: Column | float) -> Column:

@@ -46,6 +46,8 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, box: Box | None
     near = ds[0] * ds[0] + ds[1] * ds[1] + ds[2] * ds[2] <= cutoff * cutoff
     if same:
         near = near & (F.col("i") != F.col("j"))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs make many pairs: adaptive coalescing would leave them to one task
+    a, b = (side.repartition(n, "frame", *cells) for side in (a, b))
     pairs = a.join(b, ["frame", *cells]).where(near).select("frame", "i", "j", *[d.alias("d" + ax) for d, ax in zip(ds, AXES, strict=True)])
     return pairs.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
 
@@ -62,12 +64,12 @@ def k_nearest(atoms: DataFrame, k: int, cutoff: float, box: Box | None = None) -
 
 
 def knn_cutoff(atoms: DataFrame, k: int, density: float, box: Box | None = None, tries: int = 4, share: int = 200) -> float:
-    """A cutoff that holds the k nearest of nearly every atom, from a sample of one atom in n / share, growing by 1.6 up to tries times."""
+    """A cutoff that holds the k nearest of nearly every atom, from about share atoms of each frame, growing by 1.6 up to tries times."""
     import math
 
     cutoff = 1.6 * (13 * 3 / (4 * math.pi * density)) ** (1 / 3)
-    n = max(1, atoms.count())
-    sample = atoms.where(F.pmod(F.col("atom"), F.lit(max(1, n // share))) == 0)
+    sizes = atoms.groupBy("frame").agg(F.count("*").alias("_n"))
+    sample = atoms.join(sizes, "frame").where(F.pmod(F.col("atom"), F.greatest(F.lit(1), F.floor(F.col("_n") / share))) == 0).drop("_n")
     for _ in range(tries):
         order = Window.partitionBy("frame", "i").orderBy("d")
         found = range_join(sample, atoms, cutoff, box, same=True).withColumn("rn", F.row_number().over(order)).where(F.col("rn") == k).agg(F.avg("d").alias("d"), F.count("*").alias("n")).first()

@@ -11,22 +11,16 @@ from ..adapters import ATOMS_SQL, BOX, SLAB_SQL, atoms, slab
 from ..functions import geometry as G
 from ..functions import units
 from ..operators import binning, graph, groups, joins, neighbors, stats, windows
-from .registry_queries import query, whole
+from .registry_queries import query
 
 L, RC = 1.2, 0.15
 MI = "({d} - 1.2 * round(({d}) / 1.2))"
 PAIRS_SQL = f"""{ATOMS_SQL},
 pd AS (SELECT a.frame, a.atom AS i, b.atom AS j, {MI.format(d='b.x - a.x')} AS dx, {MI.format(d='b.y - a.y')} AS dy, {MI.format(d='b.z - a.z')} AS dz,
-  a.element AS ei, b.element AS ej FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom WHERE a.frame < 3),
+  a.element AS ei, b.element AS ej FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom),
 pairs AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS d FROM pd WHERE dx*dx + dy*dy + dz*dz <= {RC} * {RC})"""
 
 
-def some(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
-    """The frames under the limit, which a query's DuckDB text has too; without one all of them."""
-    a = atoms(spark, sf_dir)
-    return a if limit is None else a.where(F.col("frame") < limit)
-
-
 def r6(c: F.Column, name: str) -> F.Column:
     return (F.round(c, 6) + 0.0).alias(name)
 
@@ -107,36 +101,36 @@ def von_mises(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("neighbours_periodic", f"WITH {PAIRS_SQL} SELECT frame, i, j, round(d, 6) + 0.0 AS d FROM pairs")
-def neighbours_periodic(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
-    return neighbors.neighbours(some(s, d, limit), RC, BOX).select("frame", "i", "j", r6(F.col("d"), "d"))
+def neighbours_periodic(s: SparkSession, d: str) -> DataFrame:
+    return neighbors.neighbours(atoms(s, d), RC, BOX).select("frame", "i", "j", r6(F.col("d"), "d"))
 
 
 OPEN_SQL = f"""{ATOMS_SQL}, open_pairs AS (SELECT a.frame, a.atom AS i, b.atom AS j, sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) AS d, a.element AS ei, b.element AS ej, a.label AS li, b.label AS lj
-  FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom WHERE a.frame < 3 AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= {RC} * {RC})"""
+  FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom WHERE (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= {RC} * {RC})"""
 
 
 @query("neighbours_open", f"WITH {OPEN_SQL} SELECT frame, i, j, round(d, 6) + 0.0 AS d FROM open_pairs")
-def neighbours_open(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
-    return neighbors.neighbours(some(s, d, limit), RC).select("frame", "i", "j", r6(F.col("d"), "d"))
+def neighbours_open(s: SparkSession, d: str) -> DataFrame:
+    return neighbors.neighbours(atoms(s, d), RC).select("frame", "i", "j", r6(F.col("d"), "d"))
 
 
 @query("knn12", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d, j) AS rn FROM pairs) SELECT frame, i, j, CAST(rn AS INTEGER) AS rn, round(d, 6) + 0.0 AS d FROM r WHERE rn <= 12")
-def knn12(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
-    return neighbors.k_nearest(some(s, d, limit), 12, RC, BOX).select("frame", "i", "j", "rn", r6(F.col("d"), "d"))
+def knn12(s: SparkSession, d: str) -> DataFrame:
+    return neighbors.k_nearest(atoms(s, d), 12, RC, BOX).select("frame", "i", "j", "rn", r6(F.col("d"), "d"))
 
 
 @query("contacts_ab", f"WITH {OPEN_SQL} SELECT frame, count(*) AS contacts, round(min(d), 6) + 0.0 AS nearest FROM open_pairs WHERE li = 0 AND lj = 1 GROUP BY frame")
-def contacts_ab(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
-    a = some(s, d, limit)
+def contacts_ab(s: SparkSession, d: str) -> DataFrame:
+    a = atoms(s, d)
     return neighbors.range_join(a.where("label = 0"), a.where("label = 1"), RC).groupBy("frame").agg(F.count("*").alias("contacts"), r6(F.min("d"), "nearest"))
 
 
 @query("min_interface_distance", f"""WITH {ATOMS_SQL} SELECT a.frame, round(min(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z))), 6) + 0.0 AS nearest
-  FROM atoms a JOIN atoms b ON a.frame = b.frame WHERE a.label = 0 AND b.label = 1 AND a.frame < 3 GROUP BY a.frame""")
-def min_interface_distance(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
+  FROM atoms a JOIN atoms b ON a.frame = b.frame WHERE a.label = 0 AND b.label = 1 GROUP BY a.frame""")
+def min_interface_distance(s: SparkSession, d: str) -> DataFrame:
     from ..operators.interactions import interface_distance
 
-    a = some(s, d, limit)
+    a = atoms(s, d)
     return interface_distance(a.where("label = 0"), a.where("label = 1"), 0.05).select("frame", r6(F.col("nearest"), "nearest"))
 
 
@@ -154,20 +148,20 @@ def residue_slots(s: SparkSession, d: str) -> DataFrame:
     return joins.residue_slots(a, "chain", "resname", "resid").select("frame", "atom", F.col("slot").cast("long").alias("slot"))
 
 
-@query("rdf", f"""WITH {PAIRS_SQL}, b AS (SELECT frame, least(24, CAST(floor(d / {RC / 25}) AS INTEGER)) AS bin, count(*) AS n FROM pairs WHERE d < {RC} GROUP BY ALL), c AS (SELECT frame, count(*) AS n_atoms FROM atoms WHERE frame < 3 GROUP BY frame),
+@query("rdf", f"""WITH {PAIRS_SQL}, b AS (SELECT frame, least(24, CAST(floor(d / {RC / 25}) AS INTEGER)) AS bin, count(*) AS n FROM pairs WHERE d < {RC} GROUP BY ALL), c AS (SELECT frame, count(*) AS n_atoms FROM atoms GROUP BY frame),
 g AS (SELECT frame, n_atoms, CAST(unnest(range(0, 25)) AS INTEGER) AS bin FROM c)
 SELECT g.frame, g.bin, coalesce(b.n, 0) AS n, round(coalesce(b.n, 0) / (n_atoms * ((n_atoms - 1) / 1.728) * (4.0 / 3.0 * pi() * (pow((g.bin + 1) * {RC / 25}, 3) - pow(g.bin * {RC / 25}, 3)))), 6) + 0.0 AS g FROM g LEFT JOIN b ON g.frame = b.frame AND g.bin = b.bin""")
-def rdf(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
+def rdf(s: SparkSession, d: str) -> DataFrame:
     from .structure import pair_distribution
 
-    return pair_distribution(some(s, d, limit), BOX, RC, 25).select("frame", "bin", "n", r6(F.col("g"), "g"))
+    return pair_distribution(atoms(s, d), BOX, RC, 25).select("frame", "bin", "n", r6(F.col("g"), "g"))
 
 
-@query("coordination", f"WITH {PAIRS_SQL}, n AS (SELECT frame, i, count(*) AS n FROM pairs GROUP BY ALL), c AS (SELECT frame, atom FROM atoms WHERE frame < 3) SELECT c.frame, round(avg(coalesce(n.n, 0)), 6) + 0.0 AS mean_coordination, CAST(max(coalesce(n.n, 0)) AS BIGINT) AS most FROM c LEFT JOIN n ON c.frame = n.frame AND c.atom = n.i GROUP BY c.frame")
-def coordination(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
+@query("coordination", f"WITH {PAIRS_SQL}, n AS (SELECT frame, i, count(*) AS n FROM pairs GROUP BY ALL), c AS (SELECT frame, atom FROM atoms) SELECT c.frame, round(avg(coalesce(n.n, 0)), 6) + 0.0 AS mean_coordination, CAST(max(coalesce(n.n, 0)) AS BIGINT) AS most FROM c LEFT JOIN n ON c.frame = n.frame AND c.atom = n.i GROUP BY c.frame")
+def coordination(s: SparkSession, d: str) -> DataFrame:
     from .structure import coordination_numbers
 
-    a = some(s, d, limit)
+    a = atoms(s, d)
     return coordination_numbers(a, a, RC, BOX).groupBy("frame").agg(r6(F.avg("n"), "mean_coordination"), F.max("n").alias("most"))
 
 
@@ -224,25 +218,25 @@ def rmsf_unfitted(s: SparkSession, d: str) -> DataFrame:
     return fluctuation(atoms(s, d)).select("atom", r6(F.col("rmsf"), "rmsf"))
 
 
-@query("connected_components", f"""WITH RECURSIVE {OPEN_SQL}, e AS (SELECT i, j FROM open_pairs WHERE frame = 0), r AS (SELECT atom AS node, atom AS label FROM atoms WHERE frame = 0 UNION SELECT e.j, r.label FROM r JOIN e ON e.i = r.node)
-SELECT node, min(label) AS label FROM r GROUP BY node""")
-def connected_components(s: SparkSession, d: str, limit: int | None = 1) -> DataFrame:
-    a = some(s, d, limit)
-    key = lambda c: (F.shiftleft(F.col("frame").cast("long"), 32) + F.col(c)) if limit is None else F.col(c)
+@query("connected_components", f"""WITH RECURSIVE {OPEN_SQL}, e AS (SELECT frame, i, j FROM open_pairs), r AS (SELECT frame, atom AS node, atom AS label FROM atoms UNION SELECT e.frame, e.j, r.label FROM r JOIN e ON e.frame = r.frame AND e.i = r.node)
+SELECT frame, node, min(label) AS label FROM r GROUP BY frame, node""")
+def connected_components(s: SparkSession, d: str) -> DataFrame:
+    a = atoms(s, d)
+    key = lambda c: F.shiftleft(F.col("frame").cast("long"), 32) + F.col(c)
     pairs = neighbors.neighbours(a, RC).where("i < j").select(key("i").alias("a"), key("j").alias("b"))
     labels = graph.connected_components(a.select(key("atom").alias("node")), pairs)
     atom = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(c)
-    return labels.select(F.shiftright("node", 32).cast("int").alias("frame"), atom("node"), atom("label")) if limit is None else labels
+    return labels.select(F.shiftright("node", 32).cast("int").alias("frame"), atom("node"), atom("label"))
 
 
 @query("deformation_gradient", f"""WITH {ATOMS_SQL}, rp AS (SELECT a.atom AS i, b.atom AS j, {MI.format(d='b.x - a.x')} AS rx, {MI.format(d='b.y - a.y')} AS ry, {MI.format(d='b.z - a.z')} AS rz FROM atoms a JOIN atoms b ON a.frame = 0 AND b.frame = 0 AND a.atom <> b.atom),
-n AS (SELECT * FROM rp WHERE rx*rx + ry*ry + rz*rz <= {0.2 * 0.2}), c AS (SELECT n.*, {MI.format(d='q.x - p.x')} AS cx, {MI.format(d='q.y - p.y')} AS cy, {MI.format(d='q.z - p.z')} AS cz FROM n JOIN atoms p ON p.frame = 1 AND p.atom = i JOIN atoms q ON q.frame = 1 AND q.atom = j)
-SELECT i AS atom, count(*) AS n, round(sum(rx*rx), 6) + 0.0 AS v00, round(sum(rx*ry), 6) + 0.0 AS v01, round(sum(rz*rz), 6) + 0.0 AS v22, round(sum(rx*cx), 6) + 0.0 AS w00, round(sum(ry*cx), 6) + 0.0 AS w10, round(sum(cx*cx + cy*cy + cz*cz), 6) + 0.0 AS dd FROM c GROUP BY i""")
-def deformation_gradient(s: SparkSession, d: str, limit: int | None = 2) -> DataFrame:
+n AS (SELECT * FROM rp WHERE rx*rx + ry*ry + rz*rz <= {0.2 * 0.2}), c AS (SELECT n.*, p.frame, {MI.format(d='q.x - p.x')} AS cx, {MI.format(d='q.y - p.y')} AS cy, {MI.format(d='q.z - p.z')} AS cz FROM n JOIN atoms p ON p.frame > 0 AND p.atom = i JOIN atoms q ON q.frame = p.frame AND q.atom = j)
+SELECT frame, i AS atom, count(*) AS n, round(sum(rx*rx), 6) + 0.0 AS v00, round(sum(rx*ry), 6) + 0.0 AS v01, round(sum(rz*rz), 6) + 0.0 AS v22, round(sum(rx*cx), 6) + 0.0 AS w00, round(sum(ry*cx), 6) + 0.0 AS w10, round(sum(cx*cx + cy*cy + cz*cz), 6) + 0.0 AS dd FROM c GROUP BY frame, i""")
+def deformation_gradient(s: SparkSession, d: str) -> DataFrame:
     from .mechanics import affine_sums
 
-    sums = affine_sums(some(s, d, limit), 0, 0.2, BOX).where("frame > 0")
-    return sums.select(*(["frame"] if limit is None else []), "atom", "n", *[r6(F.col(c), c) for c in ("v00", "v01", "v22", "w00", "w10", "dd")])
+    sums = affine_sums(atoms(s, d), 0, 0.2, BOX).where("frame > 0")
+    return sums.select("frame", "atom", "n", *[r6(F.col(c), c) for c in ("v00", "v01", "v22", "w00", "w10", "dd")])
 
 
 @query("histogram_bins", f"""WITH RECURSIVE {SLAB_SQL}, m AS (SELECT min(x) AS lo, max(x) AS hi, greatest(0.5, (max(x) - min(x)) / 12) AS w FROM slab),
@@ -332,11 +326,11 @@ def equivalent_diameter(s: SparkSession, d: str) -> DataFrame:
     return atoms(s, d).groupBy("frame", "element").agg(F.round(G.equivalent_diameter(F.count("*"), 11.8), 6).alias("diameter"))
 
 
-@query("bonds", f"WITH {ATOMS_SQL} SELECT a.frame, a.atom AS i, b.atom AS j FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom < b.atom WHERE a.frame < 2 AND sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) * 20 BETWEEN 0.05000001 AND 1.15 * 3.0 ")
-def bonds(s: SparkSession, d: str, limit: int | None = 2) -> DataFrame:
+@query("bonds", f"WITH {ATOMS_SQL} SELECT a.frame, a.atom AS i, b.atom AS j FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom < b.atom WHERE sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) * 20 BETWEEN 0.05000001 AND 1.15 * 3.0 ")
+def bonds(s: SparkSession, d: str) -> DataFrame:
     from .bonding import perceive_bonds
 
-    scaled = some(s, d, limit).withColumns({c: F.col(c) * 20 for c in "xyz"})
+    scaled = atoms(s, d).withColumns({c: F.col(c) * 20 for c in "xyz"})
     return perceive_bonds(scaled, 1.15).select("frame", "i", "j")
 
 
@@ -345,6 +339,3 @@ def model_space(s: SparkSession, d: str) -> DataFrame:
     from .views import normalised
 
     return normalised(atoms(s, d)).select("frame", "atom", r6(F.col("mx"), "mx"))
-
-
-whole(neighbours_periodic, neighbours_open, knn12, contacts_ab, min_interface_distance, rdf, coordination, connected_components, deformation_gradient, bonds)

@@ -9,17 +9,13 @@ from ..adapters import ATOMS_SQL, FORCE_SQL, REPLICAS_SQL, THERMO_SQL, atoms, fo
 from ..functions import text as T
 from ..functions import units
 from ..operators import joins, stats, windows
-from .registry_queries import query, whole
+from .registry_queries import query
 
 
 def r6(c: F.Column, name: str) -> F.Column:
     return (F.round(c, 6) + 0.0).alias(name)
 
 
-def under(df: DataFrame, column: str, limit: int | None) -> DataFrame:
-    return df if limit is None else df.where(F.col(column) < limit)
-
-
 @query("thermo_common_columns", f"WITH {THERMO_SQL}, c AS (SELECT DISTINCT block, unnest(json_keys(props)) AS col FROM (SELECT event_type AS block, props FROM events)) SELECT col, count(*) AS blocks FROM c GROUP BY col HAVING count(*) = (SELECT count(DISTINCT block) FROM thermo)")
 def thermo_common_columns(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet")
@@ -27,9 +23,9 @@ def thermo_common_columns(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_type", F.explode(F.json_object_keys("props")).alias("col")).groupBy("col").agg(F.count_distinct("event_type").alias("blocks")).where(F.col("blocks") == n)
 
 
-@query("thermo_concat", f"WITH {THERMO_SQL} SELECT block, row, step, row_number() OVER (ORDER BY block, row) - 1 AS global_row FROM thermo WHERE row < 5")
-def thermo_concat(s: SparkSession, d: str, limit: int | None = 5) -> DataFrame:
-    rows = under(thermo(s, d), "row", limit)
+@query("thermo_concat", f"WITH {THERMO_SQL} SELECT block, row, step, row_number() OVER (ORDER BY block, row) - 1 AS global_row FROM thermo")
+def thermo_concat(s: SparkSession, d: str) -> DataFrame:
+    rows = thermo(s, d)
     # only the blocks' sizes meet in one place, not their rows
     sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
     starts = sizes.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
@@ -41,11 +37,11 @@ def json_props_extract(s: SparkSession, d: str) -> DataFrame:
     return thermo(s, d).groupBy("block").agg(F.count("k").alias("n"), r6(F.avg("k"), "mean_k"), r6(F.max("k"), "max_k"))
 
 
-@query("thermo_asof", f"""WITH {THERMO_SQL}, f AS (SELECT block, row AS frame, row * 37.5 AS timestep FROM thermo WHERE row < 40), c AS (SELECT f.block, f.frame, f.timestep, t.row, t.step, row_number() OVER (PARTITION BY f.block, f.frame ORDER BY abs(t.step - f.timestep), t.row) AS r FROM f JOIN thermo t ON f.block = t.block)
+@query("thermo_asof", f"""WITH {THERMO_SQL}, f AS (SELECT block, row AS frame, row * 37.5 AS timestep FROM thermo), c AS (SELECT f.block, f.frame, f.timestep, t.row, t.step, row_number() OVER (PARTITION BY f.block, f.frame ORDER BY abs(t.step - f.timestep), t.row) AS r FROM f JOIN thermo t ON f.block = t.block)
 SELECT block, frame, row, step FROM c WHERE r = 1""")
-def thermo_asof(s: SparkSession, d: str, limit: int | None = 40) -> DataFrame:
+def thermo_asof(s: SparkSession, d: str) -> DataFrame:
     t = thermo(s, d)
-    frames = under(t, "row", limit).select("block", F.col("row").alias("frame"), (F.col("row") * 37.5).alias("timestep"))
+    frames = t.select("block", F.col("row").alias("frame"), (F.col("row") * 37.5).alias("timestep"))
     found = joins.nearest(frames, t.select("block", "step", "row"), "timestep", "step", "row", ["block"])
     return found.select("block", "frame", "row", "step")
 
@@ -208,11 +204,11 @@ def duration_text(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", T.duration_text(F.col("o_custkey") * 7).alias("took"))
 
 
-@query("energy_nearest_frame", f"WITH {THERMO_SQL}, e AS (SELECT block, row AS frame, press FROM thermo WHERE row % 5 = 0), f AS (SELECT block, row AS want FROM thermo WHERE row < 100), c AS (SELECT f.block, f.want, e.frame, row_number() OVER (PARTITION BY f.block, f.want ORDER BY abs(e.frame - f.want), e.frame) AS r FROM f JOIN e USING (block)) SELECT block, want, frame FROM c WHERE r = 1")
-def energy_nearest_frame(s: SparkSession, d: str, limit: int | None = 100) -> DataFrame:
+@query("energy_nearest_frame", f"WITH {THERMO_SQL}, e AS (SELECT block, row AS frame, press FROM thermo WHERE row % 5 = 0), f AS (SELECT block, row AS want FROM thermo), c AS (SELECT f.block, f.want, e.frame, row_number() OVER (PARTITION BY f.block, f.want ORDER BY abs(e.frame - f.want), e.frame) AS r FROM f JOIN e USING (block)) SELECT block, want, frame FROM c WHERE r = 1")
+def energy_nearest_frame(s: SparkSession, d: str) -> DataFrame:
     t = thermo(s, d)
     table = t.where("row % 5 = 0").select("block", F.col("row").alias("at"), F.col("row").alias("frame"))
-    return joins.nearest(under(t, "row", limit).select("block", F.col("row").alias("want")), table, "want", "at", "frame", ["block"]).select("block", "want", "frame")
+    return joins.nearest(t.select("block", F.col("row").alias("want")), table, "want", "at", "frame", ["block"]).select("block", "want", "frame")
 
 
 @query("xyz_text_lines", f"WITH {ATOMS_SQL} SELECT frame, count(*) + 2 AS lines, CAST(sum(length(element)) AS BIGINT) AS symbols FROM atoms GROUP BY frame")
@@ -224,27 +220,24 @@ def xyz_text_lines(s: SparkSession, d: str) -> DataFrame:
     return text.join(a.groupBy("frame").agg(F.sum(F.length("element")).alias("symbols")), "frame").select("frame", "lines", "symbols")
 
 
-@query("xyz_roundtrip", f"WITH {ATOMS_SQL} SELECT frame, atom, element, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM atoms WHERE frame < 3")
-def xyz_roundtrip(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
+@query("xyz_roundtrip", f"WITH {ATOMS_SQL} SELECT frame, atom, element, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM atoms")
+def xyz_roundtrip(s: SparkSession, d: str) -> DataFrame:
     from ..operators.graph import shared_folder
     from ..sources import sinks, trajectories
 
     path = shared_folder(s, "xyz")
-    sinks.write_xyz(under(atoms(s, d), "frame", limit), path)
+    sinks.write_xyz(atoms(s, d), path)
     back = trajectories.read_xyz(s, path)
     return back.select("frame", "atom", "element", r6(F.col("x"), "x"), r6(F.col("y"), "y"), r6(F.col("z"), "z"))
 
 
-@query("dump_roundtrip", f"WITH {ATOMS_SQL} SELECT frame, id, element, round(x, 6) + 0.0 AS x, round(charge, 6) + 0.0 AS charge FROM atoms WHERE frame < 3")
-def dump_roundtrip(s: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
+@query("dump_roundtrip", f"WITH {ATOMS_SQL} SELECT frame, id, element, round(x, 6) + 0.0 AS x, round(charge, 6) + 0.0 AS charge FROM atoms")
+def dump_roundtrip(s: SparkSession, d: str) -> DataFrame:
     from ..adapters import BOX
     from ..operators.graph import shared_folder
     from ..sources import sinks, trajectories
 
     path = shared_folder(s, "dump")
-    sinks.write_dump(under(atoms(s, d), "frame", limit), path, BOX)
+    sinks.write_dump(atoms(s, d), path, BOX)
     back = trajectories.read_dump(s, path)
     return back.select("frame", "id", "element", r6(F.col("x"), "x"), r6(F.col("charge"), "charge"))
-
-
-whole(thermo_concat, thermo_asof, energy_nearest_frame, xyz_roundtrip, dump_roundtrip)
