@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one machine's folder would lose data on a cluster
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get()

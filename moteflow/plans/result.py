@@ -129,7 +129,7 @@ def frame_profile(rows: DataFrame, position: Column, value: Column | None, bins:
     n = F.size("starts")
     guess = F.least(n - 1, F.greatest(F.lit(0), F.floor((F.col("p") - F.col("lo")) / F.col("w")).cast("int")))
     bin_ = F.when(F.col("p") < F.get("starts", guess), guess - 1).when((guess + 1 < n) & (F.col("p") >= F.get("starts", guess + 1)), guess + 1).otherwise(guess)
-    got = r.join(F.broadcast(ext), "frame").groupBy("frame", bin_.alias("bin")).agg(F.count("*").alias("count"), F.avg("v").alias("mean"))
+    got = r.join(ext, "frame").groupBy("frame", bin_.alias("bin")).agg(F.count("*").alias("count"), F.avg("v").alias("mean"))
     grid = ext.select("frame", "w", F.posexplode("starts").alias("bin", "lo"))
     out = grid.join(got, ["frame", "bin"], "left")
     count = F.coalesce("count", F.lit(0)).cast("long")

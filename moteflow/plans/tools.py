@@ -13,7 +13,7 @@ from ..functions.text import residue_key
 from ..operators import groups, interactions, neighbors, stats, windows
 from ..operators.joins import ids_usable, nearest, residue_slots
 from ..sources import tables
-from . import conformation, mechanics, structure, surfaces
+from . import binding, conformation, mechanics, structure, surfaces
 from .result import Context, MissingRequirement, NotApplicable, ToolResult, frame_profile, joined, summary_of, tool
 
 ALL = ("perAtomField", "profile", "scalar", "series")
@@ -131,15 +131,10 @@ def grains(atoms: DataFrame, c: Context, quantity: str, gbAngle: float, minimumG
 
     names = (structure,) if structure in ("fcc", "bcc", "hcp") else ("fcc", "hcp", "bcc")
     m, reach = matched(atoms, c, names, rmsdThreshold)
-    g = S.grains(atoms, m, reach, c.box, gbAngle, minimumGrainSize)
+    g, sizes, pairs = S.grain_map(atoms, m, reach, c.box, gbAngle, minimumGrainSize)
     volume = c.box.volume if c.box else None
-    sizes = g.where("grain > 0").groupBy("frame", "grain").agg(F.count("*").alias("n"))
-    n_atoms = g.groupBy("frame").agg(F.count("*").alias("atoms"), (100.0 * F.avg((F.col("grain") == 0).cast("int"))).alias("gb"), F.max("grain").alias("grains"))
+    n_atoms = g.groupBy("frame").agg(F.count("*").alias("atoms"), (100.0 * F.avg(F.col("edge").cast("int"))).alias("gb")).join(sizes.groupBy("frame").agg(F.max("grain").alias("grains")), "frame", "left").fillna(0, ["grains"])
     per = sizes.join(n_atoms, "frame").withColumn("d", G.equivalent_diameter(F.col("n"), volume / F.col("atoms")) if volume else F.lit(None).cast("double")).groupBy("frame").agg(F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d"))
-    side = lambda p: m.where(F.col("class") != S.OTHER).join(g, ["frame", "atom"]).where("grain > 0").select("frame", F.col("atom").alias(p), F.col("grain").alias(p + "g"), F.col("class").alias(p + "c"), *[F.col(q).alias(p + q) for q in ("qw", "qx", "qy", "qz")])
-    pairs = neighbors.neighbours(atoms, 2 * reach, c.box).where("i < j").join(side("i"), ["frame", "i"]).join(side("j"), ["frame", "j"]).where("ig <> jg AND ic = jc")
-    turn = G.disorientation_degrees([F.col("i" + q) for q in ("qw", "qx", "qy", "qz")], [F.col("j" + q) for q in ("qw", "qx", "qy", "qz")], G.rotation_group(6 if names == ("hcp",) else 4))
-    pairs = pairs.withColumn("deg", turn)
     mean = pairs.groupBy("frame").agg(F.avg("deg").alias("mean_deg"), F.count("*").alias("pairs"))
     ordered = m.groupBy("frame").agg((100.0 * F.avg((F.col("class") != S.OTHER).cast("int"))).alias("ordered"))
     wide = joined(n_atoms, per, mean, ordered)
@@ -148,7 +143,7 @@ def grains(atoms: DataFrame, c: Context, quantity: str, gbAngle: float, minimumG
         rows += [("Mean diameter", "mean_d", "A"), ("Median diameter", "median_d", "A")]
     rows += [("Mean misorientation", "mean_deg", "deg"), ("Boundary pairs", F.coalesce("pairs", F.lit(0)), ""), ("Method", F.lit("template matching"), "")]
     if profileAxis in "xyz":
-        profile = frame_profile(atoms.join(g, ["frame", "atom"]), F.col(profileAxis), (F.col("grain") == 0).cast("double"), bins)
+        profile = frame_profile(atoms.join(g, ["frame", "atom"]), F.col(profileAxis), F.col("edge").cast("double"), bins)
     else:
         top = 93.8 if names == ("hcp",) else 62.8
         width = top / bins
@@ -156,7 +151,7 @@ def grains(atoms: DataFrame, c: Context, quantity: str, gbAngle: float, minimumG
         grid = n_atoms.select("frame", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         n = F.coalesce("count", F.lit(0)).cast("long")
         profile = grid.join(counts, ["frame", "bin"], "left").select("frame", "bin", (F.col("bin") * width).alias("lo"), ((F.col("bin") + 1) * width).alias("hi"), ((F.col("bin") + 0.5) * width).alias("centre"), n.cast("double").alias("value"), n.alias("count"))
-    value = (F.col("grain") == 0).cast("double") if quantity == "gb" else F.col("grain")
+    value = {"gb": F.col("edge").cast("double"), "misorientation": F.col("deg")}.get(quantity, F.col("grain"))
     return ToolResult(summary_of(wide, rows), wide.select("frame", F.col("grains").cast("double").alias("scalar")), field_of(g, value), profile, series_label="grains")
 
 
@@ -331,7 +326,7 @@ def adhesion(atoms: DataFrame, c: Context, groupA: dict | None, groupB: dict | N
         wide = joined(wide, polar.groupBy("frame").agg(F.count("*").alias("polar"))).withColumn("polar", F.coalesce("polar", F.lit(0)))
         table += [("H-bonds", F.lit("n/a (no hydrogens)"), ""), ("Polar contacts", "polar", "")]
     labelled = rows.withColumn("name", F.upper(F.trim(F.col("labels")["name"]))).withColumn("resname", F.upper(F.trim(F.col("labels")["resname"]))).withColumn("resid", F.trim(F.col("labels")["resid"])).withColumn("chain", F.col("labels")["chain"])
-    classes = []
+    marks, slots, found, hb = None, None, {}, hb if has_h else None
     if not labelled.where("name IS NOT NULL AND resname IS NOT NULL AND resid IS NOT NULL").isEmpty():
         slots = residue_slots(labelled, "chain", "resname", "resid")
         rings = interactions.rings(slots, c.box)
@@ -339,26 +334,52 @@ def adhesion(atoms: DataFrame, c: Context, groupA: dict | None, groupB: dict | N
         for label, k in (("Salt bridges", "salt"), ("π-stacking", "pi"), ("Cation–π", "cation_pi"), ("Hydrophobic", "oily")):
             wide = joined(wide, found[k].groupBy("frame").agg(F.count("*").alias(k))).withColumn(k, F.coalesce(k, F.lit(0)))
             table.append((label, k, ""))
-        classes = [(found[k].select("frame", F.explode(F.array("a", "b")).alias("slot")), p) for k, p in (("salt", 5), ("pi", 4), ("cation_pi", 4), ("oily", 2))]
+        marks = binding.marked(slots, found)
     table += [("COM distance", "com", "A"), ("Min distance", "nearest", "A")]
     ends = touch.select("frame", F.col("i").alias("atom")).unionByName(touch.select("frame", F.col("j").alias("atom"))).groupBy("frame", "atom").agg(F.count("*").alias("n"))
-    value = F.coalesce("n", F.lit(0))
-    per_atom = rows.select("frame", "atom").join(ends, ["frame", "atom"], "left")
-    if quantity == "interactions" and classes:
-        top = None
-        for t, p in classes:
-            t = t.distinct().withColumn("p", F.lit(p))
-            top = t if top is None else top.unionByName(t)
-        best = top.groupBy("frame", "slot").agg(F.max("p").alias("p"))
-        per_atom = per_atom.join(slots.select("frame", "atom", "slot"), ["frame", "atom"]).join(best, ["frame", "slot"], "left")
-        value = F.coalesce("p", F.when(F.col("n") > 0, 1), F.lit(0))
+    touched = F.when(F.col("n").isNull(), 0).when(F.col("in_a"), 1).otherwise(2)  # of A, of B
+    per_atom, value = rows.select("frame", "atom", "in_a").join(ends, ["frame", "atom"], "left"), touched
+    if quantity == "interactions" and (marks is not None or hb is not None):
+        per_atom = per_atom.join(binding.strongest(marks, hb), ["frame", "atom"], "left")
+        value = F.coalesce("code", touched)
+    elif quantity == "interactions":
+        notes.append("no interaction classes: contacts are shown")
     if perResidue:
         key = residue_key(F.col("labels")["chain"], F.col("labels")["resname"], F.coalesce(F.col("labels")["resid"], F.lit("")))
         named = rows.where("in_a").select("frame", "atom", key.alias("key")).where("key IS NOT NULL").join(ends, ["frame", "atom"]).groupBy("frame", "key").agg(F.sum("n").alias("n"))
         best5 = groups.ranked(named, ["frame"], 5, F.desc("n"), F.col("key")).groupBy("frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("key", F.lit(" "), F.col("n").cast("string")).alias("t")))), lambda s: s["t"]), ", ").alias("best5"))
         wide = joined(wide, best5)
         table.append(("Top residues", F.coalesce("best5", F.lit("")), ""))
-    return ToolResult(summary_of(wide, table), wide.select("frame", F.col("contacts").cast("double").alias("scalar")), field_of(per_atom, value), notes=notes, series_label="contacts")
+    more = []
+    keyed = rows.where("in_a").withColumn("key", residue_key(F.col("labels")["chain"], F.col("labels")["resname"], F.coalesce(F.col("labels")["resid"], F.lit("")))).where("key IS NOT NULL").select("frame", "atom", "key")
+    if slots is not None:
+        more.append(binding.interaction_rows(binding.tallies(keyed, slots, ends, hb, found)))
+    if lifetimes:
+        more.append(binding.frequency_rows(binding.contact_frequency(keyed, ends), frames))
+    if c.path:
+        if energies := tables.locate(c.path, ["interaction_energy.csv"]):
+            more.append(binding.energy_rows(tables.read_interaction_energy(rows.sparkSession, energies), frames))
+        if bound := tables.locate(c.path, ["mmgbsa.csv"]):
+            more.append(binding.mmgbsa_rows(tables.read_mmgbsa(rows.sparkSession, bound), frames))
+    summary = summary_of(wide, table)
+    for part in more:
+        summary = summary.unionByName(part)
+    return ToolResult(summary, wide.select("frame", F.col("contacts").cast("double").alias("scalar")), field_of(per_atom, value), notes=notes, series_label="contacts")
+
+
+def pull_at_times(one: DataFrame, interval: float | None, c: Context, atoms: DataFrame | None) -> DataFrame:
+    """The row of a pull nearest to each frame's time, at most one interval away; frames without one have no row.
+
+    The interval between frames is the given one, else that of the curve's rows.
+    """
+    first = one.agg(F.min("time_ps").alias("from"), F.max("time_ps").alias("to"), F.count("*").alias("n")).first()
+    interval = interval or ((first["to"] - first["from"]) / (first["n"] - 1) if first["n"] > 1 else None)
+    if not interval or interval <= 0:
+        raise NotApplicable("time alignment needs a frame interval")
+    frames = c.frames.select("frame") if c.frames is not None else atoms.select("frame").distinct() if atoms is not None else one.sparkSession.range(int((first["to"] - first["from"]) / interval + 1.5)).select(F.col("id").cast("int").alias("frame"))
+    wanted = frames.select("frame", (F.lit(first["from"]) + F.col("frame") * interval).alias("want"))
+    found = nearest(wanted, one.withColumn("at", F.col("time_ps")), "want", "at", "row")  # the rows of one pull
+    return found.where(F.abs(F.col("at") - F.col("want")) <= interval).drop("want", "at")
 
 
 @tool("pulloff_energetics", "Pull-off energetics", "binding", requires=("sideFile",), csvPath=None, seed=None, frameAlignment="row", frameInterval_ps=None, runDirs=[], temperature_K=300.0)
@@ -392,9 +413,13 @@ def pulloff_energetics(atoms: DataFrame | None, c: Context, csvPath: str | None,
     kt = units.KB_PN_NM_K * temperature_K
     be = stats.bell_evans(per.where("rate IS NOT NULL"), "rate", "f", kt).first()
     ja = stats.jarzynski("w", units.R_KJ_MOL_K * temperature_K, ["g"], per.where(F.coalesce("v", F.lit(0.0)) <= 1.0).withColumn("g", F.lit(0))).first()
-    wide = one.withColumn("frame", F.col("row").cast("int"))
-    if c.frame is not None:
-        if frameAlignment == "row" and want >= sizes[pick]:
+    if frameAlignment == "time":
+        wide = pull_at_times(one, frameInterval_ps or run.get("interval_ps"), c, atoms)
+        if c.frame is not None and wide.where(F.col("frame") == want).isEmpty():
+            raise NotApplicable(f"no row of the force curve near the time of frame {want}")
+    else:
+        wide = one.withColumn("frame", F.col("row").cast("int"))
+        if c.frame is not None and want >= sizes[pick]:
             raise NotApplicable(f"frame {want} is past the end of the force curve")
     n_rates, shown = (be["n_rates"] if be else 0), be is not None and be["distance"] is not None
     table: list = [("Time", "time_ps", "ps"), ("Reference displacement", "ref_nm", "nm"), ("COM displacement", "com_nm", "nm"), ("Force", "force_pn", "pN"), ("Work", "work", "kJ/mol"), ("Contacts", "contacts", ""), ("F*", F.lit(mine["f"]), "pN"), ("F* row", F.lit(mine["at"]), ""), ("W", F.lit(mine["w"]), "kJ/mol"), ("Rupture frame", F.lit(mine["start"]), ""), ("Seed", F.lit(pick), ""), ("Velocity", F.lit(run["velocity"]).cast("double"), "A/ns"), ("Spring", F.lit(run["spring"]).cast("double"), "kJ/mol/nm^2"), ("F* median", F.lit(q["median"] if q else None), "pN"), ("F* q1", F.lit(q["q1"] if q else None), "pN"), ("F* q3", F.lit(q["q3"] if q else None), "pN")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zipfile
 
 from pyspark.sql import DataFrame
@@ -49,16 +51,16 @@ def sheet_name(name: str) -> str:
     return "".join(c for c in name if c not in ':\\/?*[]')[:31] or "Sheet"
 
 
+NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+
+
 def write_xlsx(path: str, sheets: dict[str, list[list[object]]]) -> None:
-    """A workbook of small tables; text that looks like a number becomes one."""
+    """A workbook of small tables; text that looks like a finite number becomes one."""
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
     def cell(v: object) -> str:
-        try:
-            if v is not None and not isinstance(v, bool):
-                return f"<c><v>{float(str(v))!r}</v></c>"
-        except ValueError:
-            pass
+        if v is not None and not isinstance(v, bool) and NUMBER.fullmatch(str(v)) and math.isfinite(float(str(v))):
+            return f"<c><v>{float(str(v))!r}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{esc("" if v is None else str(v))}</t></is></c>'
 
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

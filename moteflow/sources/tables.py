@@ -123,11 +123,11 @@ def read_interaction_energy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mmgbsa(spark: SparkSession, path: str) -> DataFrame:
-    """frame, time_ps, dg, vdw, elec of each frame with a finite binding energy."""
+    """frame, time_ps, dg, vdw, elec, solv of each frame with a finite binding energy."""
     t = read_table(spark, path)
     if "dG_bind_kJ_mol" not in t.columns:
         raise ValueError("no column dG_bind_kJ_mol")
-    return t.select(column(t, "frame", 0.0).cast("int").alias("frame"), column(t, "time_ps").alias("time_ps"), column(t, "dG_bind_kJ_mol").alias("dg"), column(t, "e_vdw", 0.0).alias("vdw"), column(t, "e_elec", 0.0).alias("elec")).where(good("dg"))
+    return t.select(column(t, "frame", 0.0).cast("int").alias("frame"), column(t, "time_ps").alias("time_ps"), column(t, "dG_bind_kJ_mol").alias("dg"), column(t, "e_vdw", 0.0).alias("vdw"), column(t, "e_elec", 0.0).alias("elec"), (column(t, "g_solv_complex", 0.0) - column(t, "g_solv_receptor", 0.0) - column(t, "g_solv_ligand", 0.0)).alias("solv")).where(good("dg"))
 
 
 FEP = "edges array<struct<ligA:string,ligB:string,ddG_kcal:double,ddG_err:double,dG_solvent:double,dG_complex:double,overlap_min:double,converged:boolean,notes:string>>, ligands array<struct<name:string,dG_abs_kcal:double,dG_abs_err:double,rank:int>>, cycles array<struct<ligands:array<string>,closure_kcal:double,closure_err:double>>, flags array<string>, forcefield string, absolute_method string"

@@ -198,9 +198,9 @@ def read_xyz(spark: SparkSession, path: str, frames: str = "all") -> DataFrame:
 
 
 def is_dump(spark: SparkSession, path: str) -> bool:
-    """Whether the first 2048 bytes of the first file name a time step."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.expr("cast(substring(content, 1, 2048) as string)").alias("h")).first()
-    return head is not None and MARK in head["h"]
+    """Whether the first lines of the first file name a time step; no more than them is read."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path").alias("p")).first()["p"]  # names, no contents
+    return first is not None and any(MARK in r["value"] for r in spark.read.text(first).limit(64).collect())
 
 
 def read_trajectory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

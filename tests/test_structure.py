@@ -81,6 +81,22 @@ def test_bicrystal_has_two_grains(spark):
     assert r.numbers()["Grains"] == 2
 
 
+def test_a_defect_layer_cuts_no_grain(spark):
+    """One crystal, with a layer of atoms that match no template, is one grain; the same layer between turned crystals bridges two."""
+    rng = np.random.default_rng(8)
+    pts, _ = crystal(FCC, 4.05, 6)
+    loose = [tuple(np.array(p) + rng.normal(0, 0.9, 3)) if 11.9 < p[0] < 12.4 else p for p in pts]
+    box = Box((-200, -200, 0), (200, 200, 24.3), (False, False, True))
+    r = run_tool("grains", table(spark, [loose]), Context(box=box), {"structure": "fcc"})
+    n = r.numbers()
+    assert n["Grains"] == 1 and n["Boundary pairs"] == 0
+    big = [(x - 18, y - 18, z) for x, y, z in crystal(FCC, 4.05, 9)[0] if z < 12.0]
+    inside = lambda p: abs(p[0]) < 11 and abs(p[1]) < 11
+    atoms = table(spark, [[p for p in big if inside(p) and p[0] < -0.4] + [p for p in turned(big, 30) if inside(p) and p[0] > 0.4]])
+    n = run_tool("grains", atoms, Context(box=Box((-200, -200, 0), (200, 200, 12.15), (False, False, True))), {"structure": "fcc"}).numbers()
+    assert n["Grains"] == 2 and n["Boundary pairs"] > 10 and abs(n["Mean misorientation"] - 30) < 2 and n["GB atoms"] > 1
+
+
 def test_rdf_peak_and_coordination(spark):
     pts, box = crystal(FCC, 4.05, 5)
     r = run_tool("rdf", table(spark, [pts]), Context(box=box), {"rMax": 6.0, "bins": 60})

@@ -108,7 +108,7 @@ def test_adhesion_counts(spark):
     r = run_tool("adhesion", atoms, Context(), {"groupA": {"kind": "label", "name": "chain", "values": ["A"]}, "groupB": {"kind": "label", "name": "chain", "values": ["B"]}})
     n = r.numbers()
     assert n["Contacts"] == 2 and abs(n["Min distance"] - 3) < 1e-9
-    assert [x["value"] for x in r.field.orderBy("atom").collect()] == [2, 0, 1, 1, 0]
+    assert [x["value"] for x in r.field.orderBy("atom").collect()] == [1, 0, 2, 2, 0]  # of A, of B
 
 
 def test_hydrogen_bond_and_classes(spark):
@@ -116,12 +116,33 @@ def test_hydrogen_bond_and_classes(spark):
     lab = [{"chain": c, "resname": r, "resid": i, "name": n} for c, r, i, n in (("A", "SER", "1", "N"), ("A", "SER", "1", "H"), ("B", "GLY", "2", "O"), ("A", "LYS", "3", "NZ"), ("B", "ASP", "4", "OD1"))]
     atoms = table(spark, [pts, pts], element=["N", "H", "O", "N", "O"], labels=lab)
     g = {"groupA": {"kind": "label", "name": "chain", "values": ["A"]}, "groupB": {"kind": "label", "name": "chain", "values": ["B"]}}
-    n = run_tool("adhesion", atoms, Context(), g).numbers(1)
+    r = run_tool("adhesion", atoms, Context(), {**g, "quantity": "interactions"})
+    n = r.numbers(1)
     assert n["H-bonds"] == 1 and n["Salt bridges"] == 1
+    assert [x["value"] for x in r.field.where("frame = 1").orderBy("atom").collect()] == [3, 0, 3, 4, 4]  # the hydrogen takes no part
+    rows = dict(r.rows(1))
+    assert rows["A:LYS 3 (interactions)"] == "contacts 1 · H-bonds 0 · salt 1 · π 0 · φ 0" and rows["A:SER 1 (interactions)"] == "contacts 1 · H-bonds 1 · salt 0 · π 0 · φ 0"
+    assert n["A:LYS 3 (contact frequency)"] == 1.0 and n["A:SER 1 (contact frequency)"] == 1.0
     with pytest.raises(ValueError):
         run_tool("adhesion", atoms, Context(), {"groupA": {"kind": "odd"}, "groupB": {"kind": "all"}})
 
 
+def test_adhesion_energies_and_frequency(spark, tmp_path):
+    near, far = [(0, 0, 0), (0, 0, 3)], [(0, 0, 0), (0, 0, 9)]
+    lab = [{"chain": c, "resname": r, "resid": i} for c, r, i in (("A", "ALA", "1"), ("B", "GLY", "2"))]
+    atoms = table(spark, [near, far, near, near], element=["C", "C"], labels=lab)
+    (tmp_path / "interaction_energy.csv").write_text("frame,resname,resid,chain,e_vdw_kJ_mol,e_elec_kJ_mol\n0,ALA,1,A,-1,-2\n0,SER,4,A,-9,1\n3,ALA,1,A,-5,0\n")
+    (tmp_path / "mmgbsa.csv").write_text("frame,time_ps,dG_bind_kJ_mol,e_vdw,e_elec,g_solv_complex,g_solv_receptor,g_solv_ligand\n0,0,-10,-20,-5,9,3,1\n2,20,-14,-21,-6,8,3,1\n")
+    g = {"groupA": {"kind": "label", "name": "chain", "values": ["A"]}, "groupB": {"kind": "label", "name": "chain", "values": ["B"]}}
+    r = run_tool("adhesion", atoms, Context(path=str(tmp_path / "t.xyz")), g)
+    n0, n1, n2 = r.numbers(0), r.numbers(1), r.numbers(2)
+    assert n0["A:ALA 1 (contact frequency)"] == 0.75
+    assert (n0["A:SER 4 (ΔE)"], n0["A:ALA 1 (ΔE)"]) == (-8, -3) and n2["A:ALA 1 (ΔE)"] == -5 and "A:SER 4 (ΔE)" not in n2
+    assert list(dict(r.rows(0)))[-8:-6] == ["A:SER 4 (ΔE)", "A:ALA 1 (ΔE)"]
+    assert (n0["MM/GBSA ΔG_bind"], n1["MM/GBSA ΔG_bind"], n2["MM/GBSA ΔG_bind"], n0["MM/GBSA solv"], n0["MM/GBSA mean"]) == (-10, -10, -14, 5, -12)
+    assert abs(n0["MM/GBSA deviation"] - math.sqrt(8)) < 1e-12
+
+
 def test_conformation_of_a_rigid_body(spark):
     rng = np.random.default_rng(2)
     a = rng.normal(0, 3, (20, 3))
@@ -142,6 +163,10 @@ def test_pulloff_kinetics(spark, tmp_path):
     n = run_tool("pulloff_energetics", None, Context(path=str(tmp_path / "x.xyz")))
     got = n.numbers(3)
     assert got["F*"] == 100 and got["F* row"] == 6 and got["Rupture frame"] == 8 and got["Force"] == 70 and got["Velocity"] == 0.5
+    timed = run_tool("pulloff_energetics", None, Context(path=str(tmp_path / "x.xyz")), {"frameAlignment": "time", "frameInterval_ps": 2.5})
+    assert {r["frame"]: r["scalar"] for r in timed.series.collect()} == {0: 40, 1: 60, 2: 90, 3: 90, 4: 60}  # times 0, 2.5 (row 2), 5, 7.5 (row 7), 10
+    with pytest.raises(NotApplicable):
+        run_tool("pulloff_energetics", None, Context(path=str(tmp_path / "x.xyz"), frame=9), {"frameAlignment": "time", "frameInterval_ps": 2.5})
     (tmp_path / "tramd_times.csv").write_text("seed,replica,t_diss_ps,censored\n" + "".join(f"1,{k},{t},{c}\n" for k, (t, c) in enumerate(((100, 0), (200, "false"), (300, "no"), (400, "yes")))))
     r = run_tool("kinetics_tramd", None, Context(path=str(tmp_path / "x.xyz")), {"resamples": 50})
     assert r.numbers(0)["τ"] == 200 and r.numbers(0)["Censored"] == 1 and r.numbers(100)["Bound"] == 0.25
