@@ -33,6 +33,8 @@ def test_nearest_equals_brute_force(spark):
         want = sorted((d[i], i) for i in range(150) if i != q)[:5]
         assert [got[q][k + 1][0] for k in range(5)] == [i for _, i in want] and np.allclose([got[q][k + 1][1] for k in range(5)], [s for s, _ in want], atol=1e-12)
     assert set(got) == set(range(0, 150, 10))
+    twice = spark.createDataFrame([(0, [0.0, 1.0]), (0, [5.0, 0.0]), (1, [5.0, 0.5]), (2, [0.0, 3.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.nearest(twice, twice.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 2.0)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     small = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(small, small, 10).orderBy("query_id").collect()] == [(0, 1, 1, 1.0), (1, 1, 0, 1.0)]
@@ -41,10 +43,14 @@ def test_nearest_equals_brute_force(spark):
 def test_tile_bounds_lose_nothing():
     rng = np.random.default_rng(2)
     q, c = rng.normal(0, 1, (20, 16)), rng.normal(0, 1, (5000, 16)) * rng.lognormal(0, 1, (5000, 1))
-    got = ann.tile_neighbours(np.arange(20), q, np.arange(100, 5100), c, 10)
+    c[:30] = q[3] + 1e-9 * rng.normal(0, 1, (30, 16))
+    packed = lambda x: (ann.quantise(x)[0].astype(np.int8), *ann.quantise(x)[1:])
+    row, col, lower, upper = ann.tile_survivors(np.arange(20), packed(q), np.arange(100, 5100), packed(c), 10)
+    assert len(row) < 20 * 600
     for i in range(20):
         d = np.sqrt(((c - q[i]) ** 2).sum(1))
-        assert sorted(j for a, j, _ in got if a == i) == sorted((np.argsort(d)[:10] + 100).tolist())
+        at = col[row == i]
+        assert set(np.argsort(d, kind="stable")[:10].tolist()) <= set(at.tolist()) and (lower[row == i] <= d[at]).all() and (upper[row == i] >= d[at]).all()
 
 
 def test_toxicity_learns_and_generalises(spark):
