@@ -24,6 +24,15 @@ ATOMS_SQL = """atoms AS (SELECT CAST(f.frame AS INTEGER) AS frame, CAST(vec_id A
   CAST(embedding[64] AS DOUBLE) AS charge, label FROM embeddings, (SELECT unnest(range(0, 21)) AS frame) f)"""
 
 
+def species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """atoms() with symbols that the tables of masses and radii know."""
+    return atoms(spark, sf_dir).withColumn("element", F.element_at(F.array(F.lit("Fe"), F.lit("O"), F.lit("Al")), (F.col("label") % 3 + 1).cast("int")))
+
+
+SPECIES_SQL = f"""{ATOMS_SQL},
+sp AS (SELECT * REPLACE (CASE label % 3 WHEN 0 THEN 'Fe' WHEN 1 THEN 'O' ELSE 'Al' END AS element), CASE label % 3 WHEN 0 THEN 55.845 WHEN 1 THEN 15.999 ELSE 26.982 END AS m, CASE label % 3 WHEN 0 THEN 1.32 WHEN 1 THEN 0.66 ELSE 1.21 END AS radius FROM atoms)"""
+
+
 def thermo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a block for each type, rows by event_id, and k from the JSON properties."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import ATOMS_SQL, BOX, SLAB_SQL, atoms, slab
+from ..adapters import ATOMS_SQL, BOX, SLAB_SQL, SPECIES_SQL, atoms, slab, species
 from ..functions import geometry as G
 from ..functions import units
 from ..operators import binning, graph, groups, joins, neighbors, stats, windows
@@ -198,17 +198,17 @@ def smooth5(s: SparkSession, d: str) -> DataFrame:
     return windows.moving_average(msd, "msd", "frame", ["one"]).select("frame", r6(F.col("smooth"), "smooth"))
 
 
-@query("com", f"WITH {ATOMS_SQL} SELECT frame, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) + 0.0 AS cy, round(avg(z), 6) + 0.0 AS cz FROM atoms GROUP BY frame")
+@query("com", f"WITH {SPECIES_SQL} SELECT frame, round(sum(m * x) / sum(m), 6) + 0.0 AS cx, round(sum(m * y) / sum(m), 6) + 0.0 AS cy, round(sum(m * z) / sum(m), 6) + 0.0 AS cz FROM sp GROUP BY frame")
 def com(s: SparkSession, d: str) -> DataFrame:
     m = units.mass(F.col("element"))
-    return atoms(s, d).groupBy("frame").agg(*[r6(F.sum(m * F.col(c)) / F.sum(m), f"c{c}") for c in "xyz"])
+    return species(s, d).groupBy("frame").agg(*[r6(F.sum(m * F.col(c)) / F.sum(m), f"c{c}") for c in "xyz"])
 
 
-@query("radius_gyration", f"WITH {ATOMS_SQL} SELECT frame, round(sqrt(avg(x*x + y*y + z*z) - avg(x)*avg(x) - avg(y)*avg(y) - avg(z)*avg(z)), 6) + 0.0 AS rg FROM atoms GROUP BY frame")
+@query("radius_gyration", f"WITH {SPECIES_SQL}, c AS (SELECT frame, sum(m * x) / sum(m) AS cx, sum(m * y) / sum(m) AS cy, sum(m * z) / sum(m) AS cz FROM sp GROUP BY frame) SELECT frame, round(sqrt(sum(m * ((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))) / sum(m)), 6) + 0.0 AS rg FROM sp JOIN c USING (frame) GROUP BY frame")
 def radius_gyration(s: SparkSession, d: str) -> DataFrame:
     from .conformation import gyration
 
-    return gyration(atoms(s, d)).select("frame", r6(F.col("rg"), "rg"))
+    return gyration(species(s, d)).select("frame", r6(F.col("rg"), "rg"))
 
 
 @query("rmsf_unfitted", f"WITH {ATOMS_SQL} SELECT atom, round(sqrt(greatest(0, avg(x*x + y*y + z*z) - avg(x)*avg(x) - avg(y)*avg(y) - avg(z)*avg(z))), 6) + 0.0 AS rmsf FROM atoms GROUP BY atom")
@@ -326,11 +326,11 @@ def equivalent_diameter(s: SparkSession, d: str) -> DataFrame:
     return atoms(s, d).groupBy("frame", "element").agg(F.round(G.equivalent_diameter(F.count("*"), 11.8), 6).alias("diameter"))
 
 
-@query("bonds", f"WITH {ATOMS_SQL} SELECT a.frame, a.atom AS i, b.atom AS j FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom < b.atom WHERE sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) * 20 BETWEEN 0.05000001 AND 1.15 * 3.0 ")
+@query("bonds", f"WITH {SPECIES_SQL} SELECT a.frame, a.atom AS i, b.atom AS j FROM sp a JOIN sp b ON a.frame = b.frame AND a.atom < b.atom WHERE sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) * 20 BETWEEN 0.05000001 AND 1.15 * (a.radius + b.radius)")
 def bonds(s: SparkSession, d: str) -> DataFrame:
     from .bonding import perceive_bonds
 
-    scaled = atoms(s, d).withColumns({c: F.col(c) * 20 for c in "xyz"})
+    scaled = species(s, d).withColumns({c: F.col(c) * 20 for c in "xyz"})
     return perceive_bonds(scaled, 1.15).select("frame", "i", "j")
 
 

@@ -54,13 +54,40 @@ def test_liquid_is_not_crystalline(spark):
     assert r.numbers()["Crystalline"] < 10
 
 
+def plain_signatures(v, rc):
+    """Common neighbours, bonds among them and the largest cluster of bonds, neighbour by neighbour."""
+    bonded = [[i != j and math.dist(a, b) <= rc for j, b in enumerate(v)] for i, a in enumerate(v)]
+    out = []
+    for row in bonded:
+        common = [k for k, yes in enumerate(row) if yes]
+        left, largest = {(a, b) for a in common for b in common if a < b and bonded[a][b]}, 0
+        n = len(left)
+        while left:
+            grown = {left.pop()}
+            while more := {e for e in left if {k for g in grown for k in g} & set(e)}:
+                grown |= more
+                left -= more
+            largest = max(largest, len(grown))
+        out.append((len(common), n, largest == n))
+    return out
+
+
+def test_signatures_equal_the_plain_ones():
+    rng = np.random.default_rng(4)
+    v = np.stack([S.TEMPLATES["fcc"] + rng.normal(0, s, (12, 3)) for s in (0, 0.05, 0.2, 0.5) for _ in range(6)])
+    rc = np.full(len(v), 1.2)
+    n, bonds, one = S.signatures(v, rc)
+    for k in range(len(v)):
+        assert list(zip(n[k].tolist(), bonds[k].tolist(), one[k].tolist(), strict=True)) == plain_signatures(v[k].tolist(), 1.2)
+
+
 def test_templates_recover_lattices_and_turns():
     for name in S.TEMPLATES:
-        rms, _, f = S.match_template(S.TEMPLATES[name] * 2.7, name)
+        (rms,), _, (f,) = S.match_template(S.TEMPLATES[name][None] * 2.7, name)
         assert rms < 1e-6 and np.allclose(f @ f.T, np.eye(3) * 2.7**2, atol=1e-6)
     q = np.array([math.cos(0.3), 0.0, 0.0, math.sin(0.3)])
-    v = S.TEMPLATES["fcc"] @ S.matrix(q).T
-    rms, got, _ = S.match_template(v, "fcc")
+    v = S.TEMPLATES["fcc"] @ S.matrices(q[None])[0].T
+    (rms,), (got,), _ = S.match_template(v[None], "fcc")
     assert rms < 1e-6
     from moteflow.functions.geometry import rotation_group
 
