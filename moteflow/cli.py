@@ -1,4 +1,5 @@
-"""Command line: python -m moteflow.cli analyze TOOL FILE [--frame N | --frames A-B:S | --all] [--param k=v] [--csv | --json]."""
+"""Command line: python -m moteflow.cli analyze TOOL FILE [--frame N | --frames A-B:S] [--param k=v] [--csv | --json],
+export FILE -o OUT [--frame first|last|N] [--charges], decimate FILE EVERY -o OUT, or tools. OUT is a folder of XYZ text."""
 
 from __future__ import annotations
 
@@ -38,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import tools  # noqa: F401
     from .plans.result import Context, catalogue, run_tool
     from .schema import Box
-    from .sources.trajectories import read_trajectory
+    from .sources.sinks import write_xyz
+    from .sources.trajectories import decimated, read_trajectory
 
     p = argparse.ArgumentParser(description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
@@ -51,24 +53,42 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--param", action="append", default=[])
     a.add_argument("--csv", action="store_true")
     a.add_argument("--json", action="store_true")
+    a.add_argument("--frame", default=None)
+    x, d = sub.add_parser("export"), sub.add_parser("decimate")
+    x.add_argument("file")
+    d.add_argument("file")
+    d.add_argument("every", type=int)
+    x.add_argument("--frame", default="last")
+    for q in (x, d):
+        q.add_argument("-o", "--out", required=True)
+        q.add_argument("--charges", action="store_true")
     n = p.parse_args(argv)
     if n.what == "tools":
         print(json.dumps(catalogue(), indent=1))
         return 0
     spark = SparkSession.builder.appName("moteflow").getOrCreate()
+    if n.what in ("export", "decimate"):
+        atoms, frames = read_trajectory(spark, n.file)
+        last = frames.agg(F.max("frame")).first()[0]
+        if last is None:
+            raise ValueError(f"{n.file} holds no complete frame")
+        write_xyz(decimated(atoms, n.every) if n.what == "decimate" else atoms.where(frame_filter(n.frame, last)), n.out, charges=n.charges)
+        return 0
+    only = None
     params = {k: typed(v) for k, _, v in (s.partition("=") for s in n.param)}
     if n.file.endswith((".json", ".csv", ".log", ".lammps")):
         r = run_tool(n.tool, None, Context(side_file=n.file), params)
+        only = int(n.frame) if n.frame and n.frame.isdigit() else None  # a row of the side file
     else:
         atoms, frames = read_trajectory(spark, n.file)
         head = frames.where("has_box").orderBy("frame").first()
         box = Box(*(tuple(head[f"{e}_{x}"] for x in "xyz") for e in ("lo", "hi")), tuple(head[f"per_{x}"] for x in "xyz")) if head else None
         last = frames.agg(F.max("frame")).first()[0]
-        keep = frame_filter(n.frames, last)
+        keep = frame_filter(n.frame or n.frames, last)
         ref = F.col("frame") == n.reference
         needs = n.tool in ("diffusion", "deformation", "conformation")
         r = run_tool(n.tool, atoms.where(F.lit(True) if n.tool == "diffusion" else keep | ref if needs else keep), Context(box=box, frames=frames, reference=n.reference, path=n.file), params)
-    print(r.csv([f"tool {n.tool}", f"file {n.file}"]) if n.csv else r.json() if n.json else r.text())
+    print(r.csv([f"tool {n.tool}", f"file {n.file}"], only) if n.csv else r.json(only) if n.json else r.text(only))
     return 0
 
 

@@ -123,6 +123,22 @@ def disorientation_degrees(a: Sequence[Column], b: Sequence[Column], operators:
     return F.degrees(2.0 * F.acos(F.least(F.lit(1.0), F.greatest(*best) if len(best) > 1 else best[0])))
 
 
+def orientation_hue(q: Sequence[Column], hexagonal: Column) -> Column:
+    """Hue from 0 to 1 of a crystal's orientation (w, x, y, z) against the z axis: for cubes that of the inverse pole figure,
+    red along an edge, green along a face's diagonal and blue along the body's; for hexagons the c axis's tilt, 90 degrees as 1."""
+    w, x, y, z = q
+    up = 1 - 2 * (x * x + y * y)
+    tilt = F.acos(F.least(F.lit(1.0), F.abs(up))) * (2 / 3.141592653589793)
+    along = F.array_sort(F.array(F.abs(2 * (x * z - y * w)), F.abs(2 * (y * z + x * w)), F.abs(up)))
+    small, middle, large = (F.get(along, k) for k in range(3))
+    r, g, b = large - middle, F.sqrt(F.lit(2.0)) * (middle - small), F.sqrt(F.lit(3.0)) * small
+    top = F.greatest(r, g, b)
+    span = top - F.least(r, g, b)
+    sixths = F.when(r == top, (g - b) / span).when(g == top, 2 + (b - r) / span).otherwise(4 + (r - g) / span)
+    hue = F.when(span > 1e-9 * top, F.pmod(sixths / 6, F.lit(1.0))).otherwise(0.0)
+    return F.when(hexagonal, tilt).otherwise(hue)
+
+
 def rotation_group(order_axis: int) -> list[tuple[float, float, float, float]]:
     """Proper rotations as quaternions, generated from two turns: 4 gives the 24 of the cube, 6 the 12 of the hexagon."""
     import math

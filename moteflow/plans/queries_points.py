@@ -7,10 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..adapters import ATOMS_SQL, BOX, SLAB_SQL, SPECIES_SQL, atoms, slab, species
+from ..adapters import ATOMS_SQL, BOX, N_FRAMES, SLAB_SQL, SPECIES_SQL, atoms, slab, species
+from ..cli import frame_filter
 from ..functions import geometry as G
 from ..functions import units
 from ..operators import binning, graph, groups, joins, neighbors, stats, windows
+from ..sources.trajectories import decimated
 from .registry_queries import query
 
 L, RC = 1.2, 0.15
@@ -38,14 +40,12 @@ def trajectory_info(s: SparkSession, d: str) -> DataFrame:
 
 @query("decimate", f"WITH {ATOMS_SQL}, m AS (SELECT max(frame) AS last FROM atoms) SELECT frame, count(*) AS n, round(sum(x), 6) + 0.0 AS sx FROM atoms, m WHERE frame % 6 = 0 OR frame = last GROUP BY frame")
 def decimate(s: SparkSession, d: str) -> DataFrame:
-    a = atoms(s, d)
-    last = a.agg(F.max("frame")).first()[0]
-    return a.where((F.col("frame") % 6 == 0) | (F.col("frame") == last)).groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("x"), "sx"))
+    return decimated(atoms(s, d), 6).groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("x"), "sx"))
 
 
 @query("frame_range", f"WITH {ATOMS_SQL} SELECT frame, count(*) AS n FROM atoms WHERE frame BETWEEN 3 AND 17 AND (frame - 3) % 4 = 0 GROUP BY frame")
 def frame_range(s: SparkSession, d: str) -> DataFrame:
-    return atoms(s, d).where(F.col("frame").between(3, 17) & ((F.col("frame") - 3) % 4 == 0)).groupBy("frame").agg(F.count("*").alias("n"))
+    return atoms(s, d).where(frame_filter("3-17:4", N_FRAMES - 1)).groupBy("frame").agg(F.count("*").alias("n"))
 
 
 @query("group_elements", f"WITH {ATOMS_SQL} SELECT frame, atom, element FROM atoms WHERE element IN ('E0', 'E2')")

@@ -9,6 +9,7 @@ from ..adapters import ATOMS_SQL, FORCE_SQL, REPLICAS_SQL, THERMO_SQL, atoms, fo
 from ..functions import text as T
 from ..functions import units
 from ..operators import joins, stats, windows
+from ..sources import tables
 from .registry_queries import query
 
 
@@ -19,8 +20,8 @@ def r6(c: F.Column, name: str) -> F.Column:
 @query("thermo_common_columns", f"WITH {THERMO_SQL}, c AS (SELECT DISTINCT block, unnest(json_keys(props)) AS col FROM (SELECT event_type AS block, props FROM events)) SELECT col, count(*) AS blocks FROM c GROUP BY col HAVING count(*) = (SELECT count(DISTINCT block) FROM thermo)")
 def thermo_common_columns(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet")
-    n = e.agg(F.count_distinct("event_type")).first()[0]
-    return e.select("event_type", F.explode(F.json_object_keys("props")).alias("col")).groupBy("col").agg(F.count_distinct("event_type").alias("blocks")).where(F.col("blocks") == n)
+    log = e.select(F.lit("events").alias("file"), F.col("event_type").alias("block"), F.posexplode(F.json_object_keys("props")).alias("ord", "col"))
+    return log.where(F.col("col").isin(tables.common_columns(log))).groupBy("col").agg(F.count_distinct("block").alias("blocks"))
 
 
 @query("thermo_concat", f"WITH {THERMO_SQL} SELECT block, row, step, row_number() OVER (ORDER BY block, row) - 1 AS global_row FROM thermo")
@@ -130,8 +131,9 @@ def elastic_prefix(s: SparkSession, d: str) -> DataFrame:
 
 @query("log_tail", f"WITH {THERMO_SQL}, r AS (SELECT block, row, step, row_number() OVER (PARTITION BY block ORDER BY row DESC) AS r FROM thermo) SELECT block, row, step FROM r WHERE r <= 10")
 def log_tail(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("block").orderBy(F.desc("row"))
-    return thermo(s, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select("block", "row", "step")
+    from ..streaming.follow import tail
+
+    return tail(thermo(s, d), "row", ["block"]).select("block", "row", "step")
 
 
 CELLS_SQL = "li AS (SELECT p_brand AS ligand, r_name AS receptor, l_extendedprice AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), cells AS (SELECT ligand, receptor, median(v) AS value, count(*) AS n FROM li GROUP BY ALL HAVING count(*) >= 100)"
@@ -175,8 +177,8 @@ def edges(s: SparkSession, d: str) -> DataFrame:
 
 @query("edge_sort", f"WITH {EDGES_SQL} SELECT lig_a, lig_b, round(ddg, 6) + 0.0 AS ddg, CAST(row_number() OVER (ORDER BY ddg NULLS LAST, lig_a, lig_b) AS INTEGER) AS place FROM edges")
 def edge_sort(s: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy(F.asc_nulls_last("ddg"), "lig_a", "lig_b")
-    return edges(s, d).select("lig_a", "lig_b", r6(F.col("ddg"), "ddg"), F.row_number().over(w).alias("place"))
+    rows = edges(s, d).select("lig_a", "lig_b", F.col("ddg").alias("ddG_kcal"), F.struct("lig_a", "lig_b").alias("ord"))
+    return tables.sorted_edges(rows, "ddG").select("lig_a", "lig_b", r6(F.col("ddG_kcal"), "ddg"), (F.col("place") + 1).alias("place"))
 
 
 @query("rank_lookup", f"WITH {EDGES_SQL}, k AS (SELECT lig_a AS name, row_number() OVER (ORDER BY min(ddg), lig_a) AS rank FROM edges GROUP BY lig_a), q AS (SELECT lig_b AS name, row_number() OVER (ORDER BY min(ddg), lig_b) AS rank FROM edges GROUP BY lig_b) SELECT lig_a, lig_b, CAST(least(k.rank, q.rank) AS INTEGER) AS best FROM edges JOIN k ON lig_a = k.name JOIN q ON lig_b = q.name")

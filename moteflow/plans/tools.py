@@ -120,7 +120,8 @@ def ptm(atoms: DataFrame, c: Context, quantity: str, rmsdThreshold: float, gbAng
     ok, edge = F.col("class") != structure.OTHER, F.col("grain") == 0
     wide = rows.groupBy("frame").agg((100.0 * F.avg((~ok).cast("int"))).alias("other"), *[(100.0 * F.avg((F.col("class") == structure.CODES[n]).cast("int"))).alias(n) for n in names], (100.0 * F.avg(ok.cast("int"))).alias("ordered"), F.avg(F.when(ok, F.col("rmsd"))).alias("rmsd"), (100.0 * F.avg(edge.cast("int"))).alias("gb"), F.max("grain").alias("grains"))
     table = summary_of(wide, [("Other", "other", "%"), *[(n.upper(), n, "%") for n in names], ("Crystalline", "ordered", "%"), ("Mean RMSD matched", "rmsd", ""), ("GB fraction", "gb", "%"), ("Grains", "grains", ""), ("Method", F.lit("template matching"), "")])
-    value = {"rmsd": F.col("rmsd"), "gb": edge.cast("double"), "orientation": 2 * F.acos(F.least(F.lit(1.0), F.abs("qw"))) / math.pi}.get(quantity, F.col("class").cast("double"))
+    hue = F.when(ok, G.orientation_hue([F.col(x) for x in structure.QUATERNION], F.col("class") == structure.HCP)).otherwise(0.0)
+    value = {"rmsd": F.col("rmsd"), "gb": edge.cast("double"), "orientation": hue, "shear": F.coalesce(F.nanvl("shear", F.lit(0.0)), F.lit(0.0))}.get(quantity, F.col("class").cast("double"))
     return ToolResult(table, wide.select("frame", (F.col("ordered") / 100).alias("scalar")), field_of(rows, value), frame_profile(rows, F.col(profileAxis), ok.cast("double"), bins), notes, "crystalline fraction")
 
 

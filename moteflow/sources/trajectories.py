@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,6 +217,32 @@ def dump_fields(spark: SparkSession, path: str) -> list[str] | None:
     return None
 
 
+def decimated(atoms: DataFrame, every: int) -> DataFrame:
+    """Every so many frames from the first on, and the last in any case."""
+    if every < 2:
+        raise ValueError(f"every {every}: it must be 2 or more")
+    last = atoms.agg(F.max("frame")).first()[0]
+    return atoms.where((F.col("frame") % every == 0) | (F.col("frame") == F.lit(last)))
+
+
+def append_new_frames(spark: SparkSession, path: str, table: str) -> int:
+    """Follows a trajectory that grows: appends the complete frames that the table lacks to it, and tells how many they are.
+
+    Frames keep their numbers as a file grows, so a refresh that is run again adds nothing; a cut last frame waits.
+    """
+    atoms, _ = read_trajectory(spark, path)
+    names = [c.split()[0] for c in ATOMS.split(", ")]
+    try:
+        known = spark.read.parquet(table).agg(F.max("frame")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    new = atoms.select(*names).where(F.col("frame") > (-1 if known is None else known))
+    new.write.mode("append").parquet(table)
+    return spark.read.parquet(table).where(F.col("frame") > (-1 if known is None else known)).select("frame").distinct().count()
+
+
 def map_elements(atoms: DataFrame, symbols: list[str]) -> DataFrame:
     """Numeric types as symbols, counted from 1; other tokens pass."""
     names = F.array(*[F.lit(s) for s in symbols])
