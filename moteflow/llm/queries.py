@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, linededup, media, mixing, ngramjoin, sharding, sstable, toxicity
+from . import ann, bpe, chat, collocations, linededup, media, mixing, ngramjoin, resampling, secretscan, sharding, sstable, toxicity
 from .common import scratch, small_batches
 
 #: Weights of documents of high and of low quality: in the query, where about nine tenths are of high quality before; in the pipeline.
@@ -66,6 +66,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "group_id", "n_links", "first")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": prepared(op8_media),
     "op9_sharding": prepared(op9_sharding),
     "op10_ngram_join": prepared(op10_ngram_join),
+    "op11_collocations": prepared(op11_collocations),
+    "op12_secrets": prepared(op12_secrets),
+    "op13_resampling": prepared(op13_resampling),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +108,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.ORACLE_SQL,
     "op7_mixing": mixing.oracle_sql(MIX_TARGETS),
     "op9_sharding": sharding.ORACLE_SQL.format(limit=SHARD_BYTES),
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op13_resampling": resampling.ORACLE_SQL,
 }
