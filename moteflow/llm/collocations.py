@@ -25,6 +25,7 @@ CLASSES = byte_classes(blanks=b" \t", pieces=b".,;:!?\n\x0b\x0c\r")
 FILTER_BITS = 1 << 26  # 8 MB in the driver and in each worker
 FILTER_HASHES = 3
 SALT = 32
+PART_BYTES = 2 << 20  # of text that are counted at a time
 COUNTS = "lang string, phrase string, n long"
 
 
@@ -119,7 +120,8 @@ def level_tables(docs: DataFrame, max_words: int, least: int) -> list[DataFrame]
 
         def count(batches: Iterator[pa.RecordBatch], k: int = k, filters: list = list(filters)) -> Iterator[pa.RecordBatch]:  # noqa: B006
             held = [f.value for f in filters]
-            return ending(grams(part, k, held) for b in batches for part in slices(b, text=1, rows=4096))
+            whole = (grams(part, k, held) for b in batches for part in slices(b, text=1, rows=4096, most=PART_BYTES))
+            return ending(g.slice(at, 1 << 16) for g in whole for at in range(0, g.num_rows, 1 << 16))
 
         counted = texts.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         tables.append(stored(counted.where((F.col("n") >= least) | (F.col("phrase") == "")), f"grams-{k}"))

@@ -49,7 +49,7 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # identifiers
     r"(?i)abcdefghijkl|0123456789|qwertyuiop",
-    r"^(?:[A-Za-z]+[-_/])+[A-Za-z0-9]*$",  # words joined by signs: paths, slugs
+    r"^/?(?:[A-Za-z]+\d{0,2}[-_/])+(?:[A-Za-z]+\d{0,2})?$",  # words joined by signs: paths, slugs
 )
 MOST = "A-Za-z0-9+/_=-"
 
@@ -94,7 +94,7 @@ def scanner(classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] =
                 for m in run.finditer(text, whole.start(), whole.end()):
                     if not any(s <= m.start() and m.end() <= e for _, s, e in found):
                         spans = ((m.start() + s, m.start() + e) for s, e in hot_windows(m[0], c.window, c.bits))
-                        found += [(c.kind, s, e) for s, e in spans if all(n.search(text, s, e) for n in needs) and not any(a <= s and e <= b for _, a, b in found)]
+                        found += [(c.kind, s, e) for s, e in spans if all(n.search(text, s, e) for n in needs) and not any(s < b and a < e for _, a, b in found)]
         return base, found
 
     return scan
