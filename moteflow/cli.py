@@ -36,9 +36,9 @@ def frame_filter(spec: str, last: int) -> Column:
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
+    from .operators.boxes import boxes_of
     from .plans import tools  # noqa: F401
     from .plans.result import Context, catalogue, run_tool
-    from .schema import Box
     from .sources.sinks import write_xyz
     from .sources.trajectories import decimated, read_trajectory
 
@@ -81,13 +81,11 @@ def main(argv: list[str] | None = None) -> int:
         only = int(n.frame) if n.frame and n.frame.isdigit() else None  # a row of the side file
     else:
         atoms, frames = read_trajectory(spark, n.file)
-        head = frames.where("has_box").orderBy("frame").first()
-        box = Box(*(tuple(head[f"{e}_{x}"] for x in "xyz") for e in ("lo", "hi")), tuple(head[f"per_{x}"] for x in "xyz")) if head else None
         last = frames.agg(F.max("frame")).first()[0]
         keep = frame_filter(n.frame or n.frames, last)
         ref = F.col("frame") == n.reference
         needs = n.tool in ("diffusion", "deformation", "conformation")
-        r = run_tool(n.tool, atoms.where(F.lit(True) if n.tool == "diffusion" else keep | ref if needs else keep), Context(box=box, frames=frames, reference=n.reference, path=n.file), params)
+        r = run_tool(n.tool, atoms.where(F.lit(True) if n.tool == "diffusion" else keep | ref if needs else keep), Context(box=boxes_of(frames), frames=frames, reference=n.reference, path=n.file), params)
     print(r.csv([f"tool {n.tool}", f"file {n.file}"], only) if n.csv else r.json(only) if n.json else r.text(only))
     return 0
 

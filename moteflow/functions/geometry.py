@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import AXES, Box
+from ..schema import AXES
 
 Vec = Sequence[Column]
 Mat = Sequence[Column]  # nine columns, row by row
@@ -27,13 +27,9 @@ def wrap(p: Column, lo: Column | float, length: Column | float) -> Column:
     return F.when(length > 0, lo + F.pmod(p - lo, length)).otherwise(p)
 
 
-def delta(a: str, b: str, box: Box | None) -> list[Column]:
+def delta(a: str, b: str) -> list[Column]:
     """b's position minus a's, as columns; a and b are column prefixes ('' or 'r_')."""
-    out = []
-    for i, ax in enumerate(AXES):
-        d = F.col(b + ax) - F.col(a + ax)
-        out.append(min_image(d, box.lengths[i]) if box and box.periodic[i] else d)
-    return out
+    return [F.col(b + ax) - F.col(a + ax) for ax in AXES]
 
 
 def dot(a: Vec, b: Vec) -> Column:

@@ -1,79 +1,192 @@
 """Range joins of points: a grid of cells turns the distance predicate into an equi-join that Spark can shuffle.
 
-Cells are at least one cutoff wide. One side is exploded to its own and the neighbouring cells, the other keeps its cell, and
-the distance is the join's residual filter; no cross join is planned. On periodic axes cells wrap, and with fewer than three
-of them the neighbours are listed once each, so no pair counts twice.
+The grid is data: cell sizes, box lengths, origins and periodic flags are columns of each row, so frames may have boxes and
+cutoffs of their own. Cells are at least one cutoff wide. One side is exploded to its own and the neighbouring cells, the other
+keeps its cell, and the distance is the join's residual filter; no cross join is planned. On periodic axes cells wrap, and with
+fewer than three of them the neighbours are listed once each, so no pair counts twice. The join makes its own exchanges, which
+adaptive execution may split where a cell is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import min_image
-from ..schema import AXES, Box
+from ..schema import AXES
+from .boxes import Cell, celled, image
+from .graph import written
 
+CELLS = ("cx", "cy", "cz")
 
-def cell(p: Column, axis: int, cutoff: float, box: Box | None) -> Column:
-    if box and box.periodic[axis] and box.lengths[axis] > 0:
-        length, lo = box.lengths[axis], box.lo[axis]
-        n = max(1, int(length // cutoff))
-        return F.least(F.lit(n - 1), F.floor(F.pmod(p - lo, F.lit(length)) / (length / n))).cast("int")
-    return F.floor(p / cutoff).cast("int")
 
+def cells_on(axis: str) -> Column:
+    """How many cells of the row's size a periodic axis has; 0 on an open one."""
+    size = F.col(f"cell_size_{axis}")
+    return F.when(F.col(f"cell_per_{axis}") & (size > 0), F.greatest(F.lit(1), F.floor(size / F.col("edge")))).otherwise(F.lit(0)).cast("long")
 
-def reach(c: Column, axis: int, cutoff: float, box: Box | None) -> Column:
-    """Array of the cells that points in cell c can have neighbours in."""
-    if box and box.periodic[axis] and box.lengths[axis] > 0:
-        n = max(1, int(box.lengths[axis] // cutoff))
-        if n < 3:
-            return F.sequence(F.lit(0), F.lit(n - 1))
-        return F.array(*[F.pmod(c + o, F.lit(n)) for o in (-1, 0, 1)])
-    return F.array(c - 1, c, c + 1)
 
+def cell_of(axis: str) -> Column:
+    n, p, size = cells_on(axis), F.col(axis), F.col(f"cell_size_{axis}")
+    wrapped = F.least(n - 1, F.floor(F.pmod(p - F.col(f"cell_lo_{axis}"), size) / (size / n)))
+    return F.when(n > 0, wrapped).otherwise(F.floor(p / F.col("edge")))
 
-def range_join(left: DataFrame, right: DataFrame, cutoff: float, box: Box | None = None, same: bool = False) -> DataFrame:
-    """frame, i, j, dx, dy, dz (from i to j, minimum image), d: all pairs with d <= cutoff in the same frame.
 
-    left and right need frame, atom, x, y, z. With same, i and j are atoms of one table and i = j is left out.
+def reach_of(c: Column, axis: str) -> Column:
+    """The cells that points in cell c can have neighbours in."""
+    n = cells_on(axis)
+    return F.when(n == 0, F.array(c - 1, c, c + 1)).when(n < 3, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(F.pmod(c - 1, n), c, F.pmod(c + 1, n)))
+
+
+def joined_cells(a: DataFrame, b: DataFrame, keys: list[str], same: bool) -> DataFrame:
+    """keys, i, j, dx, dy, dz, d: all pairs with d <= cut. a has keys, i, position, cell, edge and cut; b has keys, j, position, cell and edge.
+
+    edge, a cell's width, is at least cut and equal in rows of equal keys.
     """
-    cells = ("cx", "cy", "cz")
-    a = left.select("frame", F.col("atom").alias("i"), *AXES)
-    for k, (ax, c) in enumerate(zip(AXES, cells, strict=True)):
-        a = a.withColumn(c, F.explode(reach(cell(F.col(ax), k, cutoff, box), k, cutoff, box)))
-    b = right.select("frame", F.col("atom").alias("j"), *[F.col(ax).alias("q" + ax) for ax in AXES], *[cell(F.col(ax), k, cutoff, box).alias(c) for k, (ax, c) in enumerate(zip(AXES, cells, strict=True))])
-    ds = [min_image(F.col("q" + ax) - F.col(ax), box.lengths[k]) if box and box.periodic[k] else F.col("q" + ax) - F.col(ax) for k, ax in enumerate(AXES)]
-    near = ds[0] * ds[0] + ds[1] * ds[1] + ds[2] * ds[2] <= cutoff * cutoff
+    for ax, c in zip(AXES, CELLS, strict=True):
+        a = a.withColumn(c, F.explode(reach_of(cell_of(ax), ax)))
+    b = b.select(*keys, "j", *[F.col(ax).alias("q" + ax) for ax in AXES], *[cell_of(ax).alias(c) for ax, c in zip(AXES, CELLS, strict=True)])
+    ds = [image(F.col("q" + ax) - F.col(ax), ax) for ax in AXES]
+    near = ds[0] * ds[0] + ds[1] * ds[1] + ds[2] * ds[2] <= F.col("cut") * F.col("cut")
     if same:
         near = near & (F.col("i") != F.col("j"))
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs make many pairs: adaptive coalescing would leave them to one task
-    a, b = (side.repartition(n, "frame", *cells) for side in (a, b))
-    pairs = a.join(b, ["frame", *cells]).where(near).select("frame", "i", "j", *[d.alias("d" + ax) for d, ax in zip(ds, AXES, strict=True)])
+    # sorted, not broadcast: a small table would be one task's work, and of a hot cell only one side's rows need to lie together
+    pairs = a.join(b.hint("merge"), [*keys, *CELLS]).where(near).select(*keys, "i", "j", *[d.alias("d" + ax) for d, ax in zip(ds, AXES, strict=True)])
     return pairs.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
 
 
-def neighbours(atoms: DataFrame, cutoff: float, box: Box | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, cutoff: float | DataFrame, box: Cell = None, same: bool = False) -> DataFrame:
+    """frame, i, j, dx, dy, dz (from i to j, minimum image), d: all pairs with d <= cutoff in the same frame.
+
+    left and right need frame, atom, x, y, z. The cutoff is a number, or frame and cutoff of each frame (a frame without one has
+    no pairs); the box is one for all frames or a table of boxes. With same, i and j are atoms of one table and i = j is left out.
+    """
+
+    def side(t: DataFrame, name: str) -> DataFrame:
+        rows = celled(t.select("frame", F.col("atom").alias(name), *AXES), box)
+        rows = rows.join(cutoff.select("frame", F.col("cutoff").alias("cut")), "frame") if isinstance(cutoff, DataFrame) else rows.withColumn("cut", F.lit(float(cutoff)))
+        return rows.withColumn("edge", F.col("cut"))
+
+    return joined_cells(side(left, "i"), side(right, "j"), ["frame"], same)
+
+
+def neighbours(atoms: DataFrame, cutoff: float | DataFrame, box: Cell = None) -> DataFrame:
     """range_join() of a table with itself: both directions of every pair."""
     return range_join(atoms, atoms, cutoff, box, same=True)
 
 
-def k_nearest(atoms: DataFrame, k: int, cutoff: float, box: Box | None = None) -> DataFrame:
+def numbered(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs with rn, 1 for the nearest: the first k of each atom, ties by the smaller atom."""
+    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("frame", "i").orderBy("d", "j"))).where(F.col("rn") <= k)
+
+
+def nearest_within(atoms: DataFrame, k: int, cutoff: float, box: Cell = None) -> DataFrame:
     """neighbours() with rn, 1 for the nearest: the k nearest within the cutoff, ties by the smaller atom; may be fewer."""
-    order = Window.partitionBy("frame", "i").orderBy("d", "j")
-    return neighbours(atoms, cutoff, box).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return numbered(neighbours(atoms, cutoff, box), k)
+
 
+def z_order(axes: list[Column]) -> Column:
+    """The bits of three whole numbers under 2**21 in turns: near places have near codes mostly."""
 
-def knn_cutoff(atoms: DataFrame, k: int, density: float, box: Box | None = None, tries: int = 4, share: int = 200) -> float:
-    """A cutoff that holds the k nearest of nearly every atom, from about share atoms of each frame, growing by 1.6 up to tries times."""
-    import math
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
 
-    cutoff = 1.6 * (13 * 3 / (4 * math.pi * density)) ** (1 / 3)
+    x, y, z = (spread(v) for v in axes)
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
+def bounded(atoms: DataFrame, k: int, box: Cell) -> DataFrame:
+    """frame, i, x, y, z, cell columns, span (no two atoms of the frame are further apart) and bound: k other atoms lie within bound, which is null where too few were looked at.
+
+    Atoms are dealt out along a space-filling order; the k nearest of the k before and the k after give the bound, so it
+    follows the density around each atom.
+    """
+    ends = celled(atoms.groupBy("frame").agg(*[f(a).alias(n + a) for a in AXES for n, f in (("least_", F.min), ("most_", F.max))]), box)
+    wide = {a: F.when(F.col(f"cell_per_{a}") & (F.col(f"cell_size_{a}") > 0), F.col(f"cell_size_{a}") / 2).otherwise(F.col("most_" + a) - F.col("least_" + a)) for a in AXES}
+    far = F.greatest(*[F.abs(F.col(n + a)) for a in AXES for n in ("least_", "most_")])
+    ends = ends.withColumn("span", F.greatest(F.sqrt(sum((wide[a] * wide[a] for a in AXES), F.lit(0.0))) * (1 + 1e-12), 1e-6 * far, F.lit(1e-9)))
+    rows = atoms.select("frame", F.col("atom").alias("i"), *[F.col(a).cast("double").alias(a) for a in AXES]).join(ends, "frame")
+    steps = [F.floor((F.col(a) - F.col("least_" + a)) / F.greatest(F.col("most_" + a) - F.col("least_" + a), F.lit(1e-300)) * ((1 << 21) - 1)) for a in AXES]
+    rows = rows.withColumn("z_order", z_order(steps)).drop(*[n + a for a in AXES for n in ("least_", "most_")])
+    names = [c for c in rows.columns if c != "z_order"]
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in names) + ", bound double"
+    place = [names.index(c) for c in ("frame", *AXES)]
+    sizes, periodic = ([names.index(f"cell_{w}_{a}") for a in AXES] for w in ("size", "per"))
+
+    def look(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        before = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks().to_batches()
+            both = held[0] if held else batch
+            skip, n = both.num_rows - batch.num_rows, both.num_rows
+            at = [both.column(p).to_numpy(zero_copy_only=False) for p in place]
+            lengths = [np.where(both.column(p).to_numpy(zero_copy_only=False).astype(bool), both.column(s).to_numpy(zero_copy_only=False), 0.0) for s, p in zip(sizes, periodic, strict=True)]
+            best = np.full((2 * k, n), np.inf)
+            for o in range(1, min(k, n - 1) + 1):
+                square = np.zeros(n - o)
+                for v, size in zip(at[1:], lengths, strict=True):
+                    d = np.abs(v[o:] - v[:-o])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        square += np.square(np.where(size[o:] > 0, d - size[o:] * np.floor(d / size[o:] + 0.5), d))
+                square[at[0][o:] != at[0][:-o]] = np.inf
+                best[o - 1, o:] = square
+                best[k + o - 1, : n - o] = square
+            bound = np.sqrt(np.partition(best, k - 1, axis=0)[k - 1]) * (1 + 1e-12)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound[skip:], mask=np.isinf(bound[skip:]))], [*names, "bound"])
+            before = both.slice(max(0, n - k))
+
+    return rows.repartitionByRange("frame", "z_order").sortWithinPartitions("frame", "z_order").select(*names).mapInArrow(look, schema)
+
+
+def k_nearest(atoms: DataFrame, k: int, box: Cell = None) -> DataFrame:
+    """frame, i, j, dx, dy, dz, d, rn: the k nearest of each atom, exactly, ties by the smaller atom; all others where a frame has fewer.
+
+    Every atom has a bound within which its k nearest lie. A first search goes to three quarters of it, which is enough for
+    most, and atoms with fewer than k by then are searched to the bound. Cells have one of a frame's widths, each the root of a
+    half of the one before, so a dense clump is searched in small cells and the gas around it in large ones. Frames may have
+    boxes of their own.
+    """
+    start = written(bounded(atoms, k, box), "bounds")
+    cells = [c for c in start.columns if c.startswith("cell_")]
+    points = start.select("frame", F.col("i").alias("j"), *AXES, *cells)
+
+    def search(rows: DataFrame) -> DataFrame:
+        """rows with cut: their neighbours up to there, the first k of each."""
+        cut = F.least("span", F.greatest("cut", F.col("span") * 2.0**-30))
+        level = F.greatest(F.lit(0), F.floor(2 * F.log2(F.col("span") / F.col("cut")))).cast("int")
+        edge = F.col("span") * F.pow(F.lit(2.0), -F.col("level") / 2) * (1 + 1e-12)
+        a = rows.withColumn("cut", cut).withColumn("level", level).withColumn("edge", edge)
+        used = a.select("frame", "level", "edge").distinct()
+        return numbered(joined_cells(a, points.join(used, "frame"), ["frame", "level"], True).drop("level"), k)
+
+    first = written(search(start.where("bound IS NOT NULL").withColumn("cut", 0.75 * F.col("bound"))), "nearest")
+    done = first.groupBy("frame", "i").agg(F.count("*").alias("n")).where(F.col("n") == k).select("frame", "i")
+    later = start.where("bound IS NOT NULL").join(done, ["frame", "i"], "left_anti")
+    second = search(later.withColumn("cut", F.col("bound")))
+    out = first.join(done, ["frame", "i"], "left_semi").unionByName(second)
+    # atoms that too few of their frame were looked at with: a task's first few, and those of frames of at most k atoms
+    left = start.where("bound IS NULL")
+    share = 0.0
+    while not left.isEmpty():
+        share = min(1.0, share * 2 or 1 / 64)
+        found = written(search(left.withColumn("cut", F.col("span") * share)), "nearest")
+        full = found.groupBy("frame", "i").agg(F.count("*").alias("n")).where(F.col("n") == k).select("frame", "i")
+        if share == 1.0:
+            return out.unionByName(found)
+        out = out.unionByName(found.join(full, ["frame", "i"], "left_semi"))
+        left = left.join(full, ["frame", "i"], "left_anti")
+    return out
+
+
+def shell_reach(near: DataFrame, atoms: DataFrame, k: int = 12, share: int = 200, growth: float = 1.5) -> DataFrame:
+    """frame, cutoff: growth times the mean distance of the kth neighbour, over about share atoms of each frame."""
     sizes = atoms.groupBy("frame").agg(F.count("*").alias("_n"))
-    sample = atoms.join(sizes, "frame").where(F.pmod(F.col("atom"), F.greatest(F.lit(1), F.floor(F.col("_n") / share))) == 0).drop("_n")
-    for _ in range(tries):
-        order = Window.partitionBy("frame", "i").orderBy("d")
-        found = range_join(sample, atoms, cutoff, box, same=True).withColumn("rn", F.row_number().over(order)).where(F.col("rn") == k).agg(F.avg("d").alias("d"), F.count("*").alias("n")).first()
-        if found["n"]:
-            return found["d"] * 1.5
-        cutoff *= 1.6
-    return cutoff
+    picked = near.where(F.col("rn") == k).join(sizes, "frame").where(F.pmod(F.col("i"), F.greatest(F.lit(1), F.floor(F.col("_n") / share))) == 0)
+    return picked.groupBy("frame").agg((growth * F.avg("d")).alias("cutoff"))

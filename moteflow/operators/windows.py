@@ -6,22 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import min_image
-from ..schema import AXES, Box
+from ..schema import AXES
+from .boxes import Cell, celled
 
 
-def steps(atoms: DataFrame, box: Box | None = None) -> DataFrame:
-    """Each atom's step from the frame before: frame, atom, sx, sy, sz; null in the first frame."""
+def steps(atoms: DataFrame, box: Cell = None, reference: int = 0) -> DataFrame:
+    """Each atom's step from the frame before: frame, atom, sx, sy, sz; null in the first frame.
+
+    A step's image is that of the cell of the frame it leads to when walked away from the reference.
+    """
     w = Window.partitionBy("atom").orderBy("frame")
+    rows = celled(atoms.select("frame", "atom", *AXES), box)
     out = []
-    for k, ax in enumerate(AXES):
-        d = F.col(ax) - F.lag(ax).over(w)
-        out.append((min_image(d, box.lengths[k]) if box and box.periodic[k] else d).alias("s" + ax))
-    return atoms.select("frame", "atom", *out)
+    for ax in AXES:
+        size = F.when(F.col(f"cell_per_{ax}"), F.col(f"cell_size_{ax}")).otherwise(F.lit(0.0))
+        size = F.when(F.col("frame") > reference, size).otherwise(F.lag(size).over(w))
+        out.append(min_image(F.col(ax) - F.lag(ax).over(w), F.coalesce(size, F.lit(0.0))).alias("s" + ax))
+    return rows.select("frame", "atom", *out)
 
 
-def unwrapped(atoms: DataFrame, box: Box | None = None, reference: int = 0) -> DataFrame:
+def unwrapped(atoms: DataFrame, box: Cell = None, reference: int = 0) -> DataFrame:
     """Displacement of each atom from the reference frame: ux, uy, uz, summed step by step forwards and backwards."""
-    moved = steps(atoms, box)
+    moved = steps(atoms, box, reference)
     after = Window.partitionBy("atom").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("atom").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, -1)
     forward = moved.where(F.col("frame") > reference).select("frame", "atom", *[F.sum("s" + a).over(after).alias("u" + a) for a in AXES])
@@ -29,7 +35,7 @@ def unwrapped(atoms: DataFrame, box: Box | None = None, reference: int = 0) -> D
     return forward.unionByName(back)
 
 
-def mean_square_displacement(atoms: DataFrame, box: Box | None = None, reference: int = 0) -> DataFrame:
+def mean_square_displacement(atoms: DataFrame, box: Cell = None, reference: int = 0) -> DataFrame:
     """frame, msd."""
     u = unwrapped(atoms, box, reference)
     return u.groupBy("frame").agg(F.avg(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz")).alias("msd"))

@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.units import BAR_TO_GPA
 from ..operators import stats, windows
+from ..operators.boxes import Cell, celled, image
 from ..operators.neighbors import neighbours
-from ..schema import Box
 
 
-def affine_sums(atoms: DataFrame, reference: int, cutoff: float, box: Box | None = None) -> DataFrame:
-    """frame, atom, n, v00..v22, w00..w22, dd: sums over the reference frame's neighbours of r r, r d and d d."""
+def affine_sums(atoms: DataFrame, reference: int, cutoff: float, box: Cell = None) -> DataFrame:
+    """frame, atom, n, v00..v22, w00..w22, dd: sums over the reference frame's neighbours of r r, r d and d d.
+
+    r is an image in the reference frame's cell, d one in the cell of the frame itself.
+    """
     pairs = neighbours(atoms.where(F.col("frame") == reference), cutoff, box).select("i", "j", "dx", "dy", "dz")
-    here = atoms.select("frame", F.col("atom").alias("i"), *[F.col(c).alias("p" + c) for c in "xyz"])
+    here = celled(atoms.select("frame", F.col("atom").alias("i"), *[F.col(c).alias("p" + c) for c in "xyz"]), box)
     there = atoms.select("frame", F.col("atom").alias("j"), *[F.col(c).alias("q" + c) for c in "xyz"])
     both = pairs.join(here, "i").join(there, ["frame", "j"])
     r = [F.col("d" + c) for c in "xyz"]
-    d = [G.min_image(F.col("q" + c) - F.col("p" + c), box.lengths[k]) if box and box.periodic[k] else F.col("q" + c) - F.col("p" + c) for k, c in enumerate("xyz")]
+    d = [image(F.col("q" + c) - F.col("p" + c), c) for c in "xyz"]
     sums = [F.sum(r[i] * r[j]).alias(f"v{i}{j}") for i in range(3) for j in range(3)] + [F.sum(r[i] * d[j]).alias(f"w{i}{j}") for i in range(3) for j in range(3)]
     return both.groupBy("frame", F.col("i").alias("atom")).agg(F.count("*").alias("n"), *sums, F.sum(G.dot(d, d)).alias("dd"))
 
 
-def deformation(atoms: DataFrame, reference: int, cutoff: float = 3.5, box: Box | None = None) -> DataFrame:
+def deformation(atoms: DataFrame, reference: int, cutoff: float = 3.5, box: Cell = None) -> DataFrame:
     """frame, atom, valid, f (nine columns), shear, volumetric, dilation, d2min: the best affine map of each neighbourhood.
 
     An atom with fewer than three neighbours, or whose sums have no inverse, isn't valid and has nulls.

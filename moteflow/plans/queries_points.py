@@ -116,7 +116,7 @@ def neighbours_open(s: SparkSession, d: str) -> DataFrame:
 
 @query("knn12", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d, j) AS rn FROM pairs) SELECT frame, i, j, CAST(rn AS INTEGER) AS rn, round(d, 6) + 0.0 AS d FROM r WHERE rn <= 12")
 def knn12(s: SparkSession, d: str) -> DataFrame:
-    return neighbors.k_nearest(atoms(s, d), 12, RC, BOX).select("frame", "i", "j", "rn", r6(F.col("d"), "d"))
+    return neighbors.nearest_within(atoms(s, d), 12, RC, BOX).select("frame", "i", "j", "rn", r6(F.col("d"), "d"))
 
 
 @query("contacts_ab", f"WITH {OPEN_SQL} SELECT frame, count(*) AS contacts, round(min(d), 6) + 0.0 AS nearest FROM open_pairs WHERE li = 0 AND lj = 1 GROUP BY frame")
@@ -138,7 +138,7 @@ def min_interface_distance(s: SparkSession, d: str) -> DataFrame:
   FROM atoms a JOIN atoms r ON r.frame = 0 AND a.id = r.id""")
 def ref_displacement(s: SparkSession, d: str) -> DataFrame:
     j = joins.reference_join(atoms(s, d), 0, use_ids=True)
-    return j.select("frame", "atom", r6(G.norm(G.delta("r_", "", BOX)), "moved"))
+    return j.select("frame", "atom", r6(G.norm([G.min_image(v, L) for v in G.delta("r_", "")]), "moved"))
 
 
 @query("residue_slots", f"""WITH {ATOMS_SQL}, k AS (SELECT *, CAST(label AS VARCHAR) AS c, 'R' || (id % 7) AS n FROM atoms), f AS (SELECT frame, c, n, min(atom) AS first FROM k GROUP BY ALL),

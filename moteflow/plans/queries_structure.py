@@ -13,6 +13,9 @@ from .registry_queries import query
 from .tools import bootstrap_interval
 
 
+ALL_TEMPLATES = tuple(structure.TEMPLATES)
+
+
 @query("bond_order_l2", f"""WITH {PAIRS_SQL}, y AS (SELECT frame, i, count(*) AS n, avg(3*dz*dz/(d*d) - 1) AS a, avg(dx*dz/(d*d)) AS b, avg(dy*dz/(d*d)) AS c, avg((dx*dx - dy*dy)/(d*d)) AS e, avg(dx*dy/(d*d)) AS f FROM pairs GROUP BY frame, i),
 o AS (SELECT t.frame, t.atom AS i, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(e, 0) AS e, coalesce(f, 0) AS f FROM atoms t LEFT JOIN y ON t.frame = y.frame AND t.atom = y.i),
 s AS (SELECT frame, i AS centre, j AS i FROM pairs UNION ALL SELECT frame, atom, atom FROM atoms),
@@ -26,24 +29,28 @@ def bond_order_l2(s: SparkSession, d: str) -> DataFrame:
 @query("q6_bond_order")
 def q6_bond_order(s: SparkSession, d: str) -> DataFrame:
     a = atoms(s, d)
-    return structure.bond_order(neighbors.k_nearest(a, 12, 0.3, BOX), a, 6).select("frame", "atom", r6(F.col("q"), "q6"))
+    return structure.bond_order(structure.nearest_shells(a, 12, BOX), a, 6).select("frame", "atom", r6(F.col("q"), "q6"))
 
 
 @query("acna")
 def acna(s: SparkSession, d: str) -> DataFrame:
-    return structure.common_neighbour_classes(atoms(s, d), 0.3, BOX)
+    a = atoms(s, d)
+    return structure.common_neighbour_classes(a, structure.nearest_shells(a, 14, BOX))
 
 
 @query("ptm")
 def ptm(s: SparkSession, d: str) -> DataFrame:
-    return structure.template_matches(atoms(s, d), 0.3, BOX, ("fcc", "bcc"), 0.3).select("frame", "atom", "class", r6(F.col("rmsd"), "rmsd"))
+    a = atoms(s, d)
+    return structure.template_matches(a, structure.nearest_shells(a, 14, BOX), ALL_TEMPLATES, 0.3).select("frame", "atom", "class", r6(F.col("rmsd"), "rmsd"))
 
 
 @query("grains")
 def grains(s: SparkSession, d: str) -> DataFrame:
     a = atoms(s, d)
-    matches = graph.written(structure.template_matches(a, 0.3, BOX, ("fcc",), 0.3), "matches")
-    return structure.grains(a, matches, 0.3, BOX, 15.0)
+    near = structure.nearest_shells(a, 14, BOX)
+    matches = graph.written(structure.template_matches(a, near, ALL_TEMPLATES, 0.3), "matches")
+    pairs = graph.written(neighbors.neighbours(a, neighbors.shell_reach(near, a), BOX).select("frame", "i", "j"), "pairs")
+    return structure.grains(a, matches, pairs, 15.0)
 
 
 @query("superposition_rmsd")

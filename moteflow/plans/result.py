@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import format_number
-from ..schema import Box
+from ..operators.boxes import Cell
 from ..sources.sinks import csv_text, write_xlsx
 
 
@@ -36,9 +36,9 @@ class InvalidParameter(AnalysisError):
 
 @dataclass
 class Context:
-    """What a tool may need besides atoms: the box, per-frame boxes, the reference frame and where the data came from."""
+    """What a tool may need besides atoms: the box of all frames or a table of boxes, the frames' times, the reference frame and where the data came from."""
 
-    box: Box | None = None
+    box: Cell = None
     frames: DataFrame | None = None
     reference: int | None = None
     path: str | None = None

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import units
 from ..functions.text import residue_key
-from ..operators import groups, interactions, neighbors, stats, windows
+from ..operators import boxes, groups, interactions, neighbors, stats, windows
+from ..operators.graph import written
 from ..operators.joins import ids_usable, nearest, residue_slots
 from ..sources import tables
 from . import binding, conformation, mechanics, structure, surfaces
@@ -38,12 +39,8 @@ def field_of(df: DataFrame, value: Column) -> DataFrame:
     return df.select("frame", "atom", value.cast("float").alias("value"))
 
 
-def density(atoms: DataFrame, box: object | None) -> float:
-    """Atoms a volume in the first frame."""
-    first = atoms.agg(F.min("frame")).first()[0]
-    r = atoms.where(F.col("frame") == first).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    volume = box.volume if box else max(r["x"], 1e-3) * max(r["y"], 1e-3) * max(r["z"], 1e-3)
-    return r["n"] / volume
+def cell_notes(cell: boxes.Cell, absent: str = "no box: boundaries are open") -> list[str]:
+    return [absent] if cell is None else ["tilted box: images are those of an orthogonal one"] if boxes.tilted(cell) else []
 
 
 @tool("z_profile", "Depth profile", "surfaces", functions=("profile", "scalar", "series"), substrate=None, probe=None, bins=12, profileOf="composition", field="")
@@ -86,25 +83,28 @@ def column_field(atoms: DataFrame, c: Context, column: str, colormap: str, range
 def crystallinity(atoms: DataFrame, c: Context, method: str, q6Threshold: float, cutoff: float | None, profileAxis: str, bins: int) -> ToolResult:  # noqa: N803
     """Common-neighbour classes and averaged bond order; the method picks which is shown."""
     fixed = cutoff if cutoff and cutoff > 0 else None
-    reach = fixed or neighbors.knn_cutoff(atoms, 12, density(atoms, c.box), c.box)
-    classes = structure.common_neighbour_classes(atoms, reach, c.box, adaptive=fixed is None)
-    pairs = neighbors.neighbours(atoms, reach, c.box) if fixed else neighbors.k_nearest(atoms, 12, reach, c.box)
-    q6, q4 = structure.bond_order(pairs, atoms, 6).withColumnRenamed("q", "q6"), structure.bond_order(pairs, atoms, 4).withColumnRenamed("q", "q4")
-    rows = atoms.join(classes, ["frame", "atom"]).join(q6, ["frame", "atom"]).join(q4, ["frame", "atom"])
+    if fixed:
+        pairs = written(neighbors.neighbours(atoms, fixed, c.box), "pairs")
+        near, reach = neighbors.numbered(pairs, 16), atoms.select("frame").distinct().withColumn("cutoff", F.lit(fixed))
+    else:
+        near = structure.nearest_shells(atoms, 14, c.box)
+        pairs, reach = near.where("rn <= 12"), neighbors.shell_reach(near, atoms)
+    classes = structure.common_neighbour_classes(atoms, near, fixed)
+    rows = atoms.join(classes, ["frame", "atom"]).join(structure.bond_orders(pairs, atoms, 6, 4), ["frame", "atom"])
     ordered = F.col("class") != structure.OTHER if method == "acna" else F.col("q6") > q6Threshold
     share = lambda cond: 100.0 * F.avg(cond.cast("int"))
-    wide = rows.groupBy("frame").agg(*[share(F.col("class") == k).alias(f"s{k}") for k in range(5)], share(ordered).alias("ordered"), F.avg("q6").alias("q6"), F.avg("q4").alias("q4"))
-    table = summary_of(wide, [*[(n, f"s{k}", "%") for k, n in enumerate(structure.CLASS_NAMES)], ("Crystalline", "ordered", "%"), ("Amorphicity", 100 - F.col("ordered"), "%"), ("Mean q6", "q6", ""), ("Mean q4", "q4", ""), ("Method", F.lit(method), ""), ("Cutoff", F.lit(fixed or reach), "A")])
+    wide = rows.groupBy("frame").agg(*[share(F.col("class") == k).alias(f"s{k}") for k in range(5)], share(ordered).alias("ordered"), F.avg("q6").alias("q6"), F.avg("q4").alias("q4")).join(reach, "frame", "left")
+    table = summary_of(wide, [*[(n, f"s{k}", "%") for k, n in enumerate(structure.CLASS_NAMES)], ("Crystalline", "ordered", "%"), ("Amorphicity", 100 - F.col("ordered"), "%"), ("Mean q6", "q6", ""), ("Mean q4", "q4", ""), ("Method", F.lit(method), ""), ("Cutoff", "cutoff", "A")])
     value = F.col("class") if method == "acna" else F.col("q6")
     profile = frame_profile(rows, F.col(profileAxis), ordered.cast("double"), bins)
-    return ToolResult(table, wide.select("frame", (F.col("ordered") / 100).alias("scalar")), field_of(rows, value), profile, series_label="crystalline fraction")
-
+    return ToolResult(table, wide.select("frame", (F.col("ordered") / 100).alias("scalar")), field_of(rows, value), profile, cell_notes(c.box), "crystalline fraction")
 
-def matched(atoms: DataFrame, c: Context, names: tuple[str, ...], threshold: float) -> tuple[DataFrame, float]:
-    reach = neighbors.knn_cutoff(atoms, 12, density(atoms, c.box), c.box)
-    from ..operators.graph import written
 
-    return written(structure.template_matches(atoms, reach, c.box, names, threshold), "matches"), reach
+def matched(atoms: DataFrame, c: Context, names: tuple[str, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Template matches, and the pairs of neighbours within one and a half times the mean twelfth distance of each frame."""
+    near = structure.nearest_shells(atoms, max(12, *(len(structure.TEMPLATES[n]) for n in names)), c.box)
+    matches = written(structure.template_matches(atoms, near, names, threshold), "matches")
+    return matches, written(neighbors.neighbours(atoms, neighbors.shell_reach(near, atoms), c.box).select("frame", "i", "j"), "pairs")
 
 
 @tool("ptm", "Template matching", "structure", functions=ALL, quantity="structure", rmsdThreshold=0.1, gbAngle=5.0, profileAxis="z", bins=24, templates=["fcc", "hcp", "bcc", "ico"])
@@ -114,8 +114,9 @@ def ptm(atoms: DataFrame, c: Context, quantity: str, rmsdThreshold: float, gbAng
     if not names:
         raise NotApplicable("no known template")
     notes = [] if quantity in ("structure", "orientation", "rmsd", "gb", "shear") else [f"unknown quantity {quantity}: structure is shown"]
-    m, reach = matched(atoms, c, names, rmsdThreshold)
-    g = structure.grains(atoms, m, reach, c.box, gbAngle, 4)
+    notes += cell_notes(c.box)
+    m, pairs = matched(atoms, c, names, rmsdThreshold)
+    g = structure.grains(atoms, m, pairs, gbAngle, 4)
     rows = atoms.join(m, ["frame", "atom"]).join(g, ["frame", "atom"])
     ok, edge = F.col("class") != structure.OTHER, F.col("grain") == 0
     wide = rows.groupBy("frame").agg((100.0 * F.avg((~ok).cast("int"))).alias("other"), *[(100.0 * F.avg((F.col("class") == structure.CODES[n]).cast("int"))).alias(n) for n in names], (100.0 * F.avg(ok.cast("int"))).alias("ordered"), F.avg(F.when(ok, F.col("rmsd"))).alias("rmsd"), (100.0 * F.avg(edge.cast("int"))).alias("gb"), F.max("grain").alias("grains"))
@@ -131,16 +132,16 @@ def grains(atoms: DataFrame, c: Context, quantity: str, gbAngle: float, minimumG
     from . import structure as S
 
     names = (structure,) if structure in ("fcc", "bcc", "hcp") else ("fcc", "hcp", "bcc")
-    m, reach = matched(atoms, c, names, rmsdThreshold)
-    g, sizes, pairs = S.grain_map(atoms, m, reach, c.box, gbAngle, minimumGrainSize)
-    volume = c.box.volume if c.box else None
+    m, near = matched(atoms, c, names, rmsdThreshold)
+    g, sizes, pairs = S.grain_map(atoms, m, near, gbAngle, minimumGrainSize)
     n_atoms = g.groupBy("frame").agg(F.count("*").alias("atoms"), (100.0 * F.avg(F.col("edge").cast("int"))).alias("gb")).join(sizes.groupBy("frame").agg(F.max("grain").alias("grains")), "frame", "left").fillna(0, ["grains"])
-    per = sizes.join(n_atoms, "frame").withColumn("d", G.equivalent_diameter(F.col("n"), volume / F.col("atoms")) if volume else F.lit(None).cast("double")).groupBy("frame").agg(F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d"))
+    volume = F.nullif(F.col("cell_size_x") * F.col("cell_size_y") * F.col("cell_size_z"), F.lit(0.0))
+    per = boxes.celled(sizes.join(n_atoms, "frame"), c.box).withColumn("d", G.equivalent_diameter(F.col("n"), volume / F.col("atoms"))).groupBy("frame").agg(F.avg("n").alias("mean_n"), F.median("n").alias("median_n"), F.avg("d").alias("mean_d"), F.median("d").alias("median_d"))
     mean = pairs.groupBy("frame").agg(F.avg("deg").alias("mean_deg"), F.count("*").alias("pairs"))
     ordered = m.groupBy("frame").agg((100.0 * F.avg((F.col("class") != S.OTHER).cast("int"))).alias("ordered"))
     wide = joined(n_atoms, per, mean, ordered)
     rows = [("Grains", "grains", ""), ("GB atoms", "gb", "%"), ("Crystalline", "ordered", "%"), ("Mean size", "mean_n", "atoms"), ("Median size", "median_n", "atoms")]
-    if volume:
+    if c.box is not None:
         rows += [("Mean diameter", "mean_d", "A"), ("Median diameter", "median_d", "A")]
     rows += [("Mean misorientation", "mean_deg", "deg"), ("Boundary pairs", F.coalesce("pairs", F.lit(0)), ""), ("Method", F.lit("template matching"), "")]
     if profileAxis in "xyz":
@@ -153,7 +154,7 @@ def grains(atoms: DataFrame, c: Context, quantity: str, gbAngle: float, minimumG
         n = F.coalesce("count", F.lit(0)).cast("long")
         profile = grid.join(counts, ["frame", "bin"], "left").select("frame", "bin", (F.col("bin") * width).alias("lo"), ((F.col("bin") + 1) * width).alias("hi"), ((F.col("bin") + 0.5) * width).alias("centre"), n.cast("double").alias("value"), n.alias("count"))
     value = {"gb": F.col("edge").cast("double"), "misorientation": F.col("deg")}.get(quantity, F.col("grain"))
-    return ToolResult(summary_of(wide, rows), wide.select("frame", F.col("grains").cast("double").alias("scalar")), field_of(g, value), profile, series_label="grains")
+    return ToolResult(summary_of(wide, rows), wide.select("frame", F.col("grains").cast("double").alias("scalar")), field_of(g, value), profile, cell_notes(c.box), "grains")
 
 
 @tool("conformation", "Conformation", "structure", functions=("perAtomField", "scalar", "series"), selection="ca", quantity="rmsf", clusterCount=4, clusterRMSDCutoff=None, pcaComponents=2)
@@ -185,7 +186,7 @@ def conformation_tool(atoms: DataFrame, c: Context, selection: str, quantity: st
         rows += [("Helix", "helix", "%"), ("Sheet", "sheet", "%")]
     elif quantity == "displacement":
         r = over.where(F.col("frame") == ref).select("atom", *[F.col(x).alias("r_" + x) for x in "xyz"])
-        values = over.join(r, "atom").select("frame", "atom", G.norm(G.delta("r_", "", None)).alias("v"))
+        values = over.join(r, "atom").select("frame", "atom", G.norm(G.delta("r_", "")).alias("v"))
     return ToolResult(summary_of(wide, rows), fit.select("frame", F.col("rmsd").alias("scalar")), field_of(values, F.col("v")), notes=[note] if note else [], series_label="RMSD")
 
 
@@ -193,7 +194,8 @@ def conformation_tool(atoms: DataFrame, c: Context, selection: str, quantity: st
 def rdf(atoms: DataFrame, c: Context, speciesA: str | None, speciesB: str | None, rMax: float, bins: int, coordinationCutoff: float | None) -> ToolResult:  # noqa: N803
     """Pair distribution, its first peak and minimum, and coordination up to there."""
     bins = max(4, bins)
-    notes = [n for bad, n in ((c.box is None, "no box: the bounding box's volume is used"), (c.box is not None and rMax > min(c.box.lengths) / 2, "rMax is over half of the box")) if bad]
+    shortest = None if c.box is None else c.box.shortest()
+    notes = cell_notes(c.box, "no box: the bounding box's volume is used") + (["rMax is over half of the box"] if shortest and rMax > shortest / 2 else [])
     g = structure.pair_distribution(atoms, c.box, rMax, bins, speciesA, speciesB)
     smooth = windows.moving_average(g, "g", "bin", ["frame"])
     found = windows.first_peak(smooth, "smooth", "bin", "n", ["frame"])
@@ -228,7 +230,7 @@ def diffusion(atoms: DataFrame, c: Context, species: str | None, timestep_fs: fl
     skip = math.floor(after.count() * min(0.9, max(0.0, fitStartFraction)))
     fit = after.withColumn("k", F.row_number().over(Window.orderBy("frame"))).where(F.col("k") > skip).agg(F.count("*").alias("points"), *stats.ols("t", "msd")).first()
     d = None if fit["slope"] is None else fit["slope"] / 6
-    table = summary_of(msd, [("Species", F.lit(species or "all"), ""), ("Atoms followed", "followed", ""), ("MSD", "msd", "A^2"), ("Time since reference", F.col("t") - t0, "ps"), ("D", F.lit(d), "A^2/ps"), ("D error", F.lit(None if fit["slope_error"] is None else fit["slope_error"] / 6), "A^2/ps"), ("D in cm", F.lit(None if d is None else d * units.A2_PS_TO_CM2_S), "cm^2/s"), ("Frames fitted", F.lit(fit["points"]), ""), ("Unwrapped", F.lit("yes" if box else "no"), "")])
+    table = summary_of(msd, [("Species", F.lit(species or "all"), ""), ("Atoms followed", "followed", ""), ("MSD", "msd", "A^2"), ("Time since reference", F.col("t") - t0, "ps"), ("D", F.lit(d), "A^2/ps"), ("D error", F.lit(None if fit["slope_error"] is None else fit["slope_error"] / 6), "A^2/ps"), ("D in cm", F.lit(None if d is None else d * units.A2_PS_TO_CM2_S), "cm^2/s"), ("Frames fitted", F.lit(fit["points"]), ""), ("Unwrapped", F.lit("yes" if box is not None else "no"), "")])
     return ToolResult(table, msd.select("frame", F.col("msd").alias("scalar")), field_of(u, F.sqrt(square)), series_label="MSD")
 
 
@@ -239,7 +241,8 @@ def deformation(atoms: DataFrame, c: Context, cutoff: float, quantity: str, d2mi
     rows = atoms if key == "atom" else atoms.withColumn("atom", F.col("id").cast("int"))
     e = mechanics.deformation(rows, c.reference, cutoff, c.box)
     ref = rows.where(F.col("frame") == c.reference).select("atom", *[F.col(x).alias("r_" + x) for x in "xyz"])
-    all_ = rows.join(ref, "atom").withColumn("displacement", G.norm(G.delta("r_", "", c.box))).join(e, ["frame", "atom"]).withColumn("rearranged", (F.coalesce("d2min", F.lit(0.0)) > d2minThreshold).cast("double"))
+    moved = boxes.celled(rows.join(ref, "atom"), c.box).withColumn("displacement", G.norm([boxes.image(d, x) for d, x in zip(G.delta("r_", ""), "xyz", strict=True)]))
+    all_ = boxes.uncelled(moved).join(e, ["frame", "atom"]).withColumn("rearranged", (F.coalesce("d2min", F.lit(0.0)) > d2minThreshold).cast("double"))
     names = mechanics.stress_components(available_columns(atoms)) if stressColumns and "columns" in atoms.columns else None
     all_ = all_.join(mechanics.atom_stress(rows, names), ["frame", "atom"]) if names else all_.withColumn("stress", F.lit(None).cast("double"))
     p95 = stats.nearest_rank(all_, "shear", 0.95, ["frame"]).withColumnRenamed("shear", "p95")
@@ -248,7 +251,7 @@ def deformation(atoms: DataFrame, c: Context, cutoff: float, quantity: str, d2mi
     rows_ = [("Atoms", "n", ""), ("Valid fits", "valid", ""), ("Mean shear", "shear", ""), ("p95 shear", "p95", ""), ("Mean volumetric", "volumetric", ""), ("Mean J - 1", "dilation", ""), ("Mean D2min", "d2min", "A^2"), ("Fraction rearranged", "rearranged", ""), ("Mean displacement", "displacement", "A"), ("MSD", "msd", "A^2"), ("Mean von Mises stress", "stress", "")]
     pick = {"vonmises_stress": "stress"}.get(quantity, quantity)
     pick = pick if pick in ("shear", "volumetric", "d2min", "displacement", "rearranged", "stress") else "shear"
-    return ToolResult(summary_of(wide, rows_), wide.select("frame", F.col(pick).alias("scalar")), field_of(all_, F.col(pick)), frame_profile(all_, F.col(profileAxis), F.col(pick), bins), series_label=pick)
+    return ToolResult(summary_of(wide, rows_), wide.select("frame", F.col(pick).alias("scalar")), field_of(all_, F.col(pick)), frame_profile(all_, F.col(profileAxis), F.col(pick), bins), cell_notes(c.box), pick)
 
 
 @tool("thermo", "Thermodynamics", "mechanics", requires=("sideFile",), logPath=None, xColumn="Step", yColumns=["Temp", "PotEng", "Press"], stressStrain=True, elasticStrain=0.02, alignBy="step")
@@ -309,8 +312,8 @@ def adhesion(atoms: DataFrame, c: Context, groupA: dict | None, groupB: dict | N
     mass = units.mass(F.col("element"))
     centre = lambda g: [F.sum(F.when(F.col(g), mass * F.col(x))) / F.sum(F.when(F.col(g), mass)) for x in "xyz"]
     com = rows.groupBy("frame").agg(*[v.alias(f"a{x}") for v, x in zip(centre("in_a"), "xyz", strict=True)], *[v.alias(f"b{x}") for v, x in zip(centre("in_b"), "xyz", strict=True)])
-    gap = [G.min_image(F.col(f"b{x}") - F.col(f"a{x}"), c.box.lengths[k]) if c.box and c.box.periodic[k] else F.col(f"b{x}") - F.col(f"a{x}") for k, x in enumerate("xyz")]
-    wide = joined(wide, com.select("frame", G.norm(gap).alias("com")), far)
+    gap = [boxes.image(F.col(f"b{x}") - F.col(f"a{x}"), x) for x in "xyz"]
+    wide = joined(wide, boxes.celled(com, c.box).select("frame", G.norm(gap).alias("com")), far)
     table: list = [("Groups", F.lit(f"{a.json()} / {b.json()}"), ""), ("Contacts", "contacts", "")]
     has_h = not rows.where(F.upper(F.trim("element")).isin(*groups.HYDROGEN)).isEmpty()
     if has_h:

@@ -11,11 +11,15 @@ AXES = ("x", "y", "z")
 
 @dataclass(frozen=True)
 class Box:
-    """An orthogonal cell shared by all frames; lengths are never negative."""
+    """A cell shared by all frames; lengths are never negative. Tilts are kept, but images are those of the orthogonal cell.
+
+    Where frames have cells of their own, operators.boxes.FrameBoxes takes its place.
+    """
 
     lo: tuple[float, float, float]
     hi: tuple[float, float, float]
     periodic: tuple[bool, bool, bool] = (True, True, True)
+    tilt: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @property
     def lengths(self) -> tuple[float, float, float]:
@@ -29,3 +33,10 @@ class Box:
     def volume(self) -> float:
         a, b, c = self.lengths
         return a * b * c
+
+    @property
+    def tilted(self) -> bool:
+        return any(t != 0 for t in self.tilt)
+
+    def shortest(self) -> float | None:
+        return min((v for v in self.lengths if v > 0), default=None)
