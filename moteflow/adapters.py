@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.scan import numbered_rows
 from .schema import Box
 
 N_FRAMES = 21
@@ -36,8 +37,8 @@ sp AS (SELECT * REPLACE (CASE label % 3 WHEN 0 THEN 'Fe' WHEN 1 THEN 'O' ELSE 'A
 def thermo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: a block for each type, rows by event_id, and k from the JSON properties."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return e.select(F.col("event_type").alias("block"), (F.row_number().over(w) - 1).cast("long").alias("row"), F.col("event_id").alias("step"), F.col("value").alias("press"), F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+    rows = e.select(F.col("event_type").alias("block"), F.col("event_id").alias("step"), F.col("value").alias("press"), F.get_json_object("props", "$.k").try_cast("double").alias("k"))
+    return numbered_rows(rows, "row", ["block"], ["step"]).select("block", "row", "step", "press", "k")
 
 
 THERMO_SQL = """thermo AS (SELECT event_type AS block, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row, event_id AS step, value AS press,

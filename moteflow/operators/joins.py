@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 
 def nearest(left: DataFrame, right: DataFrame, left_at: str, right_at: str, tie: str, by: list[str] | None = None) -> DataFrame:
     """Each row of left with the row of right nearest to it, the smaller tie on equal distance. No pair of tables is crossed.
 
-    Both sides are merged into one order and each left row looks back and ahead for the next right row.
+    Both sides are merged into one order that ranges of rows share, and each left row looks back and ahead for the next right
+    row, over the border of its range too. A left row whose place is null, or whose group has no right row, gets nulls.
     """
     by = by or []
-    fields = F.struct(F.col(right_at).alias("_at"), *[F.col(c) for c in right.columns if c not in (right_at, *by)])
-    a = left.select(*by, F.col(left_at).cast("double").alias("_p"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(fields.alias("s")).schema["s"].dataType).alias("_r"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_t"))
-    b = right.select(*by, F.col(right_at).cast("double").alias("_p"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_l"), fields.alias("_r"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_t"))
-    both = a.unionByName(b)
-    group = by or [F.lit(0)]
-    # of rows at one place the smallest tie is met last on either way; a frame that only grows costs one pass
-    back = Window.partitionBy(*group).orderBy("_p", "_side", F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(F.desc("_p"), "_side", F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_b", F.last("_r", ignorenulls=True).over(back)).withColumn("_a", F.last("_r", ignorenulls=True).over(ahead)).where(F.col("_side") == 1)
+    names = [c for c in right.columns if c not in (right_at, *by)]
+    fields = F.struct(F.col(right_at).alias("_at"), *names)
+    # of the right rows at one place only the smallest tie can be met
+    place = right.where(F.col(right_at).isNotNull()).groupBy(*by, F.col(right_at).cast("double").alias("_p")).agg(F.min_by(fields, tie).alias("_r"))
+    a = left.select(*by, F.col(left_at).cast("double").alias("_p"), F.struct(*left.columns).alias("_l"))
+    both = a.withColumn("_side", F.lit(1)).unionByName(place.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    found = scanned(both, by, ["_p", "_side"], _b=("last", F.col("_r")), _a=("next", F.col("_r"))).where(F.col("_side") == 1)
+    known = F.col("_p").isNotNull()
+    found = found.withColumns({c: F.when(known, F.col(c)) for c in ("_a", "_b")})
     db, da = F.abs(F.col("_p") - F.col("_b._at")), F.abs(F.col("_a._at") - F.col("_p"))
     pick = F.when(F.col("_a").isNull() | (db < da) | ((db == da) & (F.col(f"_b.{tie}") <= F.col(f"_a.{tie}"))), F.col("_b")).otherwise(F.col("_a"))
-    return found.withColumn("_m", F.when(F.col("_b").isNull(), F.col("_a")).otherwise(pick)).select("_l.*", F.col("_m._at").alias(right_at), *[F.col(f"_m.{c}") for c in right.columns if c not in (right_at, *by)])
+    return found.withColumn("_m", F.when(F.col("_b").isNull(), F.col("_a")).otherwise(pick)).select("_l.*", F.col("_m._at").alias(right_at), *[F.col(f"_m.{c}") for c in names])
 
 
 def reference_join(atoms: DataFrame, reference: int, use_ids: bool) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import FEW, group_sizes, with_ranked
+
 
 def population_std(c: Column) -> Column:
     """Root of the mean square minus the squared mean."""
@@ -15,20 +17,30 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def nearest_rank(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
-    """by, value: the finite value at rank round(p * (n - 1)), halves away from zero. Ranks come from a sort, no group is collected."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(finite(F.col(value))).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("r") == F.round(p * (F.col("n") - 1))).select(*by, value)
+def nearest_rank(df: DataFrame, value: str, p: float, by: list[str], few: int = FEW) -> DataFrame:
+    """by, value: the finite value at rank round(p * (n - 1)), halves away from zero."""
+    rows = df.where(finite(F.col(value)))
+    found = with_ranked(rows, value, by, group_sizes(rows, by), few, v=F.round(p * (F.col("n") - 1)))
+    return found.select(*by, F.col("v").alias(value))
+
+
+def linear_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[str], few: int = FEW) -> DataFrame:
+    """by and a column for each of shares: between the finite values at the ranks around share * (n - 1), in proportion."""
+    rows = df.where(finite(F.col(value)))
+    at = {k: p * (F.col("n") - 1) for k, p in shares.items()}
+    found = with_ranked(rows, value, by, group_sizes(rows, by), few, **{f"_lo_{k}": F.floor(a) for k, a in at.items()}, **{f"_hi_{k}": F.ceil(a) for k, a in at.items()})
+    return found.select(*by, *[(F.col(f"_lo_{k}") + (a - F.floor(a)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, a in at.items()])
 
 
-def tukey_quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def tukey_quartiles(df: DataFrame, value: str, by: list[str], few: int = FEW) -> DataFrame:
     """by, n, median, q1, q3: quartiles are medians of the halves without the middle value; null quartiles for one value."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(finite(F.col(value))).withColumn("r", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    half = F.floor(F.col("n") / 2)
-    low, high = F.when(F.col("r") <= half, F.col(value)), F.when(F.col("r") > F.col("n") - half, F.col(value))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.median(value).alias("median"), F.median(low).alias("q1"), F.median(high).alias("q3"))
+    rows = df.where(finite(F.col(value)))
+    n = F.col("n")
+    half, middle = F.floor(n / 2), lambda start, m: (start + F.floor((m - 1) / 2), start + F.floor(m / 2))
+    spots = {k: middle(start, m) for k, (start, m) in {"median": (F.lit(0), n), "q1": (F.lit(0), half), "q3": (n - half, half)}.items()}
+    found = with_ranked(rows, value, by, group_sizes(rows, by), few, **{f"{k}_{side}": v for k, pair in spots.items() for side, v in zip("ab", pair, strict=True)})
+    mean = lambda k: (F.col(f"{k}_a") + F.col(f"{k}_b")) / 2
+    return found.select(*by, "n", mean("median").alias("median"), *[F.when(n > 1, mean(k)).alias(k) for k in ("q1", "q3")])
 
 
 def ols(x: str, y: str) -> list[Column]:
@@ -55,27 +67,25 @@ def jarzynski(work: str, kt: float, by: list[str], df: DataFrame, least: int = 1
 
 def bell_evans(df: DataFrame, rate: str, force: str, kt: float) -> DataFrame:
     """n_rates, distance, koff: the fit of median force on ln(rate); null below three rates or a slope that isn't positive."""
-    points = df.groupBy(rate).agg(F.median(force).alias("f")).select(F.ln(rate).alias("x"), "f")
+    points = linear_ranks(df, force, {"f": 0.5}, [rate]).select(F.ln(rate).alias("x"), "f")
     fit = points.agg(F.count("*").alias("n_rates"), *ols("x", "f"))
     ok = (F.col("n_rates") >= 3) & (F.col("slope") > 0)
     distance = kt / F.col("slope")
     return fit.select("n_rates", F.when(ok, distance).alias("distance"), F.when(ok, distance / (kt * F.exp(F.col("intercept") / F.col("slope")))).alias("koff"))
 
 
-def half_survival_time(df: DataFrame, time: str, censored: str, by: list[str]) -> DataFrame:
+def half_survival_time(df: DataFrame, time: str, censored: str, by: list[str], few: int = FEW) -> DataFrame:
     """by, tau: censored runs count at the latest time of all; the time at which the linear distribution from (0, 0) reaches one half.
 
-    Null where fewer than half of the runs ended.
+    Null where fewer than half of the runs ended, and then no row. Times are finite.
     """
     top = df.agg(F.max(time)).first()[0]
     runs = df.select(*by, F.when(F.col(censored), F.lit(top)).otherwise(F.col(time)).alias("t"), F.col(censored).alias("c"))
-    w = Window.partitionBy(*by).orderBy("t")
-    n = F.count("*").over(Window.partitionBy(*by))
-    cdf = runs.withColumn("n", n).withColumn("ended", F.sum(F.when(F.col("c"), 0).otherwise(1)).over(Window.partitionBy(*by)))
-    cdf = cdf.withColumn("y", F.row_number().over(w) / F.col("n"))
-    cdf = cdf.withColumn("t0", F.lag("t", 1, 0.0).over(w)).withColumn("y0", F.coalesce(F.lag("y").over(w), F.lit(0.0)))
-    cross = cdf.where((F.col("y") >= 0.5) & (F.col("y0") < 0.5) & (2 * F.col("ended") >= F.col("n")))
-    return cross.select(*by, (F.col("t0") + (0.5 - F.col("y0")) / (F.col("y") - F.col("y0")) * (F.col("t") - F.col("t0"))).alias("tau"))
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("c")).alias("ended")).where(2 * F.col("ended") >= F.col("n"))
+    half = F.ceil(F.col("n") / 2)  # the first share of at least one half is half / n
+    found = with_ranked(runs, "t", by, sizes, few, before=half - 2, at=half - 1)
+    t0 = F.coalesce("before", F.lit(0.0))
+    return found.select(*by, (t0 + (0.5 - (half - 1) / F.col("n")) / (half / F.col("n") - (half - 1) / F.col("n")) * (F.col("at") - t0)).alias("tau"))
 
 
 class SplitMix64:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,16 +84,22 @@ def zero_from(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame
     return df.groupBy(*by).agg(F.when(last < end, last + 1).alias("start"))
 
 
+def matched_by(by: list[str], other: DataFrame) -> tuple[DataFrame, Column]:
+    """other with its by columns renamed, and the condition that a row belongs to it; nulls match."""
+    renamed = other.withColumnsRenamed({b: "_of_" + b for b in by})
+    return renamed, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_of_" + b)) for b in by], F.lit(True))
+
+
 def elastic_prefix(df: DataFrame, strain: str, order: str, by: list[str], limit: float) -> DataFrame:
-    """Rows from the start until the travelled strain first exceeds the limit."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    over = F.max(F.when(F.abs(F.col(strain)) > limit, 1).otherwise(0)).over(w)
-    return df.withColumn("_over", over).where(F.col("_over") == 0).drop("_over")
+    """Rows from the start until the travelled strain first exceeds the limit: those before the first row that does."""
+    over, same = matched_by(by, df.where(F.abs(F.col(strain)) > limit).groupBy(*by).agg(F.min(order).alias("_over")))
+    return df.join(over, same, "left").where(F.col("_over").isNull() | (F.col(order) < F.col("_over"))).select(*df.columns)
 
 
-def engineering_strain(length: str, order: str, by: list[str]) -> Column:
-    first = F.first_value(F.col(length)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.col(length) / first - 1
+def engineering_strain(df: DataFrame, length: str, order: str, by: list[str], name: str = "strain") -> DataFrame:
+    """df with the relative change of the length since the group's first row, which an aggregation finds."""
+    first, same = matched_by(by, df.groupBy(*by).agg(F.min_by(length, order).alias("_first")))
+    return df.join(first, same, "left").select(*df.columns, (F.col(length) / F.col("_first") - 1).alias(name))
 
 
 def trapezoid(x: str, y: str, order: str, by: list[str]) -> Column:

@@ -61,7 +61,7 @@ def atom_stress(atoms: DataFrame, names: list[str]) -> DataFrame:
 
 def stress_strain(rows: DataFrame, length: str, pressure: str, order: str, by: list[str], elastic: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """The curve (by, order, strain, stress in GPa) and by, modulus and points of the fit over the elastic start."""
-    curve = rows.withColumn("strain", windows.engineering_strain(length, order, by)).withColumn("stress", -F.col(pressure) * BAR_TO_GPA)
+    curve = windows.engineering_strain(rows, length, order, by).withColumn("stress", -F.col(pressure) * BAR_TO_GPA)
     fit = windows.elastic_prefix(curve, "strain", order, by, elastic).groupBy(*by).agg(F.count("*").alias("points"), *stats.ols("strain", "stress"))
     return curve, fit.select(*by, "points", F.col("slope").alias("modulus"), "slope_error")
 

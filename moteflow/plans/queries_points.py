@@ -12,6 +12,7 @@ from ..cli import frame_filter
 from ..functions import geometry as G
 from ..functions import units
 from ..operators import binning, graph, groups, joins, neighbors, stats, windows
+from ..operators.boxes import FrameBoxes
 from ..sources.trajectories import decimated
 from .registry_queries import query
 
@@ -64,9 +65,9 @@ def group_slab(s: SparkSession, d: str) -> DataFrame:
     return atoms(s, d).where(groups.Selector("slab", axis="z", lo=0.1, hi=-0.05).column()).select("frame", "atom", r6(F.col("z"), "z"))
 
 
-@query("suggest_pair", f"WITH {ATOMS_SQL} SELECT element AS key, count(*) AS count FROM atoms WHERE frame = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2")
+@query("suggest_pair", f"WITH {ATOMS_SQL}, c AS (SELECT frame, element AS key, count(*) AS count FROM atoms GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY count DESC, key) AS r FROM c) SELECT frame, key, count FROM r WHERE r <= 2")
 def suggest_pair(s: SparkSession, d: str) -> DataFrame:
-    return groups.top_values(atoms(s, d).where("frame = 0"), F.col("element"))
+    return groups.top_values_by_frame(atoms(s, d), F.col("element"))
 
 
 @query("stride_sample", f"WITH {ATOMS_SQL} SELECT frame, atom FROM atoms WHERE atom % 5 = 0")
@@ -105,6 +106,41 @@ def neighbours_periodic(s: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbours(atoms(s, d), RC, BOX).select("frame", "i", "j", r6(F.col("d"), "d"))
 
 
+#: A box of its own for each frame: it grows, moves, and opens along z in every third frame.
+FRAME_BOX_SQL = f"""{ATOMS_SQL}, cells AS (SELECT frame, 0.8 + 0.02 * frame AS size, frame % 3 <> 0 AS closed FROM (SELECT DISTINCT frame FROM atoms)),
+fd AS (SELECT a.frame, a.atom AS i, b.atom AS j, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, size, closed FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom JOIN cells c ON c.frame = a.frame),
+fw AS (SELECT *, ux - size * round(ux / size) AS dx, uy - size * round(uy / size) AS dy, CASE WHEN closed THEN uz - size * round(uz / size) ELSE uz END AS dz FROM fd),
+frame_pairs AS (SELECT frame, i, j, sqrt(dx*dx + dy*dy + dz*dz) AS d FROM fw WHERE dx*dx + dy*dy + dz*dz <= {RC} * {RC})"""
+
+
+def frame_boxes(a: DataFrame) -> FrameBoxes:
+    size, lo = 0.8 + 0.02 * F.col("frame"), 0.01 * F.col("frame") - 0.4
+    return FrameBoxes(a.select("frame").distinct().select("frame", *[lo.alias(f"lo_{x}") for x in "xyz"], *[(lo + size).alias(f"hi_{x}") for x in "xyz"], F.lit(True).alias("per_x"), F.lit(True).alias("per_y"), (F.col("frame") % 3 != 0).alias("per_z")))
+
+
+@query("neighbours_frame_box", f"WITH {FRAME_BOX_SQL} SELECT frame, i, j, round(d, 6) + 0.0 AS d FROM frame_pairs")
+def neighbours_frame_box(s: SparkSession, d: str) -> DataFrame:
+    a = atoms(s, d)
+    return neighbors.neighbours(a, RC, frame_boxes(a)).select("frame", "i", "j", r6(F.col("d"), "d"))
+
+
+@query("coordination_frame_box", f"WITH {FRAME_BOX_SQL}, n AS (SELECT a.frame, a.atom, count(p.j) AS n FROM atoms a LEFT JOIN frame_pairs p ON a.frame = p.frame AND a.atom = p.i GROUP BY 1, 2) SELECT frame, round(avg(n), 6) AS mean_coordination, max(n) AS most FROM n GROUP BY frame")
+def coordination_frame_box(s: SparkSession, d: str) -> DataFrame:
+    from .structure import coordination_numbers
+
+    a = atoms(s, d)
+    return coordination_numbers(a, a, RC, frame_boxes(a)).groupBy("frame").agg(F.round(F.avg("n"), 6).alias("mean_coordination"), F.max("n").alias("most"))
+
+
+@query("k_nearest_frame_box", f"""WITH {ATOMS_SQL}, cells AS (SELECT frame, 0.8 + 0.02 * frame AS size, frame % 3 <> 0 AS closed FROM (SELECT DISTINCT frame FROM atoms)),
+fd AS (SELECT a.frame, a.atom AS i, b.atom AS j, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, size, closed FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom JOIN cells c ON c.frame = a.frame),
+fw AS (SELECT frame, i, j, ux - size * round(ux / size) AS dx, uy - size * round(uy / size) AS dy, CASE WHEN closed THEN uz - size * round(uz / size) ELSE uz END AS dz FROM fd),
+fr AS (SELECT frame, i, j, sqrt(dx*dx + dy*dy + dz*dz) AS d, row_number() OVER (PARTITION BY frame, i ORDER BY dx*dx + dy*dy + dz*dz, j) AS rn FROM fw) SELECT frame, i, j, CAST(rn AS INTEGER) AS rn, round(d, 6) + 0.0 AS d FROM fr WHERE rn <= 8""")
+def k_nearest_frame_box(s: SparkSession, d: str) -> DataFrame:
+    a = atoms(s, d)
+    return neighbors.k_nearest(a, 8, frame_boxes(a)).select("frame", "i", "j", "rn", r6(F.col("d"), "d"))
+
+
 OPEN_SQL = f"""{ATOMS_SQL}, open_pairs AS (SELECT a.frame, a.atom AS i, b.atom AS j, sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) AS d, a.element AS ei, b.element AS ej, a.label AS li, b.label AS lj
   FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom <> b.atom WHERE (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= {RC} * {RC})"""
 
@@ -288,7 +324,7 @@ def nearest_rank_pct(s: SparkSession, d: str) -> DataFrame:
 
 @query("linear_pct", f"WITH {SLAB_SQL} SELECT element, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM slab GROUP BY element")
 def linear_pct(s: SparkSession, d: str) -> DataFrame:
-    return slab(s, d).groupBy("element").agg(F.round(F.percentile("x", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("x", F.lit(0.975)), 6).alias("hi"))
+    return stats.linear_ranks(slab(s, d), "x", {"lo": 0.025, "hi": 0.975}, ["element"]).select("element", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query("class_fractions", f"WITH {ATOMS_SQL} SELECT frame, element, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY frame), 6) AS percent FROM atoms GROUP BY frame, element")

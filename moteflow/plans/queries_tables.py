@@ -9,6 +9,8 @@ from ..adapters import ATOMS_SQL, FORCE_SQL, REPLICAS_SQL, THERMO_SQL, atoms, fo
 from ..functions import text as T
 from ..functions import units
 from ..operators import joins, stats, windows
+from ..operators.ranks import with_ranked
+from ..operators.scan import numbered_rows
 from ..sources import tables
 from .registry_queries import query
 
@@ -26,11 +28,7 @@ def thermo_common_columns(s: SparkSession, d: str) -> DataFrame:
 
 @query("thermo_concat", f"WITH {THERMO_SQL} SELECT block, row, step, row_number() OVER (ORDER BY block, row) - 1 AS global_row FROM thermo")
 def thermo_concat(s: SparkSession, d: str) -> DataFrame:
-    rows = thermo(s, d)
-    # only the blocks' sizes meet in one place, not their rows
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
-    starts = sizes.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    return rows.join(F.broadcast(starts), "block").select("block", "row", "step", (F.col("start") + F.col("row")).alias("global_row"))
+    return numbered_rows(thermo(s, d), "global_row", [], ["block", "row"]).select("block", "row", "step", "global_row")
 
 
 @query("json_props_extract", f"WITH {THERMO_SQL} SELECT block, count(k) AS n, round(avg(k), 6) + 0.0 AS mean_k, round(max(k), 6) + 0.0 AS max_k FROM thermo GROUP BY block")
@@ -85,7 +83,7 @@ KT = units.KB_PN_NM_K * 300
 @query("bell_evans", f"""WITH {FORCE_SQL}, m AS (SELECT seed % 5 + 1 AS rate, median(100 + force) + 3 * (seed % 5 + 1) AS f0 FROM force GROUP BY seed), p AS (SELECT ln(rate) AS x, median(f0) AS f FROM m GROUP BY rate), q AS (SELECT count(*) AS n_rates, regr_slope(f, x) AS b, regr_intercept(f, x) AS a FROM p)
 SELECT n_rates, round(CASE WHEN b > 0 THEN {KT} / b END, 6) AS distance FROM q""")
 def bell_evans(s: SparkSession, d: str) -> DataFrame:
-    per = force_rows(s, d).groupBy("seed").agg(F.median(100 + F.col("force")).alias("m")).withColumn("rate", F.col("seed") % 5 + 1).withColumn("f0", F.col("m") + 3 * F.col("rate"))
+    per = stats.linear_ranks(force_rows(s, d).withColumn("f", 100 + F.col("force")), "f", {"m": 0.5}, ["seed"]).withColumn("rate", F.col("seed") % 5 + 1).withColumn("f0", F.col("m") + 3 * F.col("rate"))
     return stats.bell_evans(per, "rate", "f0", KT).select("n_rates", F.round("distance", 6).alias("distance"))
 
 
@@ -119,13 +117,13 @@ def ols_slope(s: SparkSession, d: str) -> DataFrame:
 @query("strain_curve", f"WITH {THERMO_SQL} SELECT block, row, round((10000.0 + step) / first_value(10000.0 + step) OVER (PARTITION BY block ORDER BY row) - 1, 9) + 0.0 AS strain, round(-press * 1e-4, 9) + 0.0 AS stress FROM thermo")
 def strain_curve(s: SparkSession, d: str) -> DataFrame:
     rows = thermo(s, d).withColumn("lx", 10000.0 + F.col("step"))
-    return rows.select("block", "row", (F.round(windows.engineering_strain("lx", "row", ["block"]), 9) + 0.0).alias("strain"), (F.round(-F.col("press") * units.BAR_TO_GPA, 9) + 0.0).alias("stress"))
+    return windows.engineering_strain(rows, "lx", "row", ["block"]).select("block", "row", (F.round("strain", 9) + 0.0).alias("strain"), (F.round(-F.col("press") * units.BAR_TO_GPA, 9) + 0.0).alias("stress"))
 
 
 @query("elastic_prefix", f"WITH {THERMO_SQL}, c AS (SELECT block, row, (10000.0 + step) / first_value(10000.0 + step) OVER (PARTITION BY block ORDER BY row) - 1 AS strain FROM thermo), v AS (SELECT *, max(CASE WHEN abs(strain) > 0.02 THEN 1 ELSE 0 END) OVER (PARTITION BY block ORDER BY row) AS over FROM c) SELECT block, count(*) AS points FROM v WHERE over = 0 GROUP BY block")
 def elastic_prefix(s: SparkSession, d: str) -> DataFrame:
     rows = thermo(s, d).withColumn("lx", 10000.0 + F.col("step"))
-    rows = rows.withColumn("strain", windows.engineering_strain("lx", "row", ["block"]))
+    rows = windows.engineering_strain(rows, "lx", "row", ["block"])
     return windows.elastic_prefix(rows, "strain", "row", ["block"], 0.02).groupBy("block").agg(F.count("*").alias("points"))
 
 
@@ -143,7 +141,10 @@ def cells(s: SparkSession, d: str) -> DataFrame:
     """lineitem by brand and region as a campaign's cells; thin ones were not delivered."""
     t = {n: s.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "part", "supplier", "nation", "region")}
     rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("p_brand").alias("ligand"), F.col("r_name").alias("receptor")).agg(F.median("l_extendedprice").alias("value"), F.count("*").alias("n")).where("n >= 100")
+    rows = rows.select(F.col("p_brand").alias("ligand"), F.col("r_name").alias("receptor"), F.col("l_extendedprice").cast("double").alias("v"))
+    sizes = rows.groupBy("ligand", "receptor").agg(F.count("*").alias("n")).where("n >= 100")
+    middle = with_ranked(rows, "v", ["ligand", "receptor"], sizes, a=F.floor((F.col("n") - 1) / 2), b=F.floor(F.col("n") / 2))
+    return middle.select("ligand", "receptor", ((F.col("a") + F.col("b")) / 2).alias("value"), "n")
 
 
 @query("ligand_receptor_grid", f"WITH {CELLS_SQL}, g AS (SELECT DISTINCT p_brand AS ligand, r_name AS receptor FROM part, region) SELECT g.ligand, g.receptor, round(c.value, 4) AS value FROM g LEFT JOIN cells c USING (ligand, receptor)")

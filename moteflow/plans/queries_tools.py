@@ -90,7 +90,7 @@ def tool_kinetics(s: SparkSession, d: str) -> DataFrame:
     """orders as replica times, through a file of comma-separated values."""
     path = shared_folder(s, "times")
     replicas(s, d).select("seed", "replica", F.col("t").alias("t_diss_ps"), F.col("censored").cast("int").alias("censored")).write.csv(path, header=True)
-    return told(run_tool("kinetics_tramd", None, Context(side_file=path), {"resamples": 200, "frameTime_ps": 5000.0}))
+    return told(run_tool("kinetics_tramd", None, Context(side_file=path), {"frameTime_ps": 5000.0}))
 
 
 @query("tool_pulloff")
@@ -134,12 +134,13 @@ def tool_campaign(s: SparkSession, d: str) -> DataFrame:
 
 @query("tool_thermo", None)
 def tool_thermo(s: SparkSession, d: str) -> DataFrame:
-    """purchase events as a run's log: a header, a line an event, and the closing line."""
-    e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
-    lines = e.select(F.col("event_id").alias("o"), F.concat_ws(" ", "event_id", F.coalesce("value", F.lit(0.0))).alias("value"))
-    ends = s.createDataFrame([(-1, "Step Temp"), (2**62, "Loop time of 1.5 on 1 procs")], "o long, value string")
+    """All events as a log with a block for each type: a header, a line an event, and the closing line, in part files by ranges."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    lines = e.select(F.col("event_type").alias("run"), F.col("event_id").alias("o"), F.concat_ws(" ", F.col("event_id").cast("string"), F.coalesce("value", F.lit(0.0)).cast("string")).alias("value"))
+    runs = e.select(F.col("event_type").alias("run")).distinct()
+    ends = runs.select("run", F.lit(-1).cast("long").alias("o"), F.lit("Step Temp").alias("value")).unionByName(runs.select("run", F.lit(2**62).alias("o"), F.lit("Loop time of 1.5 on 1 procs").alias("value")))
     path = shared_folder(s, "log")
-    lines.unionByName(ends).repartition(1).sortWithinPartitions("o").select("value").write.text(path)  # a log is one file
+    lines.unionByName(ends).repartitionByRange("run", "o").sortWithinPartitions("run", "o").select("value").write.text(path)
     return told(run_tool("thermo", None, Context(side_file=path), {"yColumns": ["Temp"], "stressStrain": False}))
 
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import FEW, group_sizes, with_ranked
 
-def surface(atoms: DataFrame, substrate: str) -> DataFrame:
-    """frame, surface (mean height of the topmost twentieth of the substrate, one atom at least), top (its largest height)."""
-    w = Window.partitionBy("frame")
-    rows = atoms.where(F.col("element") == substrate)
-    ranked = rows.select("frame", "z", F.row_number().over(w.orderBy(F.desc("z"))).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy("frame").agg(F.avg(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 20)), F.col("z"))).alias("surface"), F.max("z").alias("top"))
+
+def surface(atoms: DataFrame, substrate: str, few: int = FEW) -> DataFrame:
+    """frame, surface (mean height of the topmost twentieth of the substrate, one atom at least), top (its largest height).
+
+    The height at the twentieth's rank is found first; all above it count, and of those at it as many as are missing.
+    """
+    rows = atoms.where((F.col("element") == substrate) & F.col("z").isNotNull()).select("frame", F.col("z").cast("double").alias("z"))
+    sizes = group_sizes(rows, ["frame"]).withColumn("m", F.greatest(F.lit(1), F.floor(F.col("n") / 20)))
+    edge = with_ranked(rows, "z", ["frame"], sizes, few, edge=F.col("n") - F.col("m"))
+    above = F.col("z") > F.col("edge")
+    per = rows.join(edge, "frame").groupBy("frame").agg(F.first("m").alias("m"), F.first("edge").alias("edge"), F.count_if(above).alias("k"), F.coalesce(F.sum(F.when(above, F.col("z"))), F.lit(0.0)).alias("s"), F.max("z").alias("top"))
+    return per.select("frame", ((F.col("s") + (F.col("m") - F.col("k")) * F.col("edge")) / F.col("m")).alias("surface"), "top")
 
 
 def relative_heights(atoms: DataFrame, substrate: str, probe: str) -> DataFrame:

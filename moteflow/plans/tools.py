@@ -13,6 +13,7 @@ from ..functions.text import residue_key
 from ..operators import boxes, groups, interactions, neighbors, stats, windows
 from ..operators.graph import written
 from ..operators.joins import ids_usable, nearest, residue_slots
+from ..operators.scan import numbered_rows, scanned
 from ..sources import tables
 from . import binding, conformation, mechanics, structure, surfaces
 from .result import Context, MissingRequirement, NotApplicable, ToolResult, frame_profile, joined, summary_of, tool
@@ -449,15 +450,44 @@ def kinetics_tramd(atoms: DataFrame | None, c: Context, csvPath: str | None, tem
     n, cut = runs.agg(F.count("*"), F.count_if("censored")).first()
     lo, hi = bootstrap_interval(runs, resamples)
     mean = sum(taus.values()) / len(taus) if taus else None
-    times = frameTime_ps
-    top = runs.agg(F.max("t")).first()[0] or 0.0
-    grid = [times * k for k in range(101)] if times else [top * k / 100 for k in range(101)]
-    points = spark.createDataFrame(list(enumerate(grid)), "frame int, at double")
-    wide = runs.join(F.broadcast(points)).groupBy("frame", "at").agg(F.avg((F.col("censored") | (F.col("t") > F.col("at"))).cast("int")).alias("bound"))
+    survival = tables.locate(path, ["tramd_survival.csv"])
+    wide = bound_at_frames(runs, tables.read_survival(spark, survival) if survival else None, frame_numbers(c, atoms), frameTime_ps)
     table = [("τ", F.lit(mean), "ps"), ("τ low", F.lit(lo), "ps"), ("τ high", F.lit(hi), "ps"), ("k_off", F.lit(None if not mean else 1 / mean), "1/ps"), *[(f"τ seed {s}", F.lit(t), "ps") for s, t in sorted(taus.items())], ("Replicas", F.lit(n), ""), ("Censored", F.lit(cut), ""), ("Method", F.lit("half of the linear distribution"), ""), ("Bound", "bound", "")]
     return ToolResult(summary_of(wide, table), wide.select("frame", F.col("bound").alias("scalar")), series_label="bound")
 
 
+def frame_numbers(c: Context, atoms: DataFrame | None) -> DataFrame | None:
+    """The frames of a trajectory, if there is one."""
+    return c.frames.select("frame") if c.frames is not None else atoms.select("frame").distinct() if atoms is not None else None
+
+
+def bound_at_frames(runs: DataFrame, survival: DataFrame | None, frames: DataFrame | None, interval: float | None) -> DataFrame:
+    """frame, at, bound: the share of all runs that are censored or end after the frame's time, for every frame.
+
+    A frame's time is a multiple of the interval; without one, frames walk an axis, the survival file's times if it has two at
+    least, else 0 and the times of the runs, and stay at its end. Without a trajectory there is a frame for each place of the
+    axis, or up to the last run's end. Runs and frames are merged into one order in time, no run is paired with a frame.
+    """
+    spark = runs.sparkSession
+    if interval and interval > 0:
+        if frames is None:
+            top = runs.agg(F.max("t")).first()[0]
+            frames = spark.range(0 if top is None else int(max(0.0, top) / interval) + 1).select(F.col("id").cast("int").alias("frame"))
+        at = frames.select("frame", (F.col("frame") * interval).alias("at"))
+    else:
+        own = runs.select("t").union(spark.createDataFrame([(0.0,)], "t double")).distinct()
+        axis = survival.select("t").distinct() if survival is not None else own
+        axis = own if survival is not None and axis.limit(2).count() < 2 else axis
+        axis = written(numbered_rows(axis.withColumnRenamed("t", "at"), "place", [], ["at"]), "time-axis")
+        last = axis.agg(F.max("place")).first()[0]
+        at = axis.select(F.col("place").cast("int").alias("frame"), "at") if frames is None else frames.withColumn("place", F.greatest(F.lit(0), F.least(F.col("frame"), F.lit(last))).cast("long")).join(axis, "place").select("frame", "at")
+    n = runs.count()
+    ended = runs.where(~F.col("censored")).groupBy(F.col("t").alias("at")).agg(F.count("*").alias("gone")).withColumn("side", F.lit(0))
+    both = at.withColumn("side", F.lit(1)).unionByName(ended, allowMissingColumns=True)
+    seen = scanned(both, [], ["at", "side"], gone_by=("sum", F.coalesce("gone", F.lit(0)))).where("side = 1")
+    return seen.select("frame", "at", (1 - F.col("gone_by") / n).alias("bound"))
+
+
 def half_time(times: list[tuple[float, bool]], top: float) -> float | None:
     """The half time of one seed's few replicas."""
     if 2 * sum(not cut for _, cut in times) < len(times):

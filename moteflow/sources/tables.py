@@ -10,30 +10,32 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strict_double, unix_lines
+from ..functions.text import strict_double
 from ..functions.units import PN_PER_KJ_MOL_NM
+from ..operators.scan import numbered_rows, scanned
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Long thermo table: file, block, row, global_row, ord, col, val, loop_time.
 
     A header is a line whose first word is Step; rows after it have as many words, all numbers; Loop time closes the block;
-    warnings, errors, blanks and prose are skipped; a block without an end is kept.
+    warnings, errors, blanks and prose are skipped; a block without an end is kept. A long file is read in splits: what a split
+    needs of those before it, the open block and its names, is handed on. A folder is one log in parts, in the order of their
+    names; of a pattern with * each file is a log.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(unix_lines(F.col("value"))).alias("line", "text"))
+    log = F.col("_metadata.file_path") if "*" in path else F.lit(path)
+    lines = spark.read.text(path).select(log.alias("file"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
     words = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "")
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = text.withColumn("words", words).withColumn("head", F.get("words", F.lit(0)) == "Step").withColumn("end", F.trim("text").startswith("Loop time of"))
-    rows = rows.withColumn("block", F.sum(F.col("head").cast("int")).over(w) - 1).where("block >= 0")
-    in_block = Window.partitionBy("file", "block").orderBy("line")
-    rows = rows.withColumn("names", F.first(F.when(F.col("head"), F.col("words")), ignorenulls=True).over(in_block))
-    before = F.coalesce(F.sum(F.col("end").cast("int")).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("closed", before > 0)
-    rows = rows.withColumn("loop_time", F.max(F.when(F.col("end"), strict_double(F.get("words", F.lit(3))))).over(Window.partitionBy("file", "block")))
-    numbers = F.transform("words", lambda t: strict_double(t))
-    data = rows.where(~F.col("head") & ~F.col("closed") & (F.size("words") == F.size("names"))).withColumn("vals", numbers)
+    rows = lines.select("file", "part", "at", "line", words.alias("words"), (F.get(words, F.lit(0)) == "Step").alias("head"), F.trim("text").startswith("Loop time of").alias("end")).where(F.size("words") > 0)
+    order = ["part", "at", "line"]  # within a file: by where a split begins, then as it is read
+    mark = F.when(F.col("head"), F.struct(F.lit(True).alias("open"), F.col("words").alias("names"))).when(F.col("end"), F.struct(F.lit(False).alias("open"), F.lit(None).cast("array<string>").alias("names")))
+    rows = scanned(rows, ["file"], order, block=("count", F.when(F.col("head"), 1)), mark=("last", mark)).where("block > 0").withColumn("block", F.col("block") - 1)
+    loops = rows.where("end").groupBy("file", "block").agg(F.max(strict_double(F.get("words", F.lit(3)))).alias("loop_time"))
+    data = rows.where("NOT head AND mark.open").where(F.size("words") == F.size("mark.names")).withColumn("vals", F.transform("words", lambda t: strict_double(t)))
     data = data.where(F.forall("vals", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    data = data.withColumn("row", F.row_number().over(in_block) - 1).withColumn("global_row", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    data = numbered_rows(data.select("file", *order, "block", F.col("mark.names").alias("names"), "vals"), "global_row", ["file"], order)
+    starts = data.groupBy("file", "block").agg(F.min("global_row").alias("start"))
+    data = data.join(starts, ["file", "block"]).join(loops, ["file", "block"], "left").withColumn("row", F.col("global_row") - F.col("start"))
     return data.select("file", "block", "row", "global_row", F.posexplode(F.arrays_zip("names", "vals")).alias("ord", "c"), "loop_time").select("file", "block", "row", "global_row", "ord", F.col("c.names").alias("col"), F.col("c.vals").alias("val"), "loop_time")
 
 
