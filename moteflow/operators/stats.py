@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .ranks import FEW, group_sizes, with_ranked
 
 
@@ -17,16 +18,21 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def settled(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by and the finite values, stored: ranks read them several times, and what makes them may be dear."""
+    return written(df.select(*by, F.col(value).cast("double").alias(value)), "values").where(finite(F.col(value)))
+
+
 def nearest_rank(df: DataFrame, value: str, p: float, by: list[str], few: int = FEW) -> DataFrame:
     """by, value: the finite value at rank round(p * (n - 1)), halves away from zero."""
-    rows = df.where(finite(F.col(value)))
+    rows = settled(df, value, by)
     found = with_ranked(rows, value, by, group_sizes(rows, by), few, v=F.round(p * (F.col("n") - 1)))
     return found.select(*by, F.col("v").alias(value))
 
 
 def linear_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[str], few: int = FEW) -> DataFrame:
     """by and a column for each of shares: between the finite values at the ranks around share * (n - 1), in proportion."""
-    rows = df.where(finite(F.col(value)))
+    rows = settled(df, value, by)
     at = {k: p * (F.col("n") - 1) for k, p in shares.items()}
     found = with_ranked(rows, value, by, group_sizes(rows, by), few, **{f"_lo_{k}": F.floor(a) for k, a in at.items()}, **{f"_hi_{k}": F.ceil(a) for k, a in at.items()})
     return found.select(*by, *[(F.col(f"_lo_{k}") + (a - F.floor(a)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, a in at.items()])
@@ -34,7 +40,7 @@ def linear_ranks(df: DataFrame, value: str, shares: dict[str, float], by: list[s
 
 def tukey_quartiles(df: DataFrame, value: str, by: list[str], few: int = FEW) -> DataFrame:
     """by, n, median, q1, q3: quartiles are medians of the halves without the middle value; null quartiles for one value."""
-    rows = df.where(finite(F.col(value)))
+    rows = settled(df, value, by)
     n = F.col("n")
     half, middle = F.floor(n / 2), lambda start, m: (start + F.floor((m - 1) / 2), start + F.floor(m / 2))
     spots = {k: middle(start, m) for k, (start, m) in {"median": (F.lit(0), n), "q1": (F.lit(0), half), "q3": (n - half, half)}.items()}
@@ -79,6 +85,7 @@ def half_survival_time(df: DataFrame, time: str, censored: str, by: list[str], f
 
     Null where fewer than half of the runs ended, and then no row. Times are finite.
     """
+    df = written(df.select(*by, time, censored), "runs")
     top = df.agg(F.max(time)).first()[0]
     runs = df.select(*by, F.when(F.col(censored), F.lit(top)).otherwise(F.col(time)).alias("t"), F.col(censored).alias("c"))
     sizes = runs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("c")).alias("ended")).where(2 * F.col("ended") >= F.col("n"))

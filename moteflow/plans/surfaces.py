@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import FEW, group_sizes, with_ranked
+from ..operators.stats import settled
 
 
 def surface(atoms: DataFrame, substrate: str, few: int = FEW) -> DataFrame:
@@ -13,7 +14,7 @@ def surface(atoms: DataFrame, substrate: str, few: int = FEW) -> DataFrame:
 
     The height at the twentieth's rank is found first; all above it count, and of those at it as many as are missing.
     """
-    rows = atoms.where((F.col("element") == substrate) & F.col("z").isNotNull()).select("frame", F.col("z").cast("double").alias("z"))
+    rows = settled(atoms.where(F.col("element") == substrate), "z", ["frame"])
     sizes = group_sizes(rows, ["frame"]).withColumn("m", F.greatest(F.lit(1), F.floor(F.col("n") / 20)))
     edge = with_ranked(rows, "z", ["frame"], sizes, few, edge=F.col("n") - F.col("m"))
     above = F.col("z") > F.col("edge")
