@@ -1,14 +1,15 @@
-"""Repeated-run removal over line hashes; DataFrame functions only.
+"""Repeated-run removal by winnowing over line hashes; DataFrame functions only.
 
 A document is a sequence of lines; a long line is read sentence by sentence, so that a passage is found inside a line too. A
-stretch is the shortest sequence of lines that has enough words, from each line on and back from each line. The hashes of its
-lines make one fingerprint. Every run of enough words is a union of stretches, so a line is in a run that an earlier place has
-too exactly if one of its stretches is: fingerprints are joined to the first position of all that have them, the union of the
-matches is the run extended both ways, and no two texts are compared.
-
-Winnowing selects some of the fingerprints, window by window; here each window is a single fingerprint and all are kept. With
-fewer, a match has to be extended against one partner's text, and a run whose selected fingerprints stood alone in earlier
-documents, each in another one, meets no partner that has the run.
+window is the shortest sequence of lines that has enough words, from each line on and back from each line; it selects its least
+line hash as a fingerprint. The guarantee: a run of enough words holds a whole window, so copies of the run select the same
+fingerprint, at the same place in it.
+
+Positions of fingerprints are joined; one that stands in one place only rules out its windows. The others are extended both
+ways, to the windows that selected them, whose lines are compared by one hash with the first place that has them all. Every
+window is compared so, not only with the partner of the fingerprint's first position: with that, a run whose fingerprints had
+stood alone in earlier documents, each in another one, would meet no partner that has the run. The union of the windows found
+is the run at its full length, and no two texts are compared.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .common import stored
 MIN_WORDS = 20
 ENDS = ("\n", ". ", "! ", "? ")  # of lines and sentences
 CUT = "\x01"
+BLOCK = 512
 
 
 def lines(text: Column) -> Column:
@@ -35,44 +37,61 @@ def lines(text: Column) -> Column:
 SPACE = " \n\r\t"
 
 
-def line_hashes(parts: Column) -> Column:
-    return F.transform(parts, lambda u: F.xxhash64(F.btrim(u, F.lit(SPACE))))
+def trimmed(parts: Column) -> Column:
+    return F.transform(parts, lambda u: F.btrim(u, F.lit(SPACE)))
 
 
-def line_words(parts: Column) -> Column:
-    """Words of each line, as blanks separate them; a line of white space alone has none."""
+def word_counts(lines_: Column) -> Column:
+    """Words of each trimmed line, as blanks separate them; a line of white space alone has none."""
+    return F.transform(lines_, lambda u: F.when(u == "", 0).otherwise(F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1))
 
-    def words(u: Column) -> Column:
-        return F.when(u == "", 0).otherwise(F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
 
-    return F.transform(F.transform(parts, lambda u: F.btrim(u, F.lit(SPACE))), words)
+def word_ends(words: Column) -> Column:
+    """The words up to the end of each line; sums grow block by block, so that long texts cost in proportion to their lines."""
+    grown = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda s, w: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + w))
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(BLOCK)), lambda b: grown(F.slice(words, b, BLOCK)))
+    starts = lambda blocks: F.concat(F.array(F.lit(0)), grown(grown_ends(blocks)))
+    grown_ends = lambda blocks: F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0)))
+    many = bound(inner, lambda blocks: bound(starts(blocks), lambda s: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda v: v + F.get(s, i))))))
+    return F.when(F.size(words) <= BLOCK, grown(words)).otherwise(many)
 
 
-def stretches(docs: DataFrame, min_words: int) -> DataFrame:
-    """key, d, id, place (first line << 32, last line) of every stretch of docs; one that is shortest both ways is there once."""
-    rows = docs.select("d", "id", lines(F.col("text")).alias("parts")).select("d", "id", line_hashes(F.col("parts")).alias("h"), line_words(F.col("parts")).alias("w"))
+def windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """key, d, id, place, mark, line of every window of docs.
+
+    A window is the shortest sequence of lines with enough words from a line on, or back from a line; place is its first line
+    << 32 and its last line, key the hash of its lines. mark, its fingerprint, is the least hash of its lines, and line is where
+    that stands: the first of equals.
+    """
+    rows = docs.select("d", "id", trimmed(lines(F.col("text"))).alias("t")).select("d", "id", F.transform("t", lambda u: F.xxhash64(u)).alias("h"), word_counts(F.col("t")).alias("w"))
     # the line of each word, and the words before each line's end
-    line_of = F.flatten(F.transform("w", lambda w, i: F.array_repeat(i, w)))
-    ends = F.aggregate("w", F.array().cast("array<int>"), lambda s, w: F.array_append(s, F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)) + w))
-    rows = rows.withColumns({"line_of": line_of, "ends": ends})
+    rows = rows.withColumns({"line_of": F.flatten(F.transform("w", lambda w, i: F.array_repeat(i, w))), "ends": word_ends(F.col("w"))})
     last = lambda i: F.get("line_of", F.get("ends", i) - F.get("w", i) + (min_words - 1))
-    stretch = lambda a, b: F.struct(F.xxhash64(F.slice("h", a + 1, b - a + 1)).alias("key"), F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")).alias("place"))
+
+    def window(a: Column, b: Column) -> Column:
+        inside = F.slice("h", a + 1, b - a + 1)
+        return bound(inside, lambda v: bound(F.array_min(v), lambda m: F.struct(F.xxhash64(v).alias("key"), F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")).alias("place"), m.alias("mark"), (a + F.array_position(v, m) - 1).cast("int").alias("line"))))
 
     def both_ways(i: Column) -> Column:
-        on = bound(last(i), lambda b: F.when(b.isNotNull(), stretch(i, b)))
-        back = bound(F.get("line_of", F.get("ends", i) - min_words), lambda a: F.when(a.isNotNull() & ~last(a).eqNullSafe(i), stretch(a, i)))
+        on = bound(last(i), lambda b: F.when(b.isNotNull(), window(i, b)))
+        back = bound(F.get("line_of", F.get("ends", i) - min_words), lambda a: F.when(a.isNotNull() & ~last(a).eqNullSafe(i), window(a, i)))
         return F.array(on, back)
 
     found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), both_ways)), lambda f: f.isNotNull())
-    return rows.select("d", "id", F.explode(found).alias("f")).select("f.key", "d", "id", "f.place")
+    return rows.select("d", "id", F.explode(found).alias("f")).select("f.key", "d", "id", "f.place", "f.mark", "f.line")
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """d, id and place of every stretch that isn't the first of its key in the order of d, id and place."""
+    """d, id and place of every window whose lines an earlier window has too, in the order of d, id and place.
+
+    Fingerprints that stand in one place rule out their windows. Those that stand in several extend both ways to the windows
+    that selected them; a window is a repeat if it isn't the first of those with its lines.
+    """
+    stand = F.struct("d", "id", "line")
+    shared = stored(found.groupBy("mark").agg(F.min(stand).alias("a"), F.max(stand).alias("b")).where("a < b").select("mark"), "line-marks")  # read back, so that a hot mark's join can be split
+    again = stored(found.join(shared, "mark", "left_semi").select("key", "d", "id", "place"), "line-windows-again")
     place = F.struct("d", "id", "place")
-    shared = stored(found.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("key"), "line-keys")  # read back, so that a hot key's join can be split
-    again = stored(found.join(shared, "key", "left_semi"), "line-repeats")
-    firsts = stored(again.groupBy("key").agg(F.min(place).alias("first")), "line-firsts")
+    firsts = stored(again.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"), "line-firsts")
     return again.join(firsts, "key").where(place != F.col("first")).select("d", "id", "place")
 
 
@@ -94,7 +113,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     body = F.col(f"`{text}`")
     row_id, order = F.xxhash64(F.col(f"`{key}`"), body), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1))
     plain = docs.where(body.isNotNull()).select(order.alias("d"), row_id.alias("id"), body.alias("text"))
-    again = repeats(stored(stretches(plain, min_words), "line-stretches"))
+    again = repeats(stored(windows(plain, min_words), "line-windows"))
     sides = again.groupBy(F.struct("d", "id").alias(rid)).agg(F.collect_set("place").alias(found))  # places of one text, as many as its lines
     parts = name("line_parts")
     joined = docs.withColumn(rid, F.when(body.isNotNull(), F.struct(order.alias("d"), row_id.alias("id")))).join(sides, rid, "left")

@@ -195,6 +195,34 @@ def test_line_dedup_finds_a_run_whose_lines_stood_alone_before(spark):
     assert got == want and sum(y in t and z in t for t in got.values()) == 1
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    block = [f"line {i} of a block that comes twice." for i in range(5)]
+    long = [f"number {i}" for i in range(100_000)] + block + [f"other {i}" for i in range(100_000)] + block + ["end"]
+    got = linededup.dedup_lines(table(spark, [(1, "\n".join(block)), (2, "\n".join(long)), (3, "one. two. three.")]), removed="n").collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["n"] == 10 and by[2]["text"] == "\n".join(x for x in long if "block" not in x) and by[1]["n"] == by[3]["n"] == 0
+    counts = [[], [3], list(range(511)), list(range(512)), list(range(513)), [1] * 1537]
+    ends = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i int, w array<int>").select("i", linededup.word_ends(F.col("w")).alias("e"))
+    assert {r["i"]: list(itertools.accumulate(counts[r["i"]])) == r["e"] for r in ends.collect()} == dict.fromkeys(range(len(counts)), True)
+
+
+def test_line_dedup_windows_select_the_least_hash(spark):
+    rng = random.Random(62)
+    text = "\n".join(words(rng, rng.randrange(0, 9)) for _ in range(60))
+    found = linededup.windows(spark.createDataFrame([(1, 2, text)], "d long, id long, text string"), 20).collect()
+    h = spark.createDataFrame([(k, x) for k, x in enumerate(text.split("\n"))], "k int, x string").select("k", F.xxhash64("x").alias("h")).collect()
+    h = {r["k"]: r["h"] for r in h}
+    for r in found:
+        a, b = r["place"] >> 32, r["place"] & 0xFFFFFFFF
+        assert r["mark"] == min(h[k] for k in range(a, b + 1)) == h[r["line"]] and a <= r["line"] <= b
+    # the guarantee: every run of 20 words holds a window
+    n = [len(x.split()) for x in text.split("\n")]
+    spans = {(r["place"] >> 32, r["place"] & 0xFFFFFFFF) for r in found}
+    for a in range(60):
+        b = next((b for b in range(a, 60) if sum(n[a : b + 1]) >= 20), None)
+        assert b is None or any(a <= x and y <= b for x, y in spans)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = linededup.dedup_lines(table(spark, [(1, "a.\nb.")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
