@@ -25,7 +25,7 @@ CLASSES = byte_classes(blanks=b" \t", pieces=b".,;:!?\n\x0b\x0c\r")
 FILTER_BITS = 1 << 26  # 8 MB in the driver and in each worker
 FILTER_HASHES = 3
 SALT = 32
-PART_BYTES = 2 << 20  # of text that are counted at a time
+PART_BYTES = 4 << 20  # of text that are counted at a time
 COUNTS = "lang string, phrase string, n long"
 
 
