@@ -40,7 +40,8 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import tools  # noqa: F401
     from .plans.result import Context, catalogue, run_tool
     from .sources.sinks import write_xyz
-    from .sources.trajectories import decimated, read_trajectory
+    from .sources.frame_index import atoms_of, frame_index, frames_of
+    from .sources.trajectories import decimated
 
     p = argparse.ArgumentParser(description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
@@ -68,11 +69,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("moteflow").getOrCreate()
     if n.what in ("export", "decimate"):
-        atoms, frames = read_trajectory(spark, n.file)
-        last = frames.agg(F.max("frame")).first()[0]
+        index = frame_index(spark, n.file)
+        last = index.agg(F.max("frame")).first()[0]
         if last is None:
             raise ValueError(f"{n.file} holds no complete frame")
-        write_xyz(decimated(atoms, n.every) if n.what == "decimate" else atoms.where(frame_filter(n.frame, last)), n.out, charges=n.charges)
+        write_xyz(atoms_of(decimated(index, n.every) if n.what == "decimate" else index.where(frame_filter(n.frame, last))), n.out, charges=n.charges)
         return 0
     only = None
     params = {k: typed(v) for k, _, v in (s.partition("=") for s in n.param)}
@@ -80,12 +81,12 @@ def main(argv: list[str] | None = None) -> int:
         r = run_tool(n.tool, None, Context(side_file=n.file), params)
         only = int(n.frame) if n.frame and n.frame.isdigit() else None  # a row of the side file
     else:
-        atoms, frames = read_trajectory(spark, n.file)
-        last = frames.agg(F.max("frame")).first()[0]
+        index = frame_index(spark, n.file)
+        frames, last = frames_of(index), index.agg(F.max("frame")).first()[0]
         keep = frame_filter(n.frame or n.frames, last)
         ref = F.col("frame") == n.reference
         needs = n.tool in ("diffusion", "deformation", "conformation")
-        r = run_tool(n.tool, atoms.where(F.lit(True) if n.tool == "diffusion" else keep | ref if needs else keep), Context(box=boxes_of(frames), frames=frames, reference=n.reference, path=n.file), params)
+        r = run_tool(n.tool, atoms_of(index.where(F.lit(True) if n.tool == "diffusion" else keep | ref if needs else keep)), Context(box=boxes_of(frames), frames=frames, reference=n.reference, path=n.file), params)
     print(r.csv([f"tool {n.tool}", f"file {n.file}"], only) if n.csv else r.json(only) if n.json else r.text(only))
     return 0
 

@@ -31,18 +31,84 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label for every node: the smallest node that edges (a, b) join it with. Min labels with pointer jumping."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(nodes.select("node").distinct().withColumn("label", F.col("node")), "labels")
+BLOCK_EDGES = 1 << 18
+
+
+def local_roots(a, b):  # noqa: ANN001, ANN201
+    """The nodes of one block of edges and the smallest node that the block's edges join each with; numpy arrays of numbers or text."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
     while True:
+        low = root.copy()
+        np.minimum.at(low, root[x], root[y])  # hang roots below smaller ones
+        np.minimum.at(low, root[y], root[x])
+        while (low[low] != low).any():
+            low = low[low]
+        new = low[root]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def contracted(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """block, node, root: edges in blocks of near nodes, each node of a block with the smallest node that the block joins it with."""
+    kind = dict(edges.dtypes)["a"]
+
+    def solve(batches):  # noqa: ANN001, ANN202
+        import uuid as ids
+
+        import numpy as np
+        import pyarrow as pa
+
+        held: list = []
+
+        def block():  # noqa: ANN202
+            t = pa.Table.from_batches(held)
+            a, b = (t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in (0, 1))
+            nodes, roots = local_roots(a, b)
+            return pa.RecordBatch.from_arrays([pa.array([ids.uuid4().hex] * len(nodes), pa.string()), pa.array(nodes, t.schema.field(0).type), pa.array(roots, t.schema.field(0).type)], ["block", "node", "root"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= block_edges:
+                yield block()
+                held = []
+        if sum(h.num_rows for h in held):
+            yield block()
+
+    return written(edges.repartitionByRange("a", "b").sortWithinPartitions("a", "b").mapInArrow(solve, f"block string, node {kind}, root {kind}"), "roots")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """node, label for every node: the smallest node that edges (a, b) join it with.
+
+    Blocks of edges are solved by themselves; only nodes that several blocks hold go on, with the roots that they have there.
+    What remains is joined in rounds of least labels with pointer jumping. Nodes are whole numbers or texts and not null.
+    """
+    roots = contracted(edges.select("a", "b").where("a <> b"), block_edges)
+    own = roots.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("n"))
+    crossing = roots.join(own.where("n > 1").select("node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    joined = min_labels(crossing)
+    first = nodes.select("node").distinct().join(own.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return first.join(joined.select(F.col("node").alias("root"), "label"), "root", "left").select("node", F.coalesce("label", "root").alias("label"))
+
+
+def min_labels(edges: DataFrame) -> DataFrame:
+    """node, label of every node of the edges (a, b): the smallest that they join it with, in rounds, each written."""
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while not both.isEmpty():
         low = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         moved = labels.join(low, "node", "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         step = written(moved.join(jump, "to").select("node", F.least("to", "further").alias("label"), (F.least("to", "further") < F.col("label")).alias("moved")), "labels")
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
-            return labels
+            break
+    return labels
 
 
 def greedy_cover(distances: list[list[float]], cutoff: float) -> list[int]:

@@ -93,17 +93,3 @@ def half_survival_time(df: DataFrame, time: str, censored: str, by: list[str], f
     found = with_ranked(runs, "t", by, sizes, few, before=half - 2, at=half - 1)
     t0 = F.coalesce("before", F.lit(0.0))
     return found.select(*by, (t0 + (0.5 - (half - 1) / F.col("n")) / (half / F.col("n") - (half - 1) / F.col("n")) * (F.col("at") - t0)).alias("tau"))
-
-
-class SplitMix64:
-    """The 64-bit generator by which bootstrap results are reproducible."""
-
-    def __init__(self, seed: int):
-        self.state = seed & 0xFFFFFFFFFFFFFFFF
-
-    def next(self) -> int:
-        self.state = (self.state + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        z = self.state
-        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-        return z ^ z >> 31

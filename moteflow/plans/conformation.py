@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.geometry import angle_degrees
-from ..operators.graph import greedy_cover, k_medoids
+from ..operators.graph import greedy_cover, k_medoids, written
 from ..operators.neighbors import range_join
+from ..operators.scan import numbered_rows
 
 MATRIX_FRAMES = 400  # frames of the distance matrix; the others join their nearest medoid
 
@@ -34,41 +35,53 @@ def fluctuation(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("atom").agg(F.sqrt(F.greatest(F.lit(0.0), square - sum((c * c for c in mean[1:]), mean[0] * mean[0]))).alias("rmsf"))
 
 
-MOMENTS = ["n", *[f"a{k}" for k in range(3)], *[f"b{k}" for k in range(3)], *[f"h{k}" for k in range(9)], "aa", "bb"]
+def cross_sums(x: tuple[str, str, str], y: tuple[str, str, str]) -> list[Column]:
+    """The 18 sums over atoms that a best fit of positions x onto positions y needs."""
+    sums = [F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"a{k}") for k, c in enumerate(x)], *[F.sum(c).alias(f"b{k}") for k, c in enumerate(y)]]
+    sums += [F.sum(F.col(x[i]) * F.col(y[j])).alias(f"h{3 * i + j}") for i in range(3) for j in range(3)]
+    square = lambda v: F.sum(sum((F.col(c) * F.col(c) for c in v), F.lit(0.0)))
+    return [*sums, square(x).alias("aa"), square(y).alias("bb")]
 
 
-def moments(atoms: DataFrame, reference: int) -> DataFrame:
-    """frame and the sums that a best fit onto the reference frame needs: 18 numbers a frame, from one join and one aggregation."""
-    ref = atoms.where(F.col("frame") == reference).select("atom", *[F.col(c).alias("r" + c) for c in "xyz"])
-    a, b = ["x", "y", "z"], ["rx", "ry", "rz"]
-    both = atoms.join(ref, "atom")
-    sums = [F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"a{k}") for k, c in enumerate(a)], *[F.sum(c).alias(f"b{k}") for k, c in enumerate(b)]]
-    sums += [F.sum(F.col(a[i]) * F.col(b[j])).alias(f"h{3 * i + j}") for i in range(3) for j in range(3)]
-    sums += [F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("aa"), F.sum(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")).alias("bb")]
-    return both.groupBy("frame").agg(*sums)
+SUMS = ["n", *[f"a{k}" for k in range(3)], *[f"b{k}" for k in range(3)], *[f"h{k}" for k in range(9)], "aa", "bb"]
 
 
-def fits(atoms: DataFrame, reference: int) -> DataFrame:
-    """frame, rmsd (fitted), unfitted, r0..r8 (rotation onto the reference, row by row), t0..t2 (translation)."""
+def moments(atoms: DataFrame, references: DataFrame) -> DataFrame:
+    """frame, ref and the sums of each frame with each of a few reference conformations (ref, atom, x, y, z), from one join and one aggregation."""
+    ref = references.select("ref", "atom", *[F.col(c).alias("r" + c) for c in "xyz"])
+    return atoms.select("frame", "atom", "x", "y", "z").join(ref, "atom").groupBy("frame", "ref").agg(*cross_sums(("x", "y", "z"), ("rx", "ry", "rz")))
+
+
+def solved(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fitted and plain deviation, rotation and translation of each row of SUMS, all rows at once."""
+    n, ca, cb = m[:, 0], m[:, 1:4] / m[:, :1], m[:, 4:7] / m[:, :1]
+    h = m[:, 7:16].reshape(-1, 3, 3) - n[:, None, None] * ca[:, :, None] * cb[:, None, :]
+    u, s, vt = np.linalg.svd(h)
+    s[:, 2] *= (sign := np.where(np.linalg.det(u @ vt) > 0, 1.0, -1.0))
+    u[:, :, 2] *= sign[:, None]
+    rot = (u @ vt).transpose(0, 2, 1)
+    spread = m[:, 16] - n * np.square(ca).sum(1) + m[:, 17] - n * np.square(cb).sum(1)
+    fitted = np.sqrt(np.maximum(0.0, spread - 2 * s.sum(1)) / n)
+    plain = np.sqrt(np.maximum(0.0, m[:, 16] + m[:, 17] - 2 * (m[:, 7] + m[:, 11] + m[:, 15])) / n)
+    return fitted, plain, rot, cb - np.einsum("sij,sj->si", rot, ca)
+
+
+def fits_to(atoms: DataFrame, references: DataFrame) -> DataFrame:
+    """frame, ref, rmsd (fitted), unfitted, r0..r8 (rotation onto the reference, row by row), t0..t2 (translation)."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                n = r["n"]
-                ca, cb = np.array([r[f"a{k}"] for k in range(3)]) / n, np.array([r[f"b{k}"] for k in range(3)]) / n
-                h = np.array([r[f"h{k}"] for k in range(9)]).reshape(3, 3) - n * np.outer(ca, cb)
-                u, s, vt = np.linalg.svd(h)
-                flip = np.diag([1.0, 1.0, 1.0 if np.linalg.det(u @ vt) > 0 else -1.0])
-                rot = (u @ flip @ vt).T
-                spread = r["aa"] - n * ca @ ca + r["bb"] - n * cb @ cb
-                fitted = math.sqrt(max(0.0, spread - 2 * float((s * np.diag(flip)).sum())) / n)
-                plain = math.sqrt(max(0.0, r["aa"] + r["bb"] - 2 * (r["h0"] + r["h4"] + r["h8"])) / n)
-                rows.append((r["frame"], fitted, plain, *rot.ravel(), *(cb - rot @ ca)))
-            yield pd.DataFrame(rows, columns=["frame", "rmsd", "unfitted", *[f"r{k}" for k in range(9)], *[f"t{k}" for k in range(3)]])
-
-    schema = "frame int, rmsd double, unfitted double, " + ", ".join(f"r{k} double" for k in range(9)) + ", " + ", ".join(f"t{k} double" for k in range(3))
-    return moments(atoms, reference).mapInPandas(solve, schema)
+            fitted, plain, rot, shift = solved(batch[SUMS].to_numpy(float))
+            out = pd.DataFrame({"frame": batch["frame"], "ref": batch["ref"], "rmsd": fitted, "unfitted": plain})
+            yield out.assign(**{f"r{k}": rot.reshape(-1, 9)[:, k] for k in range(9)}, **{f"t{k}": shift[:, k] for k in range(3)})
+
+    schema = "frame int, ref int, rmsd double, unfitted double, " + ", ".join(f"r{k} double" for k in range(9)) + ", " + ", ".join(f"t{k} double" for k in range(3))
+    return moments(atoms, references).mapInPandas(solve, schema)
+
+
+def fits(atoms: DataFrame, reference: int) -> DataFrame:
+    """fits_to() one frame of the same atoms."""
+    return fits_to(atoms, atoms.where(F.col("frame") == reference).withColumn("ref", F.lit(0))).drop("ref")
 
 
 def superposed(atoms: DataFrame, reference: int) -> DataFrame:
@@ -78,75 +91,140 @@ def superposed(atoms: DataFrame, reference: int) -> DataFrame:
     return atoms.join(fits(atoms, reference), "frame").withColumns(turned).select(*atoms.columns)
 
 
+CHUNK = 256
+
+
 def frame_matrix(atoms: DataFrame, frames: list[int]) -> np.ndarray:
-    """Fitted deviation of every pair of at most MATRIX_FRAMES frames: one moment sum a pair, never all atoms in one place."""
-    rows = atoms.where(F.col("frame").isin(frames))
-    a = rows.select("atom", "frame", "x", "y", "z")
-    b = rows.select("atom", F.col("frame").alias("f2"), *[F.col(c).alias("r" + c) for c in "xyz"])
-    both = a.join(b, "atom").where("frame < f2")
-    sums = [F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"a{k}") for k, c in enumerate("xyz")], *[F.sum("r" + c).alias(f"b{k}") for k, c in enumerate("xyz")]]
-    sums += [F.sum(F.col(p) * F.col("r" + q)).alias(f"h{3 * i + j}") for i, p in enumerate("xyz") for j, q in enumerate("xyz")]
-    sums += [F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("aa"), F.sum(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")).alias("bb")]
-    table = both.groupBy("frame", "f2").agg(*sums).toPandas()  # MATRIX_FRAMES squared, halved
+    """Fitted deviation of every pair of at most MATRIX_FRAMES frames.
+
+    Atoms are dealt out in chunks; of each chunk all pairs of frames get their sums by matrix products, a task adds up its
+    chunks, and what tasks hand on is a row a pair. Only the matrix itself meets on the driver.
+    """
     at = {f: k for k, f in enumerate(frames)}
+    rows = atoms.where(F.col("frame").isin(frames)).select("frame", "atom", *[F.col(c).cast("double").alias(c) for c in "xyz"]).withColumn("chunk", F.floor(F.col("atom") / CHUNK))
+
+    def tiles(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, held, f = np.zeros((18, len(frames), len(frames))), [], len(frames)
+
+        def add(t: pa.Table) -> None:
+            place = np.array([at[v] for v in t.column(0).to_pylist()])
+            known, col = np.unique(t.column(1).to_numpy(), return_inverse=True)
+            p, there = np.zeros((3, f, len(known))), np.zeros((f, len(known)))
+            for k in range(3):
+                p[k, place, col] = t.column(2 + k).to_numpy()
+            there[place, col] = 1.0
+            square = np.square(p).sum(0)
+            total[0] += there @ there.T
+            for k in range(3):
+                total[1 + k] += p[k] @ there.T
+                for m in range(3):
+                    total[7 + 3 * k + m] += p[k] @ p[m].T
+            total[16] += square @ there.T
+
+        last = None
+        for batch in batches:
+            marks = batch.column(5).to_numpy()
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(marks)) + 1):
+                if len(part):
+                    if held and marks[part[0]] != last:
+                        add(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(int(part[0]), len(part)))
+                    last = marks[part[0]]
+        if held:
+            add(pa.Table.from_batches(held))
+        a, b = np.triu_indices(f, 1)
+        total[4:7], total[17] = total[1:4].transpose(0, 2, 1), total[16].T
+        got = np.flatnonzero(total[0][a, b] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(v[got].astype(np.int32)) for v in (a, b)] + [pa.array(total[k][a, b][got]) for k in range(18)], ["p", "q", *SUMS])
+
+    summed = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(tiles, "p int, q int, " + ", ".join(f"{c} double" for c in SUMS))
+    table = summed.groupBy("p", "q").agg(*[F.sum(c).alias(c) for c in SUMS]).toPandas()  # MATRIX_FRAMES squared, halved
     out = np.zeros((len(frames), len(frames)))
-    for r in table.to_dict("records"):
-        n = r["n"]
-        ca, cb = np.array([r[f"a{k}"] for k in range(3)]) / n, np.array([r[f"b{k}"] for k in range(3)]) / n
-        h = np.array([r[f"h{k}"] for k in range(9)]).reshape(3, 3) - n * np.outer(ca, cb)
-        s = np.linalg.svd(h, compute_uv=False)
-        sign = 1.0 if np.linalg.det(h) >= 0 else -1.0
-        d = math.sqrt(max(0.0, r["aa"] - n * ca @ ca + r["bb"] - n * cb @ cb - 2 * float(s[0] + s[1] + sign * s[2])) / n)
-        out[at[r["frame"]], at[r["f2"]]] = out[at[r["f2"]], at[r["frame"]]] = d
+    if len(table):
+        p, q = table["p"].to_numpy(), table["q"].to_numpy()
+        out[p, q] = out[q, p] = solved(table[SUMS].to_numpy(float))[0]
     return out
 
 
 def clusters(atoms: DataFrame, count: int = 4, cutoff: float | None = None) -> DataFrame:
     """frame, cluster (1 is the most populous): k-medoids, or with a cutoff greedy covers, on fitted deviations.
 
-    Above MATRIX_FRAMES frames every stride-th is clustered and the rest join the nearest medoid by a distributed fit.
+    Above MATRIX_FRAMES frames every stride-th is clustered and the rest join the nearest medoid, by one fit onto all medoids.
     """
     spark = atoms.sparkSession
-    frames = [r[0] for r in atoms.select("frame").distinct().orderBy("frame").collect()]
-    stride = math.ceil(len(frames) / MATRIX_FRAMES)
-    chosen = frames[::stride]
+    frames = numbered_rows(atoms.select("frame").distinct(), "k", [], ["frame"])
+    stride = math.ceil(frames.count() / MATRIX_FRAMES) or 1
+    chosen = sorted(r[0] for r in frames.where(F.col("k") % stride == 0).select("frame").collect())  # MATRIX_FRAMES at most
     d = frame_matrix(atoms, chosen)
     if cutoff is None:
         medoids, own = k_medoids(d.tolist(), count)
     else:
         own = greedy_cover(d.tolist(), cutoff)
         medoids = [int(np.flatnonzero(np.array(own) == c)[d[np.ix_(np.flatnonzero(np.array(own) == c), np.flatnonzero(np.array(own) == c))].sum(1).argmin()]) for c in range(max(own) + 1)]
-    pairs = [(f, int(c)) for f, c in zip(chosen, own, strict=True)]
+    table = spark.createDataFrame([(f, int(c)) for f, c in zip(chosen, own, strict=True)], "frame int, raw int")
     if stride > 1:
-        rest = atoms.where(~F.col("frame").isin(chosen))
-        each = None
-        for c, m in enumerate(medoids):
-            own_ref = rest.unionByName(atoms.where(F.col("frame") == chosen[m]))
-            one = fits(own_ref, chosen[m]).where(F.col("frame") != chosen[m]).select("frame", "rmsd", F.lit(c).alias("c"))
-            each = one if each is None else each.unionByName(one)
-        pairs += [(r["frame"], r["m"]["c"]) for r in each.groupBy("frame").agg(F.min(F.struct("rmsd", "c")).alias("m")).collect()]
-    table = spark.createDataFrame(pairs, "frame int, raw int")
-    rank = table.groupBy("raw").agg(F.count("*").alias("n")).withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "raw")))
-    return table.join(F.broadcast(rank), "raw").select("frame", "cluster", F.col("n").alias("population"))
-
-
-def principal_components(atoms: DataFrame, count: int = 2) -> tuple[DataFrame, list[float]]:
-    """frame, p1.. (projection on each component), and the share of variance of each; frames meet as a frames-by-frames matrix."""
-    mean = atoms.groupBy("atom").agg(*[F.avg(c).alias("m" + c) for c in "xyz"])
-    rows = atoms.join(mean, "atom").select("atom", "frame", *[(F.col(c) - F.col("m" + c)).alias(c) for c in "xyz"])
-    other = rows.select("atom", F.col("frame").alias("f2"), *[F.col(c).alias("r" + c) for c in "xyz"])
-    gram = rows.join(other, "atom").where("frame <= f2").groupBy("frame", "f2").agg(F.sum(F.col("x") * F.col("rx") + F.col("y") * F.col("ry") + F.col("z") * F.col("rz")).alias("g")).toPandas()
-    frames = sorted(set(gram["frame"]) | set(gram["f2"]))
-    at, g = {f: k for k, f in enumerate(frames)}, np.zeros((len(frames), len(frames)))
-    for f, h, v in gram.itertuples(index=False):
-        g[at[f], at[h]] = g[at[h], at[f]] = v
-    values, vectors = np.linalg.eigh(g)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    k = min(count, len(frames))
-    points = vectors[:, :k] * np.sqrt(values[:k])
-    total = values.sum() or 1.0
-    table = atoms.sparkSession.createDataFrame([(int(f), *map(float, p)) for f, p in zip(frames, points, strict=True)], "frame int, " + ", ".join(f"p{i + 1} double" for i in range(k)))
-    return table, [float(v / total) for v in values[:k]]
+        middle = spark.createDataFrame([(chosen[m], c) for c, m in enumerate(medoids)], "frame int, ref int")
+        rest = atoms.join(table.select("frame"), "frame", "left_anti")
+        each = fits_to(rest, atoms.join(middle, "frame").select("ref", "atom", "x", "y", "z"))
+        table = table.unionByName(each.groupBy("frame").agg(F.min(F.struct("rmsd", "ref")).alias("m")).select("frame", F.col("m.ref").alias("raw")))
+    table = written(table, "clusters")
+    rank = table.groupBy("raw").agg(F.count("*").alias("n")).withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "raw")))  # MATRIX_FRAMES rows at most
+    return table.join(rank, "raw").select("frame", "cluster", F.col("n").alias("population"))
+
+
+WIDTH, ROUNDS = 24, 80
+
+
+def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e-12) -> tuple[DataFrame, list[float]]:
+    """frame, p1.. (projection on each component), and the share of variance of each, by block power iteration.
+
+    A block of WIDTH directions is keyed by atom. A round projects the frames on them and adds the frames up again by atom:
+    two joins and two aggregations, whose results are stored. Only the products of directions with each other, WIDTH by WIDTH
+    numbers, come to the driver. It ends when the wanted variances stand still; with at most WIDTH frames the first round is
+    exact. A component's sign is arbitrary; atoms must be in every frame to take part.
+    """
+    n = atoms.agg(F.count_distinct("frame")).first()[0]
+    full = atoms.groupBy("atom").agg(F.count("*").alias("_n"), *[F.avg(c).alias("m" + c) for c in "xyz"]).where(F.col("_n") == n)
+    rows = written(atoms.join(full, "atom").select("atom", "frame", *[(F.col(c) - F.col("m" + c)).alias(c) for c in "xyz"]), "centred")
+    total = rows.agg(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).first()[0] or 0.0
+    q = min(WIDTH, n)
+    names = [f"{c}{k}" for k in range(q) for c in "xyz"]
+    start = lambda c, k: (F.xxhash64("atom", F.lit(f"{c}{k}")) / 2.0**63)
+    basis = written(full.select("atom", *[start(c, k).alias(f"{c}{k}") for k in range(q) for c in "xyz"]), "directions")
+
+    def products(df: DataFrame, parts: list[list[str]]) -> np.ndarray:
+        """parts[k] are the columns of direction k: the sums of products of all pairs."""
+        pairs = [(i, j) for i in range(len(parts)) for j in range(i, len(parts))]
+        got = df.agg(*[F.sum(sum((F.col(a) * F.col(b) for a, b in zip(parts[i], parts[j], strict=True)), F.lit(0.0))) for i, j in pairs]).first()
+        out = np.zeros((len(parts), len(parts)))
+        for (i, j), v in zip(pairs, got, strict=True):
+            out[i, j] = out[j, i] = v or 0.0
+        return out
+
+    def turned(df: DataFrame, key: str, prefixes: str, by: np.ndarray) -> DataFrame:
+        return df.select(key, *[sum((F.col(f"{c}{i}") * float(by[i, k]) for i in range(len(by))), F.lit(0.0)).alias(f"{c}{k}") for k in range(by.shape[1]) for c in prefixes])
+
+    before = None
+    for _ in range(ROUNDS):
+        values, vectors = np.linalg.eigh(products(basis, [[f"{c}{k}" for c in "xyz"] for k in range(q)]))
+        good = values > max(values.max(), 1e-300) * 1e-13
+        basis = turned(basis, "atom", "xyz", vectors[:, good] / np.sqrt(values[good]))
+        q = int(good.sum())
+        shadow = rows.join(basis, "atom").groupBy("frame").agg(*[F.sum(F.col("x") * F.col(f"x{k}") + F.col("y") * F.col(f"y{k}") + F.col("z") * F.col(f"z{k}")).alias(f"p{k}") for k in range(q)])
+        shadow = written(shadow, "projections")
+        values, vectors = np.linalg.eigh(products(shadow, [[f"p{k}"] for k in range(q)]))
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        k = min(count, n)
+        if n <= WIDTH or before is not None and np.all(np.abs(values[:k] - before[:k]) <= tolerance * max(values[0], 1e-300)):
+            break
+        before = values
+        basis = written(rows.join(turned(shadow, "frame", "p", vectors), "frame").groupBy("atom").agg(*[F.sum(F.col(c) * F.col(f"p{k}")).alias(f"{c}{k}") for k in range(q) for c in "xyz"]), "directions")
+    padded = np.pad(vectors, ((0, 0), (0, max(0, k - vectors.shape[1]))))
+    table = turned(shadow, "frame", "p", padded[:, :k]).withColumnsRenamed({f"p{i}": f"_p{i}" for i in range(k)}).withColumnsRenamed({f"_p{i}": f"p{i + 1}" for i in range(k)})
+    return table, [float(v / (total or 1.0)) for v in np.pad(values, (0, max(0, k - len(values))))[:k]]
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -183,7 +261,7 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     donor = res.where("h IS NOT NULL AND n IS NOT NULL").select("frame", F.col("r").cast("int").alias("i"), "n", "h")
     taker = res.where("c IS NOT NULL AND o IS NOT NULL").select("frame", F.col("r").cast("int").alias("j"), "c", "o")
     energy = 27.888 * (1 / size(v("n", "o")) + 1 / size(v("h", "c")) - 1 / size(v("h", "o")) - 1 / size(v("n", "c")))
-    hb = near.join(donor, ["frame", "i"]).join(taker, ["frame", "j"]).where(energy < -0.5).select("frame", F.col("i").alias("d"), F.col("j").alias("a")).persist()
+    hb = written(near.join(donor, ["frame", "i"]).join(taker, ["frame", "j"]).where(energy < -0.5).select("frame", F.col("i").alias("d"), F.col("j").alias("a")), "backbone-bonds")
     seg = res.select("frame", F.col("r").cast("int").alias("r"), "seg")
     same = lambda df, a, b: df.join(seg.select("frame", F.col("r").alias(a), F.col("seg").alias("_s1")), ["frame", a]).join(seg.select("frame", F.col("r").alias(b), F.col("seg").alias("_s2")), ["frame", b]).where("_s1 = _s2").drop("_s1", "_s2")
     turns = same(hb.where((F.col("d") - F.col("a")).isin(3, 4, 5)), "d", "a").select("frame", F.col("a").alias("i"), (F.col("d") - F.col("a")).alias("n"))
@@ -198,7 +276,7 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     anti = bond(0, 0, 0, 0).unionByName(bond(-1, 1, -1, 1)).unionByName(bond(1, -1, 1, -1).select("frame", F.col("i"), F.col("j"))).distinct().withColumn("way", F.lit(-1))
     last = res.groupBy("frame").agg(F.max("r").alias("last"))
     bridges = par.unionByName(anti).where("i > 0 AND j >= i + 3").join(last, "frame").where("j < last").drop("last").withColumns({"i0": F.col("i") - 1, "i2": F.col("i") + 1, "j0": F.col("j") - 1, "j2": F.col("j") + 1})
-    bridges = same(same(bridges, "i0", "i2"), "j0", "j2").select("frame", "i", "j", "way").distinct().persist()
+    bridges = written(same(same(bridges, "i0", "i2"), "j0", "j2").select("frame", "i", "j", "way").distinct(), "bridges")
     beside = bridges.select("frame", (F.col("i") - 1).alias("i"), (F.col("j") - F.col("way")).alias("j"), "way").unionByName(bridges.select("frame", (F.col("i") + 1).alias("i"), (F.col("j") + F.col("way")).alias("j"), "way")).distinct().withColumn("ladder", F.lit(True))
     laddered = bridges.join(beside, ["frame", "i", "j", "way"], "left").withColumn("ladder", F.coalesce("ladder", F.lit(False)))
     sheet = laddered.select("frame", F.col("i").alias("r"), "ladder").unionByName(laddered.select("frame", F.col("j").alias("r"), "ladder")).groupBy("frame", "r").agg(F.max("ladder").alias("ladder"))

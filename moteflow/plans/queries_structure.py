@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..adapters import ATOMS_SQL, BOX, N_FRAMES, atoms, replicas
 from ..operators import graph, interactions, neighbors, stats
+from ..operators.bootstrap import bootstrap_interval
 from . import conformation, structure
 from .queries_points import PAIRS_SQL, RC, r6
 from .registry_queries import query
-from .tools import bootstrap_interval
 
 
 ALL_TEMPLATES = tuple(structure.TEMPLATES)
@@ -81,7 +81,7 @@ def pca(s: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    runs = replicas(s, d)
+    runs = replicas(s, d).withColumn("ord", F.col("replica"))
     lo, hi = bootstrap_interval(runs, 2000)
     mean = stats.half_survival_time(runs, "t", "censored", ["seed"]).agg(F.avg("tau")).first()[0]
     return s.createDataFrame([(lo, hi, mean)], "low double, high double, tau double")

@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import units
 from ..functions.text import residue_key
 from ..operators import boxes, groups, interactions, neighbors, stats, windows
+from ..operators.bootstrap import bootstrap_interval
 from ..operators.graph import written
 from ..operators.joins import ids_usable, nearest, residue_slots
 from ..operators.scan import numbered_rows, scanned
@@ -488,80 +489,6 @@ def bound_at_frames(runs: DataFrame, survival: DataFrame | None, frames: DataFra
     return seen.select("frame", "at", (1 - F.col("gone_by") / n).alias("bound"))
 
 
-def half_time(times: list[tuple[float, bool]], top: float) -> float | None:
-    """The half time of one seed's few replicas."""
-    if 2 * sum(not cut for _, cut in times) < len(times):
-        return None
-    t = sorted(top if cut else v for v, cut in times)
-    before, share = 0.0, 0.0
-    for k, v in enumerate(t, 1):
-        if k / len(t) >= 0.5:
-            return before + (0.5 - share) / (k / len(t) - share) * (v - before)
-        before, share = v, k / len(t)
-    return None
-
-
-def half_ranks(seeds: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """seed, resample, n, k, ended, before, at: the (k - 1)th and kth smallest rank among n draws of the ranks 1 to n, k being half of n.
-
-    Ranks are drawn as the ceilings of n times the order statistics of n uniform numbers, the kth of which is beta distributed and
-    the one before it the largest of k - 1 numbers below: the law of a resample's middle at the cost of two numbers.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def draw(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            for key, mark, n, ended in b.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(mark) & 0xFFFFFFFFFFFFFFFF])
-                k = (int(n) + 1) // 2
-                at = rng.beta(k, n - k + 1, resamples)
-                before = at * rng.random(resamples) ** (1 / (k - 1)) if k > 1 else np.zeros(resamples)
-                rank = lambda u: np.clip(np.ceil(u * n), 1, n).astype("int64")
-                yield pd.DataFrame({"seed": [key] * resamples, "resample": np.arange(resamples), "n": int(n), "k": k, "ended": int(ended), "before": rank(before) if k > 1 else 0, "at": rank(at)})
-
-    kind = seeds.schema["seed"].dataType.simpleString()
-    return seeds.select("seed", F.xxhash64("seed").alias("mark"), "n", "ended").mapInPandas(draw, f"seed {kind}, resample long, n long, k long, ended long, before long, at long")
-
-
-def bootstrap_interval(runs: DataFrame, resamples: int, seed: int = 148) -> tuple[float | None, float | None]:
-    """2.5 and 97.5 percent of the mean half time over resamples within seeds, for any number of replicas.
-
-    A resample's half time depends on two ranks in the middle of the sorted draws alone; those are drawn and looked up.
-    """
-    from pyspark.sql import Window
-
-    top = runs.agg(F.max("t")).first()[0]
-    rows = runs.select("seed", F.when(F.col("censored"), F.lit(top)).otherwise(F.col("t")).alias("t"), F.col("censored").alias("c"))
-    ranked = rows.select("seed", "t", F.row_number().over(Window.partitionBy("seed").orderBy("t", "c")).cast("long").alias("rank"))
-    draws = half_ranks(rows.groupBy("seed").agg(F.count("*").alias("n"), F.count_if(~F.col("c")).alias("ended")), resamples, seed)
-    # ended runs have the smaller ranks, so half of a resample ended if its middle did
-    wanted = draws.where("at <= ended").select("seed", "resample", "n", "k", F.explode(F.array(F.struct(F.col("before").alias("rank"), F.lit(0).alias("side")), F.struct(F.col("at").alias("rank"), F.lit(1).alias("side")))).alias("w")).select("seed", "resample", "n", "k", "w.rank", "w.side")
-    pair = wanted.join(ranked, ["seed", "rank"]).groupBy("seed", "resample", "n", "k").agg(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("t"))), F.lit(0.0)).alias("t0"), F.max(F.when(F.col("side") == 1, F.col("t"))).alias("t1"))
-    taus = pair.select("resample", (F.col("t0") + (0.5 * F.col("n") - (F.col("k") - 1)) * (F.col("t1") - F.col("t0"))).alias("tau"))
-    out = taus.groupBy("resample").agg(F.avg("tau").alias("tau")).agg(F.count("*"), F.percentile("tau", F.lit(0.025)), F.percentile("tau", F.lit(0.975))).first()
-    return (out[1], out[2]) if out[0] >= 10 else (None, None)
-
-
-def bootstrap_tau(rows: list[tuple], resamples: int, seed: int = 148) -> tuple[float | None, float | None, float | None]:
-    """2.5 and 97.5 percent of the mean half time over resamples within seeds, and the mean of the data."""
-    import numpy as np
-
-    by: dict[int, list[tuple[float, bool]]] = {}
-    for s, t, cut in rows:
-        by.setdefault(s, []).append((t, cut))
-    top = max((t for _, t, _ in rows), default=0.0)
-    rng, out = stats.SplitMix64(seed), []
-    for _ in range(resamples):
-        taus = [half_time([v[rng.next() % len(v)] for _ in v], top) for v in by.values()]
-        taus = [t for t in taus if t is not None]
-        if taus:
-            out.append(sum(taus) / len(taus))
-    whole = [t for v in by.values() if (t := half_time(v, top)) is not None]
-    mean = sum(whole) / len(whole) if whole else None
-    return (float(np.percentile(out, 2.5)), float(np.percentile(out, 97.5)), mean) if len(out) >= 10 else (None, None, mean)
-
-
 @tool("fep_results", "Relative free energies", "binding", requires=("sideFile",), jsonPath=None, sortBy="rank")
 def fep_results(atoms: DataFrame | None, c: Context, jsonPath: str | None, sortBy: str) -> ToolResult:  # noqa: N803
     """Edges of a free-energy network as frames, in the order asked for, with the checks on overlap and closure."""

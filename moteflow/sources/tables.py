@@ -99,15 +99,15 @@ def read_run_config(path: str) -> dict:
 
 
 def read_replica_times(spark: SparkSession, path: str) -> DataFrame:
-    """seed, replica, t, censored, distance; censored is a number other than 0, true or yes."""
+    """seed, replica, t, censored, distance, ord (the row's place); censored is a number other than 0, true or yes."""
     t = read_table(spark, path)
     if "t_diss_ps" not in t.columns:
         raise ValueError("no column t_diss_ps")
     text = F.lower(F.trim("censored")) if "censored" in t.columns else F.lit("0")
     flag = F.coalesce(strict_double(text) != 0, text.isin("true", "yes"))
-    order = F.row_number().over(Window.orderBy("ord")) - 1
     rows = t.select(F.coalesce(column(t, "seed"), F.lit(0.0)).cast("long").alias("seed"), column(t, "replica").cast("long").alias("replica"), column(t, "t_diss_ps").alias("t"), flag.alias("censored"), column(t, "final_com_distance_nm").alias("distance"), "ord")
-    return rows.where(good("t")).withColumn("replica", F.coalesce("replica", order)).drop("ord")
+    rows = numbered_rows(rows.where(good("t")), "ord", [], ["ord"])
+    return rows.withColumn("replica", F.coalesce("replica", "ord"))
 
 
 def read_survival(spark: SparkSession, path: str) -> DataFrame:

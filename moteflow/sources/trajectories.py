@@ -1,8 +1,4 @@
-"""Trajectory readers: dump files frame by frame, XYZ files file by file, each frame to its rows in one Arrow pass.
-
-A dump splits at its frame headers inside Spark's text source, so one large file is read by many tasks. XYZ framing depends on
-what came before, so a file is one task: convert large ones to Parquet once.
-"""
+"""Frames of dump and XYZ files: the text of one frame to its rows, and readers that take frames from an index of their bytes."""
 
 from __future__ import annotations
 
@@ -12,10 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ATOMS, FRAMES
+from ..schema import ATOMS
 
 MARK = "ITEM: TIMESTEP"
 BOX_FIELDS = [*[f"{e}_{a}" for e in ("lo", "hi") for a in "xyz"], *[f"per_{a}" for a in "xyz"], "tilt_xy", "tilt_xz", "tilt_yz"]
@@ -152,61 +148,27 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([[r.get(c) for c in NAMES] for r in rows], columns=NAMES)
 
 
-def number_frames(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """atoms and frames tables: frames are numbered over all files in the order of their names and places."""
-    heads = rows.where("pos = 0").select("file", "start", "block")
-    heads = heads.withColumn("frame", (F.row_number().over(Window.orderBy("file", "start", "block")) - 1).cast("int"))  # a row a frame
-    both = rows.join(heads, ["file", "start", "block"])
-    names = [c.split()[0] for c in ATOMS.split(", ")]
-    atoms = both.withColumnRenamed("pos", "atom").select(*names)
-    frames = both.where("pos = 0").select(*[c.split()[0] for c in FRAMES.split(", ")])
-    return atoms, frames
-
-
-def dump_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every complete frame of dump files, with file and block."""
-    text = spark.read.text(path, lineSep=MARK).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("block"), "value").where(F.length(F.trim("value")) > 0)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, start, block, value in batch.itertuples(index=False):
-                rows = [{**r, "file": file, "start": start, "block": block} for r in dump_rows(value)]
-                if rows:
-                    yield _frame(rows)
-
-    return text.mapInPandas(parse, ROW_SCHEMA)
-
+def read_trajectory(spark: SparkSession, path: str, frames: str = "all") -> tuple[DataFrame, DataFrame]:
+    """atoms and frames of dump or XYZ files, each file as its first lines say; frames: all, first, last, or numbers as the command line takes them.
 
-def xyz_table(spark: SparkSession, path: str, frames: str = "all") -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, value in batch.itertuples(index=False):
-                for block, rows in enumerate(xyz_frames_of(value, frames == "first")):
-                    if rows:
-                        yield _frame([{**r, "file": file, "start": 0, "block": block} for r in rows])
+    Only the bytes of the frames asked for are parsed; numbers stay those of the whole trajectory.
+    """
+    from ..cli import frame_filter
+    from .frame_index import atoms_of, frame_index, frames_of
 
-    return text.mapInPandas(parse, ROW_SCHEMA)
+    index = frame_index(spark, path)
+    if frames != "all":
+        last = index.agg(F.max("frame")).first()[0]
+        index = index.where(frame_filter(frames, -1 if last is None else last))
+    return atoms_of(index), frames_of(index)
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    return number_frames(dump_table(spark, path))[0]
+def read_dump(spark: SparkSession, path: str, frames: str = "all") -> DataFrame:
+    return read_trajectory(spark, path, frames)[0]
 
 
 def read_xyz(spark: SparkSession, path: str, frames: str = "all") -> DataFrame:
-    return number_frames(xyz_table(spark, path, frames))[0]
-
-
-def is_dump(spark: SparkSession, path: str) -> bool:
-    """Whether the first lines of the first file name a time step; no more than them is read."""
-    first = spark.read.format("binaryFile").load(path).agg(F.min("path").alias("p")).first()["p"]  # names, no contents
-    return first is not None and any(MARK in r["value"] for r in spark.read.text(first).limit(64).collect())
-
-
-def read_trajectory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """atoms and frames of dump or XYZ files, whichever they are."""
-    return number_frames(dump_table(spark, path) if is_dump(spark, path) else xyz_table(spark, path))
+    return read_trajectory(spark, path, frames)[0]
 
 
 def dump_fields(spark: SparkSession, path: str) -> list[str] | None:
@@ -230,7 +192,9 @@ def append_new_frames(spark: SparkSession, path: str, table: str) -> int:
 
     Frames keep their numbers as a file grows, so a refresh that is run again adds nothing; a cut last frame waits.
     """
-    atoms, _ = read_trajectory(spark, path)
+    from .frame_index import atoms_of, frame_index
+
+    index = frame_index(spark, path)
     names = [c.split()[0] for c in ATOMS.split(", ")]
     try:
         known = spark.read.parquet(table).agg(F.max("frame")).first()[0]
@@ -238,9 +202,9 @@ def append_new_frames(spark: SparkSession, path: str, table: str) -> int:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         known = None
-    new = atoms.select(*names).where(F.col("frame") > (-1 if known is None else known))
-    new.write.mode("append").parquet(table)
-    return spark.read.parquet(table).where(F.col("frame") > (-1 if known is None else known)).select("frame").distinct().count()
+    new = index.where(F.col("frame") > (-1 if known is None else known))
+    atoms_of(new).select(*names).write.mode("append").parquet(table)
+    return new.count()
 
 
 def map_elements(atoms: DataFrame, symbols: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import statistics
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_bootstrap import half_time
 
 from moteflow.operators import joins, ranks, scan, stats
 from moteflow.plans import surfaces, tools
@@ -92,7 +93,7 @@ def test_surface_and_half_time(spark, few):
     top = max(t for _, t, _ in runs)
     taus = {r["seed"]: r["tau"] for r in stats.half_survival_time(spark.createDataFrame(runs, "seed long, t double, censored boolean"), "t", "censored", ["seed"], few).collect()}
     for s in (0, 1, 2, 7):
-        want = tools.half_time([(t, c) for q, t, c in runs if q == s], top)
+        want = half_time([(t, c) for q, t, c in runs if q == s], top)
         assert (taus.get(s) is None) == (want is None) and (want is None or math.isclose(taus[s], want))
 
 
