@@ -66,19 +66,15 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
     rows = docs.select("d", "id", trimmed(lines(F.col("text"))).alias("t")).select("d", "id", F.transform("t", lambda u: F.xxhash64(u)).alias("h"), word_counts(F.col("t")).alias("w"))
     # the line of each word, and the words before each line's end
     rows = rows.withColumns({"line_of": F.flatten(F.transform("w", lambda w, i: F.array_repeat(i, w))), "ends": word_ends(F.col("w"))})
-    last = lambda i: F.get("line_of", F.get("ends", i) - F.get("w", i) + (min_words - 1))
-
-    def window(a: Column, b: Column) -> Column:
-        inside = F.slice("h", a + 1, b - a + 1)
-        return bound(inside, lambda v: bound(F.array_min(v), lambda m: F.struct(F.xxhash64(v).alias("key"), F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")).alias("place"), m.alias("mark"), (a + F.array_position(v, m) - 1).cast("int").alias("line"))))
-
-    def both_ways(i: Column) -> Column:
-        on = bound(last(i), lambda b: F.when(b.isNotNull(), window(i, b)))
-        back = bound(F.get("line_of", F.get("ends", i) - min_words), lambda a: F.when(a.isNotNull() & ~last(a).eqNullSafe(i), window(a, i)))
-        return F.array(on, back)
-
-    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), both_ways)), lambda f: f.isNotNull())
-    return rows.select("d", "id", F.explode(found).alias("f")).select("f.key", "d", "id", "f.place", "f.mark", "f.line")
+    rows = rows.select("d", "id", "h", "ends", F.transform("ends", lambda e, i: F.get("line_of", e - F.get("w", i) + (min_words - 1))).alias("on"), F.transform("ends", lambda e: F.get("line_of", e - min_words)).alias("back"))
+    place = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    ahead = F.transform("on", lambda b, i: F.when(b.isNotNull(), place(i, b)))
+    behind = F.transform("back", lambda a, i: F.when(a.isNotNull() & ~F.get("on", a).eqNullSafe(i), place(a, i)))  # one that is shortest both ways is there once
+    rows = rows.select("d", "id", "h", F.explode(F.array_compact(F.concat(ahead, behind))).alias("place"))
+    # hashes are taken after the explode, in generated code
+    a = F.shiftright("place", 32).cast("int")
+    inside = F.slice("h", a + 1, F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int") - a + 1)
+    return rows.select(F.xxhash64(inside).alias("key"), "d", "id", "place", F.array_min(inside).alias("mark"), (a + F.array_position(inside, F.array_min(inside)) - 1).cast("int").alias("line"))
 
 
 def repeats(found: DataFrame) -> DataFrame:
