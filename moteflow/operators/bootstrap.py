@@ -41,8 +41,8 @@ def half_times(runs: DataFrame, resamples: int, seed: int, held: int = HELD) ->
     total = seeds.agg(F.sum("n")).first()[0] or 0
     wanted = seeds.select("seed", "n", (F.col("upto") - F.col("n")).alias("before"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).repartition("seed", "resample")
     if total <= held:
-        table = rows.join(seeds.select("seed"), "seed").select("seed", "i", "t", "c").toPandas()  # held rows at most
-        known = rows.sparkSession.sparkContext.broadcast({k: (g["t"].to_numpy()[o := g["i"].argsort().to_numpy()], g["c"].to_numpy()[o]) for k, g in table.groupby("seed")})
+        table = rows.join(seeds.select("seed"), "seed").select("seed", "i", "t", "c").orderBy("seed", "i").toPandas()  # held rows at most
+        known = rows.sparkSession.sparkContext.broadcast({k: (g["t"].to_numpy(float), g["c"].to_numpy(bool)) for k, g in table.groupby("seed")})
 
         def middles(batches: Iterator) -> Iterator:
             import pandas as pd
