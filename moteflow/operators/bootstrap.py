@@ -59,7 +59,7 @@ def half_times(runs: DataFrame, resamples: int, seed: int, held: int = HELD) ->
                 yield pd.DataFrame(out, columns=["seed", "resample", "n", "before", "at"])
 
         kind = dict(rows.dtypes)["seed"]
-        found = wanted.select("seed", "n", "before", "resample").mapInPandas(middles, f"seed {kind}, resample int, n long, before double, at double").withColumn("before", F.nanvl("before", F.lit(0.0)))
+        found = wanted.select("seed", "n", "before", "resample").mapInPandas(middles, f"seed {kind}, resample int, n long, before double, at double").fillna(0.0, ["before"])
     else:
 
         def draw(batches: Iterator) -> Iterator:
