@@ -178,7 +178,7 @@ def clusters(atoms: DataFrame, count: int = 4, cutoff: float | None = None) -> D
 WIDTH, ROUNDS = 24, 80
 
 
-def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e-12) -> tuple[DataFrame, list[float]]:
+def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e-10) -> tuple[DataFrame, list[float]]:
     """frame, p1.. (projection on each component), and the share of variance of each, by block power iteration.
 
     A block of WIDTH directions is keyed by atom. A round projects the frames on them and adds the frames up again by atom:
@@ -191,9 +191,8 @@ def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e
     rows = written(atoms.join(full, "atom").select("atom", "frame", *[(F.col(c) - F.col("m" + c)).alias(c) for c in "xyz"]), "centred")
     total = rows.agg(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).first()[0] or 0.0
     q = min(WIDTH, n)
-    names = [f"{c}{k}" for k in range(q) for c in "xyz"]
-    start = lambda c, k: (F.xxhash64("atom", F.lit(f"{c}{k}")) / 2.0**63)
-    basis = written(full.select("atom", *[start(c, k).alias(f"{c}{k}") for k in range(q) for c in "xyz"]), "directions")
+    start = lambda k: F.xxhash64("frame", F.lit(k)) / 2.0**63  # noqa: E731  # mixtures of frames: with as many as frames they span all of them
+    basis = written(rows.groupBy("atom").agg(*[F.sum(F.col(c) * start(k)).alias(f"{c}{k}") for k in range(q) for c in "xyz"]), "directions")
 
     def products(df: DataFrame, parts: list[list[str]]) -> np.ndarray:
         """parts[k] are the columns of direction k: the sums of products of all pairs."""
