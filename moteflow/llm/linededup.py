@@ -83,7 +83,7 @@ def repeats(found: DataFrame) -> DataFrame:
     Fingerprints that stand in one place rule out their windows. Those that stand in several extend both ways to the windows
     that selected them; a window is a repeat if it isn't the first of those with its lines.
     """
-    stand = F.struct("d", "id", "line")
+    stand = F.xxhash64("d", "id", "line")  # one number, so that the sums of a mark stay in a hash table
     shared = stored(found.groupBy("mark").agg(F.min(stand).alias("a"), F.max(stand).alias("b")).where("a < b").select("mark"), "line-marks")  # read back, so that a hot mark's join can be split
     again = stored(found.join(shared, "mark", "left_semi").select("key", "d", "id", "place"), "line-windows-again")
     place = F.struct("d", "id", "place")
