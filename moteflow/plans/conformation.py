@@ -178,6 +178,46 @@ def clusters(atoms: DataFrame, count: int = 4, cutoff: float | None = None) -> D
 WIDTH, ROUNDS = 24, 80
 
 
+def block_of(batch: object, names: list[str], axes: str) -> np.ndarray:
+    """An Arrow batch's columns, direction by direction, as (rows, directions, axes)."""
+    table = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1) if names else np.zeros((batch.num_rows, 0))  # type: ignore[attr-defined]
+    return table.reshape(batch.num_rows, -1, len(axes))  # type: ignore[attr-defined]
+
+
+def products(df: DataFrame, axes: str, count: int) -> np.ndarray:
+    """The sums of products of every two of count directions over all rows: a task hands on count times count numbers."""
+    import pyarrow as pa
+
+    names = [f"{c}{k}" for k in range(count) for c in axes]
+
+    def add(batches: Iterator) -> Iterator:
+        total = np.zeros((count, count))
+        for batch in batches:
+            v = block_of(batch, names, axes)
+            total += np.einsum("ric,rjc->ij", v, v, optimize=True)
+        i, j = np.indices(total.shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "v"])
+
+    out = np.zeros((count, count))
+    for i, j, v in df.select(*names).mapInArrow(add, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v")).collect():
+        out[i, j] = v
+    return (out + out.T) / 2
+
+
+def turned(df: DataFrame, key: str, axes: str, by: np.ndarray) -> DataFrame:
+    """key and the mixtures of the directions that the matrix's columns name."""
+    import pyarrow as pa
+
+    names, new = [f"{c}{k}" for k in range(len(by)) for c in axes], [f"{c}{k}" for k in range(by.shape[1]) for c in axes]
+
+    def mix(batches: Iterator) -> Iterator:
+        for batch in batches:
+            v = np.einsum("ric,ij->rjc", block_of(batch, names, axes), by, optimize=True).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(v[:, k]) for k in range(v.shape[1])]], [key, *new])
+
+    return df.select(key, *names).mapInArrow(mix, ", ".join([f"{key} int", *[f"{n} double" for n in new]]))
+
+
 def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e-10) -> tuple[DataFrame, list[float]]:
     """frame, p1.. (projection on each component), and the share of variance of each, by block power iteration.
 
@@ -194,27 +234,15 @@ def principal_components(atoms: DataFrame, count: int = 2, tolerance: float = 1e
     start = lambda k: F.xxhash64("frame", F.lit(k)) / 2.0**63  # noqa: E731  # mixtures of frames: with as many as frames they span all of them
     basis = written(rows.groupBy("atom").agg(*[F.sum(F.col(c) * start(k)).alias(f"{c}{k}") for k in range(q) for c in "xyz"]), "directions")
 
-    def products(df: DataFrame, parts: list[list[str]]) -> np.ndarray:
-        """parts[k] are the columns of direction k: the sums of products of all pairs."""
-        pairs = [(i, j) for i in range(len(parts)) for j in range(i, len(parts))]
-        got = df.agg(*[F.sum(sum((F.col(a) * F.col(b) for a, b in zip(parts[i], parts[j], strict=True)), F.lit(0.0))) for i, j in pairs]).first()
-        out = np.zeros((len(parts), len(parts)))
-        for (i, j), v in zip(pairs, got, strict=True):
-            out[i, j] = out[j, i] = v or 0.0
-        return out
-
-    def turned(df: DataFrame, key: str, prefixes: str, by: np.ndarray) -> DataFrame:
-        return df.select(key, *[sum((F.col(f"{c}{i}") * float(by[i, k]) for i in range(len(by))), F.lit(0.0)).alias(f"{c}{k}") for k in range(by.shape[1]) for c in prefixes])
-
     before = None
     for _ in range(ROUNDS):
-        values, vectors = np.linalg.eigh(products(basis, [[f"{c}{k}" for c in "xyz"] for k in range(q)]))
+        values, vectors = np.linalg.eigh(products(basis, "xyz", q))
         good = values > max(values.max(), 1e-300) * 1e-13
         basis = turned(basis, "atom", "xyz", vectors[:, good] / np.sqrt(values[good]))
         q = int(good.sum())
         shadow = rows.join(basis, "atom").groupBy("frame").agg(*[F.sum(F.col("x") * F.col(f"x{k}") + F.col("y") * F.col(f"y{k}") + F.col("z") * F.col(f"z{k}")).alias(f"p{k}") for k in range(q)])
         shadow = written(shadow, "projections")
-        values, vectors = np.linalg.eigh(products(shadow, [[f"p{k}"] for k in range(q)]))
+        values, vectors = np.linalg.eigh(products(shadow, "p", q))
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
         k = min(count, n)
         if n <= WIDTH or before is not None and np.all(np.abs(values[:k] - before[:k]) <= tolerance * max(values[0], 1e-300)):

@@ -28,10 +28,12 @@ def half_bonds(s: SparkSession, d: str) -> DataFrame:
 
 
 LO, HI = -0.2, 0.3
-SHADE = "round(CASE WHEN t < 0.5 THEN {0} + ({1} - {0}) * (t * 2) ELSE {1} + ({2} - {1}) * (t * 2 - 1) END, 6) + 0.0 AS {3}"
+#: The map's control points as the SQL has them.
+COOLWARM_SQL = """[[0.230, 0.299, 0.754], [0.406, 0.538, 0.934], [0.602, 0.731, 0.999], [0.788, 0.846, 0.939], [0.867, 0.867, 0.867], [0.941, 0.802, 0.732], [0.958, 0.648, 0.529], [0.887, 0.446, 0.361], [0.706, 0.016, 0.150]]"""
+SHADE = "round(CASE WHEN k >= 8 THEN m[9][{0}] ELSE m[k + 1][{0}] * (1 - (t * 8 - k)) + m[k + 2][{0}] * (t * 8 - k) END, 6) + 0.0 AS {1}"
 
 
-@query("field_colors", f"WITH {ATOMS_SQL}, v AS (SELECT frame, atom, least(1.0, greatest(0.0, (charge - {LO}) / ({HI} - {LO}))) AS t FROM atoms) SELECT frame, atom, " + ", ".join(SHADE.format(*[p[k] for p in views.COLOR_MAPS["coolwarm"]], c) for k, c in enumerate("rgb")) + " FROM v")
+@query("field_colors", f"WITH {ATOMS_SQL}, v AS (SELECT frame, atom, least(1.0, greatest(0.0, (charge - {LO}) / ({HI} - {LO}))) AS t FROM atoms), k AS (SELECT *, CAST(floor(t * 8) AS INTEGER) AS k, CAST({COOLWARM_SQL} AS DOUBLE[][]) AS m FROM v) SELECT frame, atom, " + ", ".join(SHADE.format(i, c) for i, c in enumerate("rgb", 1)) + " FROM k")
 def field_colors(s: SparkSession, d: str) -> DataFrame:
     rows = atoms(s, d).select("frame", "atom", views.color(F.col("charge"), LO, HI, "coolwarm").alias("c"))
     return rows.select("frame", "atom", *[r6(F.col(f"c.{c}"), c) for c in "rgb"])

@@ -325,8 +325,8 @@ def adhesion(atoms: DataFrame, c: Context, groupA: dict | None, groupB: dict | N
         if lifetimes and frames.count() > 1:
             n = frames.count()
             runs = windows.occupancy(hb.withColumn("on", F.lit(True)), "on", "frame", ["donor", "acceptor"], n)
-            for r in runs.orderBy(F.desc("occupancy"), "donor", "acceptor").limit(10).collect():
-                notes.append(f"atom #{r['donor']} → atom #{r['acceptor']}: occupancy {r['occupancy']:.2f}, lifetime {r['lifetime']:.3f}, {r['events']} events")
+            for r in bond_labels(runs.orderBy(F.desc("occupancy"), "donor", "acceptor").limit(10), rows).collect():
+                notes.append(f"{r['donor_name']} → {r['acceptor_name']}: occupancy {r['occupancy']:.2f}, lifetime {r['lifetime']:.3f}, {r['events']} events")
     else:
         polar = touch.join(rows.where(F.upper(F.trim("element")).isin(*groups.POLAR)).select("frame", F.col("atom").alias("i")), ["frame", "i"], "left_semi").join(rows.where(F.upper(F.trim("element")).isin(*groups.POLAR)).select("frame", F.col("atom").alias("j")), ["frame", "j"], "left_semi")
         wide = joined(wide, polar.groupBy("frame").agg(F.count("*").alias("polar"))).withColumn("polar", F.coalesce("polar", F.lit(0)))
@@ -373,6 +373,21 @@ def adhesion(atoms: DataFrame, c: Context, groupA: dict | None, groupB: dict | N
     return ToolResult(summary, wide.select("frame", F.col("contacts").cast("double").alias("scalar")), field_of(per_atom, value), notes=notes, series_label="contacts")
 
 
+def bond_labels(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """runs with names of both ends: residue and atom name where the first frame has a residue, else the atom's name or element and its number."""
+    first = rows.agg(F.min("frame")).first()[0]
+    lab = lambda k: F.nullif(F.trim(F.col("labels")[k]), F.lit(""))
+    key = residue_key(lab("chain"), lab("resname"), F.coalesce(lab("resid"), F.lit("")))
+    plain = F.concat(F.col("element"), F.col("atom").cast("string"))
+    name = F.coalesce(lab("name"), plain)
+    placed = lab("resname").isNotNull() & lab("resid").isNotNull()
+    names = rows.where(F.col("frame") == first).select("atom", F.when(placed, F.concat_ws(" ", key, name)).otherwise(F.concat(name, F.lit(" #"), F.col("atom").cast("string"))).alias("n"))
+    out = runs
+    for end in ("donor", "acceptor"):
+        out = out.join(names.select(F.col("atom").alias(end), F.col("n").alias(f"{end}_name")), end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", F.concat(F.lit("atom #"), F.col(end).cast("string"))))
+    return out.orderBy(F.desc("occupancy"), "donor", "acceptor")
+
+
 def pull_at_times(one: DataFrame, interval: float | None, c: Context, atoms: DataFrame | None) -> DataFrame:
     """The row of a pull nearest to each frame's time, at most one interval away; frames without one have no row.
 

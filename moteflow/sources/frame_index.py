@@ -197,3 +197,10 @@ def first_and_last(index: DataFrame) -> DataFrame:
     """The index's first and last frame."""
     ends = index.agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
     return index.join(ends, (F.col("frame") == F.col("a")) | (F.col("frame") == F.col("b")), "left_semi")
+
+
+def largest_trajectory(spark: SparkSession, folder: str) -> str | None:
+    """The largest traj, lammpstrj, xyz or dump file in the folder or below it; of equals the first by name. No contents are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    best = files.where(F.lower("path").rlike(r"\.(traj|lammpstrj|xyz|dump)$")).orderBy(F.desc("length"), "path").first()
+    return best["path"] if best else None

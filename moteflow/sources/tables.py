@@ -106,7 +106,7 @@ def read_replica_times(spark: SparkSession, path: str) -> DataFrame:
     text = F.lower(F.trim("censored")) if "censored" in t.columns else F.lit("0")
     flag = F.coalesce(strict_double(text) != 0, text.isin("true", "yes"))
     rows = t.select(F.coalesce(column(t, "seed"), F.lit(0.0)).cast("long").alias("seed"), column(t, "replica").cast("long").alias("replica"), column(t, "t_diss_ps").alias("t"), flag.alias("censored"), column(t, "final_com_distance_nm").alias("distance"), "ord")
-    rows = numbered_rows(rows.where(good("t")), "ord", [], ["ord"])
+    rows = numbered_rows(rows.where(good("t")).withColumnRenamed("ord", "_ord"), "ord", [], ["_ord"]).drop("_ord")
     return rows.withColumn("replica", F.coalesce("replica", "ord"))
 
 

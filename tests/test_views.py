@@ -69,3 +69,30 @@ def test_growing_file_and_commands(spark, tmp_path, capsys):
         assert sorted(r["z"] for r in back.where("element = 'Al'").collect()) == [[5.0], [0.0], [0.0, 2.0, 4.0, 5.0]][k]
     with pytest.raises(ValueError):
         cli.main(["export", str(path), "--frame", "9", "-o", str(tmp_path / "no")])
+
+
+def test_colour_maps_and_palettes(spark):
+    from moteflow.plans import views
+
+    rows = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    at = lambda name, lo=0.0, hi=1.0: [tuple(round(x, 6) for x in r["c"]) for r in rows.select(views.color(F.col("v"), lo, hi, name).alias("c")).collect()]
+    grey = (0.5, 0.5, 0.5)
+    assert at("coolwarm") == [(0.23, 0.299, 0.754), (0.867, 0.867, 0.867), (0.706, 0.016, 0.15), (0.706, 0.016, 0.15), grey, grey, grey]
+    assert at("grey")[:3] == [(0.1,) * 3, (0.525,) * 3, (0.95,) * 3] and at("inferno")[0] == (0.001, 0.0, 0.014) and at("unknown") == at("viridis")
+    assert at("grey", 1.0, 1.0)[:2] == [(0.525,) * 3] * 2
+    entries = [("a", (0.1, 0.2, 0.3)), ("b", (0.4, 0.5, 0.6))]
+    got = [tuple(r["c"]) for r in spark.createDataFrame([(-3.0,), (0.4,), (0.6,), (9.0,)], "v double").select(views.category_color(F.col("v"), entries).alias("c")).collect()]
+    assert got == [entries[k][1] for k in (0, 0, 1, 1)]
+    assert views.palette({"kind": "continuous", "min": 0, "max": 2}) == {"kind": "continuous", "min": 0.0, "max": 2.0, "map": "viridis"}
+    assert views.palette({"kind": "categorical", "entries": entries})["entries"][1] == ["b", [0.4, 0.5, 0.6]]
+    with pytest.raises(ValueError):
+        views.palette({"kind": "striped"})
+
+
+def test_largest_trajectory(spark, tmp_path):
+    from moteflow.sources.frame_index import largest_trajectory
+
+    (tmp_path / "sub").mkdir()
+    for name, n in (("a.xyz", 3), ("sub/b.dump", 9), ("c.txt", 99)):
+        (tmp_path / name).write_text("x" * n)
+    assert largest_trajectory(spark, str(tmp_path)).endswith("sub/b.dump")
