@@ -34,8 +34,10 @@ def scanned(df: DataFrame, by: list[str], order: list[str], **running: tuple[str
     rows = pieces(df.withColumns({f"_in_{n}": v for n, (_, v) in running.items()}), by, order)
     local = [*by, PART]
     up = Window.partitionBy(*local).orderBy(*order, SALT)
-    upto, down = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
-    inside = {"sum": lambda c: F.sum(c).over(upto), "count": lambda c: F.count(c).over(upto), "max": lambda c: F.max(c).over(upto), "min": lambda c: F.min(c).over(upto), "last": lambda c: F.last(c, ignorenulls=True).over(upto), "next": lambda c: F.first(c, ignorenulls=True).over(down)}
+    upto = up.rowsBetween(Window.unboundedPreceding, 0)
+    # read backwards: a frame that only grows costs one pass, one that shrinks would start anew at each row
+    down = Window.partitionBy(*local).orderBy(*[F.desc(o) for o in [*order, SALT]]).rowsBetween(Window.unboundedPreceding, 0)
+    inside = {"sum": lambda c: F.sum(c).over(upto), "count": lambda c: F.count(c).over(upto), "max": lambda c: F.max(c).over(upto), "min": lambda c: F.min(c).over(upto), "last": lambda c: F.last(c, ignorenulls=True).over(upto), "next": lambda c: F.last(c, ignorenulls=True).over(down)}
     place = F.struct(*order, SALT)
     filled = lambda c, f: f(F.when(c.isNotNull(), F.struct(place.alias("at"), c.alias("v"))))["v"]
     whole = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda c: filled(c, F.max), "next": lambda c: filled(c, F.min)}
@@ -43,8 +45,8 @@ def scanned(df: DataFrame, by: list[str], order: list[str], **running: tuple[str
     # of a group that lies in one range nothing is handed on
     shared = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     ends = ends.withColumn("_ranges", F.count("*").over(shared)).where(F.col("_ranges") > 1)
-    before, after = shared.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1), shared.orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
-    over = {"sum": lambda c: F.sum(c).over(before), "count": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "min": lambda c: F.min(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before), "next": lambda c: F.first(c, ignorenulls=True).over(after)}
+    before, after = (shared.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(PART), F.desc(PART)))
+    over = {"sum": lambda c: F.sum(c).over(before), "count": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "min": lambda c: F.min(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before), "next": lambda c: F.last(c, ignorenulls=True).over(after)}
     carry = ends.select(*[F.col(b).alias("_by_" + b) for b in by], F.col(PART).alias("_by" + PART), *[over[k](F.col(f"_out_{n}")).alias(f"_carry_{n}") for n, (k, _) in running.items()])
     same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col("_by_" + b)) for b in by] + [F.col(PART) == F.col("_by" + PART)])
     here = rows.select("*", *[inside[k](F.col(f"_in_{n}")).alias(f"_here_{n}") for n, (k, _) in running.items()])
