@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,39 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9-]", "-")
 
 
+def key_token(text: Column, prefix: str) -> Column:
+    """The first key in a pasted text: prefix and 32 lowercase hex digits, set off by blanks or quotes; null if there is none."""
+    edge = " \t\n\"'`"
+    return F.nullif(F.regexp_extract(text, rf"(?:^|[{edge}])({re.escape(prefix)}[0-9a-f]{{32}})(?=$|[{edge}])", 1), F.lit(""))
+
+
+BRACKET = re.compile(r"\[([!^]?)(\]?[^\]]*)\]")
+
+
+def glob_regex(pattern: str) -> str:
+    """A file name pattern of *, ?, [...], [!...] and backslashes as a regular expression of the whole name; * goes past slashes."""
+    out, k = "", 0
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        if c == "[" and (m := BRACKET.match(pattern, k - 1)):
+            out += "[" + ("^" if m[1] else "") + re.sub(r"([\\\[\]&^])", r"\\\1", m[2]) + "]"
+            k = m.end()
+        elif c in "*?":
+            out += ".*" if c == "*" else "."
+        else:
+            if c == "\\" and k < len(pattern):
+                c, k = pattern[k], k + 1
+            out += c if c.isalnum() or ord(c) > 127 else "\\" + c
+    return rf"^(?s:{out})\z"
+
+
+def excluded(path: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a pattern fits the path or one of its parts between slashes."""
+    parts = F.split(path, "/")
+    fits = lambda p: path.rlike(p) | F.exists(parts, lambda x: (x != "") & x.rlike(p))
+    return F.coalesce(reduce(lambda a, b: a | b, map(fits, map(glob_regex, patterns)), F.lit(False)), F.lit(False))
+
+
 def duration_text(seconds: Column) -> Column:
     """2m 18s or 1h 1m."""
     s = F.floor(seconds).cast("long")

@@ -244,3 +244,25 @@ def dump_roundtrip(s: SparkSession, d: str) -> DataFrame:
     sinks.write_dump(atoms(s, d), path, BOX)
     back = trajectories.read_dump(s, path)
     return back.select("frame", "id", "element", r6(F.col("x"), "x"), r6(F.col("charge"), "charge"))
+
+
+@query("tar_roundtrip", f"WITH {ATOMS_SQL} SELECT frame, id, element, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(charge, 6) + 0.0 AS charge FROM atoms")
+def tar_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Dumps, packed into gzipped archives and read back out of them."""
+    from ..adapters import BOX
+    from ..operators.graph import shared_folder
+    from ..sources import archives, sinks
+
+    path, packed = shared_folder(s, "dump"), shared_folder(s, "tar")
+    sinks.write_dump(atoms(s, d), path, BOX)
+    archives.pack(s, path, packed, archive_bytes=1 << 26)
+    back, _ = archives.read_archived(s, packed)
+    return back.select("frame", "id", "element", *[r6(F.col(c), c) for c in ("x", "y", "z", "charge")])
+
+
+@query("excluded_pages", """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), q AS (SELECT *, string_split(path, '/') AS parts FROM p)
+SELECT page_id, path FROM q WHERE NOT (path GLOB '*.html' OR path GLOB '*example.net*page=[13-5]*' OR list_contains(parts, 'fr') OR len(list_filter(parts, lambda x: x GLOB 'blog.*')) > 0 OR len(list_filter(parts, lambda x: x GLOB '8?')) > 0)""")
+def excluded_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages whose addresses no exclude fits, neither whole nor in a part of their path."""
+    pages = s.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return pages.where(~T.excluded(F.col("path"), ("*.html", "*example.net*page=[13-5]*", "fr", "blog.*", "8?")))

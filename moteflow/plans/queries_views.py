@@ -73,3 +73,22 @@ def sql_functions(s: SparkSession, d: str) -> DataFrame:
     sql.register(s)
     turned = "array(cos(radians(atom % 360) / 2), 0D, 0D, sin(radians(atom % 360) / 2))"
     return s.sql(f"SELECT frame, atom, round(min_image(x, 0.3D), 6) + 0D AS mi, round(wrap(x, -0.1D, 0.3D), 6) + 0D AS wr, round(disorientation(array(1D, 0D, 0D, 0D), {turned}, false), 4) + 0D AS dis FROM {{t}}", t=atoms(s, d))
+
+
+STYLE_SQL = f"""u AS (SELECT frame, element FROM sp UNION ALL SELECT frame, CASE WHEN label % 4 = 1 THEN element ELSE 'C' END FROM atoms WHERE frame % 2 = 1),
+n AS (SELECT frame, element, count(*) AS n FROM u GROUP BY ALL),
+t AS (SELECT *, first_value(element) OVER (PARTITION BY frame ORDER BY n DESC, element) AS top FROM n),
+e AS (SELECT DISTINCT element, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(element, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 360 AS INTEGER) AS hue FROM u),
+w AS (SELECT element, hue // 60 AS i, hue / 60.0 - hue // 60 AS f FROM e),
+c AS (SELECT element, CASE element WHEN 'C' THEN [0.56, 0.56, 0.56] WHEN 'O' THEN [1.0, 0.2, 0.18] WHEN 'Al' THEN [0.75, 0.76, 0.8] WHEN 'Fe' THEN [0.88, 0.4, 0.2]
+  ELSE [[0.88, 0.88 * (1 - 0.55 * (1 - f)), 0.396], [0.88 * (1 - 0.55 * f), 0.88, 0.396], [0.396, 0.88, 0.88 * (1 - 0.55 * (1 - f))], [0.396, 0.88 * (1 - 0.55 * f), 0.88], [0.88 * (1 - 0.55 * (1 - f)), 0.396, 0.88], [0.88, 0.396, 0.88 * (1 - 0.55 * f)]][i + 1] END::DOUBLE[] AS rgb FROM w),
+d AS (SELECT t.frame, t.element, t.top, a.rgb AS own, CASE WHEN t.element <> t.top AND list_distance(a.rgb, b.rgb) < 0.45 THEN CASE WHEN list_distance(b.rgb, [1.0, 0.2, 0.18]::DOUBLE[]) < 0.6 THEN [0.2, 0.9, 1.0] ELSE [1.0, 0.2, 0.18] END::DOUBLE[] ELSE a.rgb END AS s
+  FROM t JOIN c a ON a.element = t.element JOIN c b ON b.element = t.top)"""
+
+
+@query("contrast_styles", f"WITH {SPECIES_SQL}, {STYLE_SQL} SELECT frame, element, CASE WHEN element = top THEN 1.0 ELSE 1.8 END::DOUBLE AS size, round(s[1], 6) AS r, round(s[2], 6) AS g, round(s[3], 6) AS b FROM d")
+def contrast_styles(s: SparkSession, d: str) -> DataFrame:
+    """Species of all frames; every other frame holds carbon too, and elements that have no colour of their own."""
+    other = atoms(s, d).where(F.col("frame") % 2 == 1).withColumn("element", F.when(F.col("label") % 4 == 1, F.col("element")).otherwise("C"))
+    both = species(s, d).select("frame", "element").unionByName(other.select("frame", "element"))
+    return views.contrast_styles(both).select("frame", "element", "size", *[r6(F.col(c), c) for c in "rgb"])

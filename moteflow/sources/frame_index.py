@@ -24,13 +24,18 @@ FRAME_HEAD = re.compile(rb"^[ \t]*(\d{1,18})[ \t\r]*$", re.M)
 INDEX = "file string, at long, bytes long, dump boolean, last boolean"
 
 
-def opened(path: str):  # noqa: ANN201
-    """A file of any store that has a pyarrow file system, for reads at offsets."""
+def stored_at(path: str):  # noqa: ANN201
+    """The pyarrow file system that holds a path, and the path in it."""
     from pyarrow import fs
 
-    if re.match(r"file:/(?!//)", path):
-        path = "file:///" + path[5:].lstrip("/")
-    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if path.startswith("file:/"):  # Spark doesn't escape names in paths, so they are no URIs
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def opened(path: str):  # noqa: ANN201
+    """A file of any store that has a pyarrow file system, for reads at offsets."""
+    files, inner = stored_at(path)
     return files.open_input_file(inner)
 
 
