@@ -80,3 +80,25 @@ def test_bootstrap_ci_covers_every_replica(spark, tmp_path):
     spark.range(n).selectExpr("id % 8 as o_custkey", "id as o_orderkey", "cast(id as double) as o_totalprice", "'F' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
     got = entry.queries()["bootstrap_ci"](spark, str(tmp_path)).first()
     assert abs(got["tau"] - n / 2) < 20 and got["low"] < n / 2 < got["high"] and 0 < got["high"] - got["low"] < n / 20
+
+
+def test_many_runs_write_no_row_for_each_draw(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i % 2, i, round(rng.expovariate(0.01), 2), rng.random() < 0.3) for i in range(3000)]
+    sizes, write = [], bootstrap.written
+
+    def counted(df, what):
+        out = write(df, what)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(bootstrap, "written", counted)
+    assert bootstrap.bootstrap_interval(spark.createDataFrame(rows, RUNS), 50, held=0) == plain_interval(rows, 50)
+    assert max(sizes) <= len(rows)  # not 50 times as many
+
+
+def test_a_middle_outside_of_the_ends_is_looked_for_again(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "WIDTH", 0)
+    rng = random.Random(4)
+    rows = [(s, i, float(rng.randrange(900) // (1 if s == 5 else 40)), rng.random() < 0.4) for s in (5, 6) for i in range(200)]
+    assert bootstrap.bootstrap_interval(spark.createDataFrame(rows, RUNS), 50, held=0) == plain_interval(rows, 50)
