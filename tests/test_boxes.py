@@ -179,3 +179,17 @@ def test_analyze_takes_the_boxes_of_a_dump(spark, tmp_path, capsys):
     assert cli.main(["analyze", "rdf", str(tmp_path / "run.dump"), "--frames", "all", "--param", "rMax=2.0", "--param", "coordinationCutoff=1.3", "--csv"]) == 0
     lines = [x for x in capsys.readouterr().out.splitlines() if "Mean coordination" in x]
     assert len(lines) == 2 and all(x.split(",")[2] in ("6", "6.0") for x in lines), lines
+
+
+@pytest.mark.parametrize("rc", [0.05, 1.1, 4.0])
+def test_counts_and_nearest_make_no_row_of_a_pair(spark, monkeypatch, rc):
+    pts = clouds(5, [90, 60, 60, 60])
+    t, box = table(spark, [p.tolist() for p in pts]), boxes.boxes_of(frames_of(spark, CELLS))
+    monkeypatch.setattr(neighbors, "joined_cells", None)  # pairs as rows
+    near = [np.sqrt((image(p[None] - p[:, None], CELLS[f]) ** 2).sum(2)) <= rc for f, p in enumerate(pts)]
+    got = {(r["frame"], r["atom"]): r["n"] for r in structure.coordination_numbers(t, t, rc, box).collect()}
+    assert got == {(f, i): int(n) - 1 for f, m in enumerate(near) for i, n in enumerate(m.sum(1))}
+    bins = structure.pair_distribution(t, box, rc + 1e-9, 5).groupBy("frame").agg(F.sum("n").alias("n")).collect()
+    assert {r["frame"]: r["n"] for r in bins} == {f: int(m.sum()) - len(m) for f, m in enumerate(near)}
+    first = neighbors.nearest_within(t, 3, rc, box).groupBy("frame").count().collect()
+    assert {r["frame"]: r["count"] for r in first} == {f: int(np.minimum(m.sum(1) - 1, 3).sum()) for f, m in enumerate(near) if (m.sum(1) > 1).any()}
