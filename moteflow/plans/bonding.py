@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import covalent_radius
+from ..operators.blocks import links
 from ..operators.groups import HYDROGEN
-from ..operators.neighbors import neighbours
 
 
 def perceive_bonds(atoms: DataFrame, tolerance: float = 1.15) -> DataFrame:
@@ -16,10 +16,9 @@ def perceive_bonds(atoms: DataFrame, tolerance: float = 1.15) -> DataFrame:
     top = rows.agg(F.max("radius")).first()[0]
     if top is None:
         return atoms.select("frame", F.col("atom").alias("i"), F.col("atom").alias("j"), F.lit(0.0).alias("d")).limit(0)
-    pairs = neighbours(rows, 2 * tolerance * top).where("i < j AND d > 0.05")
-    a, b = (rows.select("frame", F.col("atom").alias(p), F.col("radius").alias(p + "_r"), F.col("h").alias(p + "_h")) for p in "ij")
-    both = pairs.join(a, ["frame", "i"]).join(b, ["frame", "j"])
-    return both.where((F.col("d") <= tolerance * (F.col("i_r") + F.col("j_r"))) & ~(F.col("i_h") & F.col("j_h"))).select("frame", "i", "j", "d")
+    other = (~F.col("h")).cast("double")  # certainly no hydrogen
+    bonded = lambda d, a, b: (d > 0.05) & (d <= tolerance * (a[:, 0] + b[:, 0])) & (a[:, 1] + b[:, 1] > 0)
+    return links(rows.where("radius IS NOT NULL"), 2 * tolerance * top, half=True, keep=bonded, values=F.array(F.col("radius").cast("double"), F.coalesce(other, F.lit(0.0))))
 
 
 def backbones(atoms: DataFrame) -> DataFrame:
