@@ -259,7 +259,7 @@ SELECT frame, node, min(label) AS label FROM r GROUP BY frame, node""")
 def connected_components(s: SparkSession, d: str) -> DataFrame:
     a = atoms(s, d)
     key = lambda c: F.shiftleft(F.col("frame").cast("long"), 32) + F.col(c)
-    pairs = neighbors.neighbours(a, RC).where("i < j").select(key("i").alias("a"), key("j").alias("b"))
+    pairs = blocks.spanning(a, RC).select(key("i").alias("a"), key("j").alias("b"))
     labels = graph.connected_components(a.select(key("atom").alias("node")), pairs)
     atom = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(c)
     return labels.select(F.shiftright("node", 32).cast("int").alias("frame"), atom("node"), atom("label"))
