@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strict_double
 from ..functions.units import PN_PER_KJ_MOL_NM
+from ..operators.graph import written
 from ..operators.scan import numbered_rows, scanned
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Long thermo table: file, block, row, global_row, ord, col, val, loop_time.
+def log_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A row a thermo row: file, block, row, global_row, names, vals, loop_time, stored but for numbers of its block.
 
     A header is a line whose first word is Step; rows after it have as many words, all numbers; Loop time closes the block;
     warnings, errors, blanks and prose are skipped; a block without an end is kept. A long file is read in splits: what a split
@@ -29,14 +30,19 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.select("file", "part", "at", "line", words.alias("words"), (F.get(words, F.lit(0)) == "Step").alias("head"), F.trim("text").startswith("Loop time of").alias("end")).where(F.size("words") > 0)
     order = ["part", "at", "line"]  # within a file: by where a split begins, then as it is read
     mark = F.when(F.col("head"), F.struct(F.lit(True).alias("open"), F.col("words").alias("names"))).when(F.col("end"), F.struct(F.lit(False).alias("open"), F.lit(None).cast("array<string>").alias("names")))
-    rows = scanned(rows, ["file"], order, block=("count", F.when(F.col("head"), 1)), mark=("last", mark)).where("block > 0").withColumn("block", F.col("block") - 1)
+    rows = written(scanned(rows, ["file"], order, block=("count", F.when(F.col("head"), 1)), mark=("last", mark)).where("block > 0").withColumn("block", F.col("block") - 1), "lines")
     loops = rows.where("end").groupBy("file", "block").agg(F.max(strict_double(F.get("words", F.lit(3)))).alias("loop_time"))
     data = rows.where("NOT head AND mark.open").where(F.size("words") == F.size("mark.names")).withColumn("vals", F.transform("words", lambda t: strict_double(t)))
     data = data.where(F.forall("vals", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    data = numbered_rows(data.select("file", *order, "block", F.col("mark.names").alias("names"), "vals"), "global_row", ["file"], order)
+    data = written(numbered_rows(data.select("file", *order, "block", F.col("mark.names").alias("names"), "vals"), "global_row", ["file"], order), "log")
     starts = data.groupBy("file", "block").agg(F.min("global_row").alias("start"))
-    data = data.join(starts, ["file", "block"]).join(loops, ["file", "block"], "left").withColumn("row", F.col("global_row") - F.col("start"))
-    return data.select("file", "block", "row", "global_row", F.posexplode(F.arrays_zip("names", "vals")).alias("ord", "c"), "loop_time").select("file", "block", "row", "global_row", "ord", F.col("c.names").alias("col"), F.col("c.vals").alias("val"), "loop_time")
+    blocks = written(starts.join(loops, ["file", "block"], "left"), "blocks")  # its size is known, so that few blocks go to the rows, not rows to the blocks
+    return data.join(blocks, ["file", "block"]).select("file", "block", (F.col("global_row") - F.col("start")).alias("row"), "global_row", "names", "vals", "loop_time")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Long thermo table of log_rows: file, block, row, global_row, ord, col, val, loop_time."""
+    return log_rows(spark, path).select("file", "block", "row", "global_row", F.posexplode(F.arrays_zip("names", "vals")).alias("ord", "c"), "loop_time").select("file", "block", "row", "global_row", "ord", F.col("c.names").alias("col"), F.col("c.vals").alias("val"), "loop_time")
 
 
 def common_columns(log: DataFrame) -> list[str]:
@@ -51,6 +57,17 @@ def all_columns(log: DataFrame) -> list[str]:
     return [r["col"] for r in log.groupBy("col").agg(F.min(F.struct("block", "ord")).alias("at")).orderBy("at").collect()]
 
 
+def shared_names(rows: DataFrame) -> list[str]:
+    """common_columns of log_rows: a block's names are looked at once."""
+    blocks = rows.groupBy("file", "block").agg(F.first("names").alias("names"))
+    return common_columns(blocks.select("file", "block", F.posexplode("names").alias("ord", "col")))
+
+
+def wide_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """file, block, row, global_row and a column for each name, of log_rows; the first of columns with one name."""
+    return rows.select("file", "block", "row", "global_row", *[F.get("vals", F.array_position("names", n).cast("int") - 1).alias(n) for n in names])
+
+
 def wide_log(log: DataFrame, names: list[str]) -> DataFrame:
     """file, block, row, global_row and a column for each name."""
     return log.groupBy("file", "block", "row", "global_row").pivot("col", names).agg(F.first("val"))

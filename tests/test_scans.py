@@ -47,6 +47,30 @@ def test_no_task_holds_a_whole_group(narrow):
     assert pieces.groupBy("g").agg(F.count_distinct(scan.PART).alias("n")).agg(F.min("n")).first()[0] > 1
 
 
+def test_ranges_are_as_many_as_the_rows_need(narrow):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, rng.randrange(9)) for i in range(1000)]
+    df = narrow.createDataFrame(rows, "g string, at long, v long")
+    ranges = scan.pieces(df, ["g"], ["at"], range_rows=50).groupBy(scan.PART).count().agg(F.count("*"), F.max("count")).first()
+    assert ranges[0] > 10 and ranges[1] <= 200  # not 7 ranges, however many rows there are
+    before, want = {"a": 0, "b": 0}, {}
+    for g, i, v in rows:
+        want[i] = before[g] = before[g] + v
+    got = scan.scanned(df, ["g"], ["at"], range_rows=50, s=("sum", F.col("v")))
+    assert {r["at"]: r["s"] for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() > 7
+
+
+def test_wide_rows_equal_the_pivoted_log(spark, tmp_path):
+    (tmp_path / "log.lammps").write_text(LOG + "Step B Temp B\n50 1 2 3\n60 4 5 6\n")
+    rows, log = tables.log_rows(spark, str(tmp_path / "log.lammps")), tables.read_log(spark, str(tmp_path / "log.lammps"))
+    assert tables.shared_names(rows) == tables.common_columns(log) == ["Step", "Temp"]
+    names = ["Temp", "Step", "Press"]
+    key = lambda df: df.select("block", "row", "global_row", *names).orderBy("global_row").collect()
+    assert key(tables.wide_rows(rows, names)) == key(tables.wide_log(log, names)) and rows.count() == 6
+    assert [r["B"] for r in tables.wide_rows(rows, ["B"]).orderBy("global_row").collect()] == [None] * 4 + [1.0, 4.0]
+
+
 def test_nearest_equals_plain_search(narrow):
     rng = random.Random(2)
     left = [(rng.choice(["a", "b", "c"]), rng.randrange(100), i) for i in range(200)] + [("a", None, 999)]
