@@ -121,6 +121,18 @@ def test_surface_and_half_time(spark, few):
         assert (taus.get(s) is None) == (want is None) and (want is None or math.isclose(taus[s], want))
 
 
+def test_atoms_of_a_frame_are_not_gathered_for_its_surface(spark):
+    atoms = spark.range(40_000).selectExpr("0 as frame", "if(id % 3 = 0, 'B', 'A') as element", "cast(id % 900 as double) as z", "1.0D as charge")
+    depths = surfaces.penetration(atoms, "A", "B")
+    plan = depths._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    z = sorted((float(i % 900) for i in range(40_000) if i % 3), reverse=True)
+    top = sum(z[: len(z) // 20]) / (len(z) // 20)
+    rel = [i % 900 - top for i in range(0, 40_000, 3)]
+    r = depths.first()
+    assert math.isclose(r["surface"], top) and (r["penetrated"], r["at_surface"], r["above"]) == (sum(x < 0 for x in rel), sum(0 <= x < 2.5 for x in rel), sum(x >= 2.5 for x in rel))
+
+
 LOG = """noise
 Step Temp Press
 0 1.0 2.0
