@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import excluded
 from ..operators.graph import shared_folder, written
 from ..operators.scan import scanned
-from .frame_index import opened, stored_at
+from .frame_index import dealt, opened, stored_at
 from .trajectories import read_trajectory
 
 BLOCK, READ_BYTES, PART_BYTES, ARCHIVE_BYTES, LIST_ROWS = 512, 1 << 20, 4 << 20, 1 << 30, 10_000
@@ -100,7 +100,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
     other special types, paths that leave the root, files that are cut off. A broken archive gives one row with an error; a broken
     header gives one, and what stands behind it isn't found. An empty file holds no members.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path").repartition("path")
+    files = dealt(spark.read.format("binaryFile").load(path).where("length > 0").select("path"), "path")
 
     def walk(batches: Iterator) -> Iterator:
         names, rows = [c.split()[0] for c in MEMBERS.split(", ")], []
@@ -120,7 +120,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
 def in_order(index: DataFrame) -> DataFrame:
     """The index's sound files: those of a plain archive are read by tasks of their own, those of a stream by one task in order."""
     files = index.where("kind = 'file' AND error IS NULL").select("archive", "gzipped", "path", "at", "bytes")
-    return files.repartition("archive", F.when(~F.col("gzipped"), F.col("at"))).sortWithinPartitions("archive", "at")
+    return dealt(files, "archive", F.when(~F.col("gzipped"), F.col("at"))).sortWithinPartitions("archive", "at")
 
 
 def pieces(batches: Iterator, part_bytes: int) -> Iterator[tuple[str, str, int, int, int, bytes]]:
@@ -212,7 +212,7 @@ def files_below(spark: SparkSession, folder: str) -> DataFrame:
 
     schema = "name string, folder boolean, bytes long, mtime long"
     top = spark.range(1).select(F.lit("").alias("name")).mapInPandas(listing(False), schema)
-    below = top.where("folder").select("name").repartition("name").mapInPandas(listing(True), schema)
+    below = dealt(top.where("folder").select("name"), "name").mapInPandas(listing(True), schema)
     return top.unionByName(below).where("NOT folder").select("name", "bytes", "mtime")
 
 
@@ -238,7 +238,7 @@ def pack(spark: SparkSession, folder: str, out: str, excludes: tuple[str, ...] =
         files.create_dir(posixpath.dirname(name), recursive=True)
         partial, folders, n, total = f"{posixpath.dirname(name)}/_{uuid.uuid4().hex}", set(), 0, 0
         with files.open_output_stream(partial) as raw:
-            stream = gzip.GzipFile(filename="", fileobj=raw, mode="wb", mtime=0) if gzipped else raw
+            stream = gzip.GzipFile(filename="", fileobj=raw, mode="wb", compresslevel=6, mtime=0) if gzipped else raw
             with tarfile.open(fileobj=stream, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
                 for path, size, mtime in rows:
                     above = path.split("/")[:-1]
@@ -259,4 +259,4 @@ def pack(spark: SparkSession, folder: str, out: str, excludes: tuple[str, ...] =
         for number, group in groupby(rows, key=lambda r: r.archive):
             yield write(number, ((r.name, r.bytes, r.mtime) for r in group))
 
-    return written(parts.repartition("archive").sortWithinPartitions("archive", "name").mapInPandas(archives, "archive string, files long, bytes long"), "packed")
+    return written(dealt(parts, "archive").sortWithinPartitions("archive", "name").mapInPandas(archives, "archive string, files long, bytes long"), "packed")

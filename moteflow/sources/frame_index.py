@@ -11,13 +11,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import written
 from ..operators.scan import numbered_rows, scanned
 from ..schema import ATOMS, FRAMES
-from .trajectories import MARK, ROW_SCHEMA, _frame, dump_rows, xyz_frames_of
+from .trajectories import MARK, NAMES, ROW_SCHEMA, _frame, dump_frame, dump_rows, xyz_frames_of
 
 RANGE_BYTES, HEAD_BYTES = 32 << 20, 1 << 16
 FRAME_HEAD = re.compile(rb"^[ \t]*(\d{1,18})[ \t\r]*$", re.M)
@@ -39,6 +39,12 @@ def opened(path: str):  # noqa: ANN201
     return files.open_input_file(inner)
 
 
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df's rows over many tasks: each row stands for much to read, but adaptive execution sees a few bytes and would put all in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def text_of(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
@@ -67,7 +73,7 @@ def candidates(data: bytes, end: bytes, dump: bool, begins: bool, upto: int) ->
 def scan_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     """file, size, start, dump, lines, found: a row for each range of bytes."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).where("size > 0")  # names, no contents
-    ranges = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")).repartition("file", "start")
+    ranges = dealt(files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")), "file", "start")
 
     def look(batches: Iterator) -> Iterator:
         for b in batches:
@@ -157,7 +163,7 @@ def frame_index(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     Frames are numbered over all files in the order of their names and places. Only heads are read, and each file's last frame,
     which may be cut off. A frame between others whose rows are too few keeps its number and has no atoms.
     """
-    places = frame_places(spark, path, range_bytes).repartition("file", "at")
+    places = dealt(frame_places(spark, path, range_bytes), "file", "at")
 
     def heads(batches: Iterator) -> Iterator:
         names = [c.split()[0] for c in (INDEX + ", " + HEADS).split(", ")]
@@ -190,11 +196,14 @@ def atoms_of(index: DataFrame) -> DataFrame:
         for b in batches:
             for file, at, size, dump, frame in b.itertuples(index=False):
                 with opened(file) as f:
-                    rows = parsed(f.read_at(size, at), dump)
-                if rows:
+                    data = f.read_at(size, at)
+                if dump:
+                    for t in dump_frame(text_of(data)[len(MARK) :]):
+                        yield t.assign(file=file, start=0, block=frame).reindex(columns=NAMES).astype({c: object for c in NAMES if c not in t})
+                elif rows := parsed(data, dump):
                     yield _frame([{**r, "file": file, "start": 0, "block": frame} for r in rows])
 
-    places = index.select("file", "at", "bytes", "dump", "frame").repartition("file", "at")
+    places = dealt(index.select("file", "at", "bytes", "dump", "frame"), "file", "at")
     return places.mapInPandas(read, ROW_SCHEMA).withColumn("frame", F.col("block").cast("int")).withColumnRenamed("pos", "atom").select(*names)
 
 

@@ -119,3 +119,36 @@ def test_registry_names_match():
     import __spark_entry__ as e
 
     assert set(ORACLES) <= set(QUERIES) <= set(e.queries()) and len(QUERIES) >= 60
+
+
+def test_a_frame_is_parsed_in_batches(monkeypatch):
+    body = ["3 Fe 1.5 2 3 0.5 7", "1 O 1_0 2e1 .5 x 8", "", "2 H nan 0 0 0 9", "x Al 4abc 5 6 nan 1", "1 C 7 8 9 -1 2", "9 N 1 2", "6 S 1 2 3 4 inf"]
+    block = "\n5\nITEM: NUMBER OF ATOMS\n7\nITEM: ATOMS id element x y z q c_1\n" + "\n".join(body) + "\nleft over"
+    want = [(1, "O", 1.0, 20.0, 0.5, None, 8.0), (1, "C", 7.0, 8.0, 9.0, -1.0, 2.0), (3, "Fe", 1.5, 2.0, 3.0, 0.5, 7.0), (4, "Al", 4.0, 5.0, 6.0, None, 1.0), (6, "S", 1.0, 2.0, 3.0, 4.0, float("inf"))]
+    for batch in (1, 2, 3, 100):
+        monkeypatch.setattr(T, "BATCH", batch)
+        tables = list(T.dump_frame(block))
+        assert max(len(t) for t in tables) <= batch and len(tables) == -(-5 // batch)
+        got = list(T.dump_rows(block))
+        assert [(r["id"], r["element"], r["x"], r["y"], r["z"], r["charge"], r["columns"]["c_1"]) for r in got] == want
+        assert [(r["pos"], r["n_atoms"], r["timestep"]) for r in got] == [(k, 5, 5) for k in range(5)]
+        assert list(T.dump_rows(block.replace("\n7\n", "\n9\n"))) == [] and list(T.dump_rows(block.replace(" inf", ""))) == []
+
+
+def test_frames_go_to_many_tasks(spark):
+    from moteflow.sources.frame_index import dealt
+
+    frames = dealt(spark.range(21), "id").mapInPandas(lambda batches: batches, "id long")
+    assert frames.rdd.getNumPartitions() >= 8  # adaptive execution would make one of them
+    assert sorted(r["id"] for r in frames.collect()) == list(range(21))
+
+
+def test_a_written_frame_is_many_rows(spark, tmp_path):
+    from moteflow.schema import Box
+    from moteflow.sources import sinks
+
+    atoms = spark.createDataFrame([(f, i, 9 - i, "Fe", float(i), 0.0, 1.0, None) for f in (1, 0) for i in (2, 0, 1)], "frame int, atom int, id long, element string, x double, y double, z double, charge double")
+    sinks.write_dump(atoms, str(tmp_path / "d"), Box((0.0, 0.0, 0.0), (2.0, 2.0, 2.0)))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    head = "ITEM: TIMESTEP\n%d\nITEM: NUMBER OF ATOMS\n3\nITEM: BOX BOUNDS pp pp pp\n" + "0.0 2.0\n" * 3 + "ITEM: ATOMS id element x y z q\n9 Fe 0.0 0.0 1.0 0.0\n8 Fe 1.0 0.0 1.0 0.0\n7 Fe 2.0 0.0 1.0 0.0\n"
+    assert text == head % 0 + head % 1
