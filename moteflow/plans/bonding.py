@@ -10,15 +10,15 @@ from ..operators.blocks import links
 from ..operators.groups import HYDROGEN
 
 
-def perceive_bonds(atoms: DataFrame, tolerance: float = 1.15) -> DataFrame:
-    """frame, i, j, d with i < j: closer than tolerance times the radii's sum, farther than 0.05, not two hydrogens; open boundaries."""
+def perceive_bonds(atoms: DataFrame, tolerance: float = 1.15, measured: bool = True) -> DataFrame:
+    """frame, i, j and, with measured, d, with i < j: closer than tolerance times the radii's sum, farther than 0.05, not two hydrogens; open boundaries."""
     rows = atoms.withColumn("radius", covalent_radius(F.col("element"))).withColumn("h", F.upper(F.trim("element")).isin(*HYDROGEN))
     top = rows.agg(F.max("radius")).first()[0]
     if top is None:
-        return atoms.select("frame", F.col("atom").alias("i"), F.col("atom").alias("j"), F.lit(0.0).alias("d")).limit(0)
+        return atoms.select("frame", F.col("atom").alias("i"), F.col("atom").alias("j"), *([F.lit(0.0).alias("d")] if measured else [])).limit(0)
     other = (~F.col("h")).cast("double")  # certainly no hydrogen
-    bonded = lambda d, a, b: (d > 0.05) & (d <= tolerance * (a[:, 0] + b[:, 0])) & (a[:, 1] + b[:, 1] > 0)
-    return links(rows.where("radius IS NOT NULL"), 2 * tolerance * top, half=True, keep=bonded, values=F.array(F.col("radius").cast("double"), F.coalesce(other, F.lit(0.0))))
+    bonded = lambda d, a, b: (d > 0.05) & (d <= tolerance * (a[..., 0] + b[..., 0])) & (a[..., 1] + b[..., 1] > 0)
+    return links(rows.where("radius IS NOT NULL"), 2 * tolerance * top, what="distance" if measured else "ids", half=True, keep=bonded, values=F.array(F.col("radius").cast("double"), F.coalesce(other, F.lit(0.0))))
 
 
 def backbones(atoms: DataFrame) -> DataFrame:
